@@ -28,3 +28,42 @@ def _stock(dom) -> DataFrame:
 @mart("mart_order_risk")
 def _order_risk(dom) -> DataFrame:
     return orders.order_risk(dom["sales_orders"], dom["components"], dom.mart("stock_by_component"), dom.p)
+
+
+from stockpilot.operators import leadtime  # noqa: E402
+
+
+@mart("mart_lt_snapshot")
+def _lt_snapshot(dom) -> DataFrame:
+    return leadtime.lt_snapshot(dom["lead_times"], dom.p)
+
+
+@mart("mart_lt_trend")
+def _lt_trend(dom) -> DataFrame:
+    return leadtime.lt_trend(dom["lead_times"])
+
+
+@mart("mart_lt_escalation")
+def _lt_escalation(dom) -> DataFrame:
+    return leadtime.lt_escalation(dom.mart("mart_lt_snapshot"))
+
+
+from stockpilot.operators import ledger  # noqa: E402
+
+
+@mart("mart_timeline")
+def _timeline(dom) -> DataFrame:
+    return ledger.timeline(dom["inventory_current"], dom["sales_orders"], dom["purchase_orders"], dom.p)
+
+
+@mart("mart_projection")
+def _projection(dom) -> DataFrame:
+    return ledger.projection(
+        dom["components"], dom["inventory_current"], dom["sales_orders"], dom["purchase_orders"],
+        dom["forecasts"], dom["bom"], dom.p,
+    )
+
+
+@mart("mart_breach")
+def _breach(dom) -> DataFrame:
+    return ledger.breach(dom.mart("mart_projection"), dom.p)

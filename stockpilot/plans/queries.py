@@ -1,3 +1,44 @@
 """Registered non-mart operators (analytics, KPIs, quality reports)."""
 
 from __future__ import annotations
+
+from stockpilot.operators import leadtime
+from stockpilot.plans.registry import query
+
+
+@query("lt_kpi")
+def _lt_kpi(dom):
+    return leadtime.lt_kpi(dom.mart("mart_lt_snapshot"))
+
+
+@query("lt_surge")
+def _lt_surge(dom):
+    return leadtime.lt_surge(dom.mart("mart_lt_escalation"), dom.p)
+
+
+@query("lt_band_trend")
+def _lt_band_trend(dom):
+    return leadtime.band_trend_counts(dom.mart("mart_lt_snapshot"))
+
+
+from stockpilot.operators import ledger  # noqa: E402
+
+
+@query("inv_balance_status")
+def _inv_balance(dom):
+    return ledger.balance_status(dom.mart("mart_projection"))
+
+
+@query("inv_inout")
+def _inv_inout(dom):
+    return ledger.inbound_outbound(dom.mart("mart_timeline"))
+
+
+@query("inv_health")
+def _inv_health(dom):
+    return ledger.inventory_health(dom.mart("mart_projection"), dom.mart("mart_breach"), dom.p)
+
+
+@query("inv_item_status")
+def _inv_item_status(dom):
+    return ledger.item_status(dom.mart("mart_projection"), dom.p)
