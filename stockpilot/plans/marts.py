@@ -67,3 +67,30 @@ def _projection(dom) -> DataFrame:
 @mart("mart_breach")
 def _breach(dom) -> DataFrame:
     return ledger.breach(dom.mart("mart_projection"), dom.p)
+
+
+from stockpilot.operators import procurement  # noqa: E402
+
+
+@mart("demand_routes")
+def _demand_routes(dom) -> DataFrame:
+    wide = procurement.demand_wide(
+        dom["demand_plan_components"], dom.mart("stock_by_component"), dom["free_inventory"],
+        dom["purchase_orders"], dom["components"], dom.p,
+    )
+    return procurement.with_routes(wide, dom.p)
+
+
+@mart("mart_options")
+def _options(dom) -> DataFrame:
+    return procurement.options(dom.mart("demand_routes"))
+
+
+@mart("mart_fulfillment")
+def _fulfillment(dom) -> DataFrame:
+    return procurement.fulfillment(dom.mart("demand_routes"), dom["products"], dom.p)
+
+
+@mart("best_route")
+def _best_route(dom) -> DataFrame:
+    return procurement.best_route(dom.mart("demand_routes"))

@@ -42,3 +42,56 @@ def _inv_health(dom):
 @query("inv_item_status")
 def _inv_item_status(dom):
     return ledger.item_status(dom.mart("mart_projection"), dom.p)
+
+
+from stockpilot.operators import procurement  # noqa: E402
+
+
+@query("opt_best_route")
+def _opt_best(dom):
+    return dom.mart("best_route")
+
+
+@query("opt_needs_action")
+def _opt_needs(dom):
+    return procurement.needs_action(dom.mart("best_route"))
+
+
+@query("opt_level_counts")
+def _opt_levels(dom):
+    return procurement.level_counts(dom.mart("best_route"))
+
+
+@query("opt_level_filter")
+def _opt_level_filter(dom):
+    return procurement.filter_levels(dom.mart("best_route"), ["HEAVY", "MEDIUM"])
+
+
+@query("dash_needs_top")
+def _dash_needs_top(dom):
+    return procurement.needs_top(dom.mart("best_route"), dom["components"], dom.p)
+
+
+@query("page_three_route")
+def _three_route(dom):
+    return procurement.three_route(dom.mart("demand_routes"), dom.p)
+
+
+@query("kpi_fulfillment")
+def _kpi_ful(dom):
+    return procurement.fulfillment_kpi(dom.mart("mart_fulfillment"))
+
+
+@query("bom_chain")
+def _bom_chain(dom):
+    return procurement.bom_chain(dom.mart("mart_fulfillment"))
+
+
+@query("bom_drill")
+def _bom_drill(dom):
+    return procurement.bom_drill(dom.mart("demand_routes"), dom.p)
+
+
+@query("bom_bottleneck")
+def _bom_bottleneck(dom):
+    return procurement.bom_bottleneck(dom.mart("demand_routes"), dom["components"], dom.p)
