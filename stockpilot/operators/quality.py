@@ -78,6 +78,28 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+# Key columns whose null share scores each table (quality_null_rate).
+KEY_COLUMNS: dict[str, tuple[str, ...]] = {
+    "suppliers": ("supplier_id",),
+    "customers": ("customer_id",),
+    "products": ("product_id",),
+    "components": ("component_id", "supplier_id"),
+    "warehouses": ("warehouse_id",),
+    "bom": ("product_id", "component_id"),
+    "warehouse_components": ("component_id", "warehouse_id"),
+    "shipment_routes": ("from_id", "to_id"),
+    "forecasts": ("product_id", "forecast_month"),
+    "lead_times": ("component_id", "effective_date"),
+    "inventory": ("component_id", "warehouse_id"),
+    "inventory_current": ("component_id", "warehouse_id"),
+    "logistics": ("shipment_id", "component_id"),
+    "sales_orders": ("sales_order_id", "component_id"),
+    "purchase_orders": ("purchase_order_id", "component_id"),
+    "free_inventory": ("free_inventory_id", "component_id"),
+    "demand_plan_components": ("demand_id", "component_id"),
+}
+
+
 def rules_for(table: str, action: str | None = None) -> list[Rule]:
     return [r for r in RULES if r.table == table and (action is None or r.action == action)]
 

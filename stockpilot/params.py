@@ -31,6 +31,8 @@ class Params:
     default_forecast_lt_weeks: int = 12
     # stock value conversion rate (currency units per USD)
     fx_rate: int = 150
+    # the distributor hub's warehouse id (excluded from customer rankings)
+    hub_warehouse_id: str = "0"
     # action queue sizes
     queue_orders: int = 20
     queue_lead_time: int = 10

@@ -94,3 +94,33 @@ def _fulfillment(dom) -> DataFrame:
 @mart("best_route")
 def _best_route(dom) -> DataFrame:
     return procurement.best_route(dom.mart("demand_routes"))
+
+
+from stockpilot.operators import summary, warehouse  # noqa: E402
+
+
+@mart("mart_warehouse")
+def _warehouse(dom) -> DataFrame:
+    return warehouse.warehouse_status(
+        dom["warehouses"], dom["inventory_current"], dom["components"], dom["logistics"], dom.p
+    )
+
+
+@mart("mart_source_health")
+def _source_health(dom) -> DataFrame:
+    return summary.source_health(dom.raw, dom.p)
+
+
+@mart("mart_exec_summary")
+def _exec_summary(dom) -> DataFrame:
+    return summary.exec_summary(
+        dom.mart("mart_order_risk"), dom.mart("mart_lt_escalation"), dom.mart("mart_breach"),
+        dom.mart("mart_warehouse"), dom["forecasts"], dom.p,
+    )
+
+
+@mart("mart_action_queue")
+def _action_queue(dom) -> DataFrame:
+    return summary.action_queue(
+        dom.mart("mart_order_risk"), dom.mart("mart_lt_escalation"), dom.mart("mart_breach"), dom.p
+    )

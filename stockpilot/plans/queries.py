@@ -95,3 +95,75 @@ def _bom_drill(dom):
 @query("bom_bottleneck")
 def _bom_bottleneck(dom):
     return procurement.bom_bottleneck(dom.mart("demand_routes"), dom["components"], dom.p)
+
+
+from functools import reduce  # noqa: E402
+
+from pyspark.sql import DataFrame  # noqa: E402
+
+from stockpilot.operators import orders, quality, summary, warehouse  # noqa: E402
+from stockpilot.operators.cleanse import _base  # noqa: E402
+from stockpilot.sources.schemas import TABLES  # noqa: E402
+
+
+@query("wh_rank")
+def _wh_rank(dom):
+    return warehouse.warehouse_rank(dom.mart("mart_warehouse"), dom.p.hub_warehouse_id)
+
+
+@query("ship_recent")
+def _ship_recent(dom):
+    return warehouse.shipments_recent(dom["logistics"], dom.p)
+
+
+@query("ship_delays")
+def _ship_delays(dom):
+    return warehouse.shipment_delays(dom["logistics"], dom.p)
+
+
+@query("ship_routes")
+def _ship_routes(dom):
+    return warehouse.routes_by_direction(dom["shipment_routes"], "inbound")
+
+
+@query("free_kpi")
+def _free_kpi(dom):
+    return warehouse.free_stock_kpi(dom["free_inventory"], dom["components"])
+
+
+@query("free_top")
+def _free_top(dom):
+    return warehouse.free_stock_top(dom["free_inventory"], dom["components"])
+
+
+@query("free_leverage")
+def _free_leverage(dom):
+    return warehouse.free_leverage(dom["free_inventory"], dom.mart("stock_by_component"), dom["components"])
+
+
+@query("src_kpi")
+def _src_kpi(dom):
+    return summary.source_kpi(dom.mart("mart_source_health"))
+
+
+@query("dq_report")
+def _dq_report(dom):
+    parts = [quality.rule_report(_base(dom.raw[t], t), t, quality.rules_for(t)) for t in TABLES if quality.rules_for(t)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("dq_quarantine")
+def _dq_quarantine(dom):
+    t = "demand_plan_components"
+    return quality.quarantine(_base(dom.raw[t], t), quality.rules_for(t))
+
+
+@query("dq_null_rate")
+def _dq_null_rate(dom):
+    parts = [quality.null_rate(dom.raw[t], t, list(quality.KEY_COLUMNS[t])) for t in TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("risk_delivery")
+def _risk_delivery(dom):
+    return orders.delivery_risk(dom["sales_orders"], dom.p)
