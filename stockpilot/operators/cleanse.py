@@ -63,24 +63,20 @@ def clean_demand(raw: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def clean_all(raw: dict[str, DataFrame], p: Params) -> dict[str, DataFrame]:
-    out: dict[str, DataFrame] = {}
-    for t in ("suppliers", "customers", "products", "warehouses"):
-        out[t] = clean_simple(raw[t], t)
-    out["components"] = clean_components(raw["components"], out["suppliers"])
-    for t in (
-        "bom",
-        "warehouse_components",
-        "shipment_routes",
-        "forecasts",
-        "inventory",
-        "inventory_current",
-        "logistics",
-        "free_inventory",
-    ):
-        out[t] = clean_simple(raw[t], t)
-    out["lead_times"] = clean_lead_times(raw["lead_times"], out["components"], out["suppliers"])
-    out["sales_orders"] = clean_sales_orders(raw["sales_orders"], p)
-    out["purchase_orders"] = clean_purchase_orders(raw["purchase_orders"], p)
-    out["demand_plan_components"] = clean_demand(raw["demand_plan_components"], p)
+def clean_all(raw, p: Params):
+    """Cleansed tables, each built on first access."""
+    from stockpilot.sources.driver import LazyTables
+
+    out: LazyTables
+
+    def simple(t):
+        return lambda: clean_simple(raw[t], t)
+
+    builders = {t: simple(t) for t in SCHEMAS}
+    builders["components"] = lambda: clean_components(raw["components"], out["suppliers"])
+    builders["lead_times"] = lambda: clean_lead_times(raw["lead_times"], out["components"], out["suppliers"])
+    builders["sales_orders"] = lambda: clean_sales_orders(raw["sales_orders"], p)
+    builders["purchase_orders"] = lambda: clean_purchase_orders(raw["purchase_orders"], p)
+    builders["demand_plan_components"] = lambda: clean_demand(raw["demand_plan_components"], p)
+    out = LazyTables(builders)
     return out

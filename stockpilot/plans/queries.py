@@ -167,3 +167,44 @@ def _dq_null_rate(dom):
 @query("risk_delivery")
 def _risk_delivery(dom):
     return orders.delivery_risk(dom["sales_orders"], dom.p)
+
+
+from stockpilot.operators import recommend  # noqa: E402
+
+
+def _scenarios(dom):
+    return recommend.scenarios_from_emergencies(dom["demand_plan_components"])
+
+
+def _whatif(dom):
+    if "whatif" not in dom._marts:
+        dom._marts["whatif"] = recommend.whatif(
+            _scenarios(dom), dom["demand_plan_components"], dom.mart("stock_by_component"), dom["free_inventory"],
+            dom["purchase_orders"], dom["components"], dom.p,
+        )
+    return dom._marts["whatif"]
+
+
+@query("rec_pull_in")
+def _rec_pull_in(dom):
+    return recommend.pull_in(dom["demand_plan_components"])
+
+
+@query("rec_actions")
+def _rec_actions(dom):
+    return recommend.actions(dom.mart("demand_routes"), recommend.pull_in(dom["demand_plan_components"]), dom.p)
+
+
+@query("whatif")
+def _whatif_q(dom):
+    return _whatif(dom)
+
+
+@query("whatif_impact")
+def _whatif_impact(dom):
+    return recommend.where_used(dom["bom"], dom["products"], _scenarios(dom))
+
+
+@query("whatif_brief")
+def _whatif_brief(dom):
+    return recommend.whatif_brief(_whatif(dom))

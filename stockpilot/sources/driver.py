@@ -19,8 +19,46 @@ from stockpilot.sources.schemas import SCHEMAS
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+class LazyTables(dict):
+    """Mapping whose values are built on first access (DataFrame creation
+    analyses the plan, so building all tables up front costs seconds)."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+    def __contains__(self, key):
+        return key in self._builders
+
+    def keys(self):
+        return self._builders.keys()
+
+    def __iter__(self):
+        return iter(self._builders)
+
+
+_READS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> LazyTables:
+    """Driver tables, read lazily; one scan DataFrame per (session, file) is
+    reused so repeated queries do not list and re-read footers."""
+
+    def reader(n: str):
+        def build() -> DataFrame:
+            key = (id(spark), sf_dir.rstrip("/"), n)
+            if key not in _READS:
+                _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
+            return _READS[key]
+
+        return build
+
+    return LazyTables({n: reader(n) for n in names})
 
 
 def _s(c) -> Column:
@@ -432,10 +470,11 @@ class DriverAdapter:
             "demand_plan_components",
         )
 
-    def all(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name)() for name in SCHEMAS}
+    def all(self) -> LazyTables:
+        return LazyTables({name: getattr(self, name) for name in SCHEMAS})
 
 
-def domain_tables(spark: SparkSession, sf_dir: str, params: Params) -> dict[str, DataFrame]:
-    """The seventeen raw domain tables mapped from the driver parquet files."""
+def domain_tables(spark: SparkSession, sf_dir: str, params: Params) -> LazyTables:
+    """The seventeen raw domain tables mapped from the driver parquet files
+    (each built on first use)."""
     return DriverAdapter(read_driver(spark, sf_dir), params).all()
