@@ -208,3 +208,122 @@ def _whatif_impact(dom):
 @query("whatif_brief")
 def _whatif_brief(dom):
     return recommend.whatif_brief(_whatif(dom))
+
+
+from stockpilot.operators import analytics, ledger as _ledger  # noqa: E402
+
+
+def _frisk(dom):
+    return analytics.forecast_risk(dom["forecasts"], dom["bom"], dom["components"], dom["products"],
+                                   dom["customers"], dom["purchase_orders"], dom.p)
+
+
+def _avail(dom):
+    return analytics.available_stock(dom["components"], dom.mart("stock_by_component"), dom["sales_orders"], dom.p)
+
+
+def _comp_monthly(dom):
+    return analytics.forecast_component_monthly(dom["forecasts"], dom["bom"])
+
+
+def _backlog(dom):
+    return analytics.backlog(dom["components"], dom["sales_orders"], dom["purchase_orders"])
+
+
+@query("risk_forecast")
+def _risk_forecast(dom):
+    return _frisk(dom)
+
+
+@query("inv_available")
+def _inv_available(dom):
+    return _avail(dom)
+
+
+@query("kpi_overview")
+def _kpi_overview(dom):
+    return analytics.overview_kpis(
+        _frisk(dom), orders.delivery_risk(dom["sales_orders"], dom.p), _avail(dom),
+        _ledger.balance_status(dom.mart("mart_projection")),
+    )
+
+
+@query("kpi_demand")
+def _kpi_demand(dom):
+    return analytics.demand_kpis(dom["demand_plan_components"], dom.p)
+
+
+@query("kpi_stock")
+def _kpi_stock(dom):
+    return analytics.stock_kpis(dom["inventory_current"], dom["free_inventory"])
+
+
+@query("flt_period")
+def _flt_period(dom):
+    return analytics.filter_period(dom["demand_plan_components"], "requested_date", dom.p, 90)
+
+
+@query("flt_due_bucket")
+def _flt_due_bucket(dom):
+    return analytics.due_bucket_counts(dom.mart("mart_order_risk"))
+
+
+@query("flt_search")
+def _flt_search(dom):
+    return analytics.search(dom["components"], "Red W", ["component_id", "part_number", "component_name"])
+
+
+@query("page_monthly_demand")
+def _page_monthly_demand(dom):
+    return analytics.monthly_demand(dom["demand_plan_components"], dom.p)
+
+
+@query("page_fcst_accuracy")
+def _page_fcst_accuracy(dom):
+    return analytics.forecast_accuracy(dom["forecasts"], dom.raw["actuals"], dom["products"], dom.p)
+
+
+@query("page_commit_list")
+def _page_commit_list(dom):
+    return analytics.commit_list(dom.mart("mart_order_risk"))
+
+
+@query("page_commit_bottleneck")
+def _page_commit_bottleneck(dom):
+    return analytics.commit_bottleneck(dom.mart("mart_order_risk"), dom.mart("mart_options"))
+
+
+@query("inv_daily_demand")
+def _inv_daily_demand(dom):
+    return analytics.daily_demand(dom["components"], _comp_monthly(dom), dom.p)
+
+
+@query("inv_backlog")
+def _inv_backlog(dom):
+    return _backlog(dom)
+
+
+@query("inv_effective_stock")
+def _inv_effective(dom):
+    return analytics.effective_stock(_backlog(dom), dom.mart("stock_by_component"))
+
+
+@query("agg_peak")
+def _agg_peak(dom):
+    return analytics.peak_consumption(_comp_monthly(dom), dom.p)
+
+
+@query("agg_capacity")
+def _agg_capacity(dom):
+    return analytics.route_capacity(dom["components"], dom.mart("stock_by_component"), dom["free_inventory"],
+                                    dom["purchase_orders"])
+
+
+@query("metric_coverage_weeks")
+def _metric_coverage(dom):
+    return analytics.coverage_weeks(dom.mart("mart_projection"), dom.p)
+
+
+@query("metric_breach_3m")
+def _metric_breach_3m(dom):
+    return analytics.breach_3m(dom.mart("mart_breach"), dom.p)

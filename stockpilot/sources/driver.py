@@ -470,8 +470,17 @@ class DriverAdapter:
             "demand_plan_components",
         )
 
+    def actuals(self) -> DataFrame:
+        """Shipped quantity per (product, month) over the forecast window:
+        the actuals that forecast accuracy is measured against."""
+        f = (F.col("l_linestatus") == "F") & self._window(360, 270)
+        line = self.line(f).withColumn("month", F.trunc("d", "MM"))
+        return line.groupBy("product_id", "month").agg(F.sum("q").cast("bigint").alias("actual_qty"))
+
     def all(self) -> LazyTables:
-        return LazyTables({name: getattr(self, name) for name in SCHEMAS})
+        tables = {name: getattr(self, name) for name in SCHEMAS}
+        tables["actuals"] = self.actuals
+        return LazyTables(tables)
 
 
 def domain_tables(spark: SparkSession, sf_dir: str, params: Params) -> LazyTables:
