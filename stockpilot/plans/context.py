@@ -17,14 +17,21 @@ from stockpilot.sources.driver import domain_tables
 
 
 class Domain:
-    def __init__(self, raw: dict[str, DataFrame], params: Params = DEFAULT):
+    def __init__(self, raw: dict[str, DataFrame], params: Params = DEFAULT, spark: SparkSession | None = None):
         self.raw = raw
         self.p = params
         self._marts: dict[str, DataFrame] = {}
+        self._spark = spark
+
+    @property
+    def spark(self) -> SparkSession:
+        if self._spark is None:
+            self._spark = self.raw[next(iter(self.raw))].sparkSession
+        return self._spark
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Domain":
-        return cls(domain_tables(spark, sf_dir, params), params)
+        return cls(domain_tables(spark, sf_dir, params), params, spark)
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:

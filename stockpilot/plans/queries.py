@@ -327,3 +327,19 @@ def _metric_coverage(dom):
 @query("metric_breach_3m")
 def _metric_breach_3m(dom):
     return analytics.breach_3m(dom.mart("mart_breach"), dom.p)
+
+
+from stockpilot.operators import semantic  # noqa: E402
+
+
+def _qlib(name):
+    def run(dom):
+        return semantic.run_library_query(
+            dom.spark, name, {m: dom.mart(m) for m in semantic.marts_used(semantic.QLIB[name])}
+        )
+
+    return run
+
+
+for _name in semantic.QLIB:
+    query(_name)(_qlib(_name))
