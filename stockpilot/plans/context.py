@@ -22,6 +22,7 @@ class Domain:
         self.p = params
         self._marts: dict[str, DataFrame] = {}
         self._spark = spark
+        self.sf_dir: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -31,7 +32,9 @@ class Domain:
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Domain":
-        return cls(domain_tables(spark, sf_dir, params), params, spark)
+        dom = cls(domain_tables(spark, sf_dir, params), params, spark)
+        dom.sf_dir = sf_dir
+        return dom
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:

@@ -343,3 +343,11 @@ def _qlib(name):
 
 for _name in semantic.QLIB:
     query(_name)(_qlib(_name))
+
+
+from stockpilot.streaming.ingest import ingest_events  # noqa: E402
+
+
+@query("stream_ingest")
+def _stream_ingest(dom):
+    return ingest_events(dom.spark, dom.sf_dir)
