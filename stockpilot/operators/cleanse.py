@@ -25,14 +25,18 @@ def clean_simple(raw: DataFrame, table: str) -> DataFrame:
 
 
 def clean_components(raw: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Dedupe, rules, then the supplier name.  Suppliers are unique per id,
+    so the left join neither adds nor drops rows and the name is a function
+    of supplier_id: deduping before the join picks the same row as after
+    it, and a plan that never reads supplier_name can drop the join."""
     comp = typed(raw, SCHEMAS["components"]).select(*SCHEMAS["components"].fieldNames())
+    kept = keep(dedupe(comp, "component_id"), rules_for("components"))
     sup = suppliers.select("supplier_id", "supplier_name")
-    joined = comp.join(sup, "supplier_id", "left").select(*comp.columns, "supplier_name")
-    return keep(dedupe(joined, "component_id"), rules_for("components"))
+    return kept.join(sup, "supplier_id", "left").select(*comp.columns, "supplier_name")
 
 
-def clean_lead_times(raw: DataFrame, components: DataFrame, suppliers: DataFrame) -> DataFrame:
-    lt = clean_simple(raw, "lead_times")
+def enrich_lead_times(lt: DataFrame, components: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Component and supplier names plus the lead-time band."""
     comp = components.select("component_id", "part_number", "component_name", "component_category")
     sup = suppliers.select("supplier_id", "supplier_name")
     return (
@@ -42,6 +46,10 @@ def clean_lead_times(raw: DataFrame, components: DataFrame, suppliers: DataFrame
     )
 
 
+def clean_lead_times(raw: DataFrame, components: DataFrame, suppliers: DataFrame) -> DataFrame:
+    return enrich_lead_times(clean_simple(raw, "lead_times"), components, suppliers)
+
+
 def clean_sales_orders(raw: DataFrame, p: Params) -> DataFrame:
     so = clean_simple(raw, "sales_orders")
     return so.withColumn("days_to_due", F.datediff("requested_delivery_date", d(p.as_of))).withColumn(
@@ -74,7 +82,9 @@ def clean_all(raw, p: Params):
 
     builders = {t: simple(t) for t in SCHEMAS}
     builders["components"] = lambda: clean_components(raw["components"], out["suppliers"])
-    builders["lead_times"] = lambda: clean_lead_times(raw["lead_times"], out["components"], out["suppliers"])
+    builders["lead_times"] = lambda: enrich_lead_times(out["lead_times_base"], out["components"], out["suppliers"])
+    # rules applied, not yet enriched: lets marts aggregate before joining
+    builders["lead_times_base"] = lambda: clean_simple(raw["lead_times"], "lead_times")
     builders["sales_orders"] = lambda: clean_sales_orders(raw["sales_orders"], p)
     builders["purchase_orders"] = lambda: clean_purchase_orders(raw["purchase_orders"], p)
     builders["demand_plan_components"] = lambda: clean_demand(raw["demand_plan_components"], p)

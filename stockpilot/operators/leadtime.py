@@ -5,7 +5,8 @@ The snapshot needs the latest row on or before four dates per component.
 Instead of four ranked scans joined together, one grouped aggregation
 computes all four with ``max_by(...) FILTER (WHERE effective_date <= x)``:
 one scan, one shuffle of partial aggregates (a hot component is reduced
-map-side), no joins.
+map-side).  Names are joined after the aggregation, on one row per
+component rather than on every history row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockpilot.functions.columns import TREND_DOWN, TREND_FLAT, TREND_UP, d, trend
+from stockpilot.functions.columns import TREND_DOWN, TREND_FLAT, TREND_UP, band, d, trend
 from stockpilot.params import Params
 
 # Remark and escalation texts (neutral English).
@@ -25,22 +26,42 @@ REASON_N6 = "up vs 6 months ago"
 _ORDER = "struct(effective_date, lead_time_weeks, lead_time_id)"
 
 
-def lt_snapshot(lead_times: DataFrame, p: Params) -> DataFrame:
+def lt_snapshot(lead_times: DataFrame, p: Params, components: DataFrame | None = None,
+                suppliers: DataFrame | None = None) -> DataFrame:
+    """``lead_times`` is either the enriched history, or -- when
+    ``components`` and ``suppliers`` are given -- the bare history, in which
+    case the names are joined after the aggregation (one row per component
+    instead of one per history row)."""
+    if components is not None:
+        agg = _snapshot_agg(lead_times.select("component_id", "supplier_id", "effective_date", "lead_time_weeks",
+                                              "lead_time_id"), p, ["lead_time_weeks", "supplier_id"])
+        comp = components.select("component_id", "part_number", "component_name", "component_category")
+        sup = suppliers.select(F.col("supplier_id").alias("_sid"), "supplier_name")
+        agg = (
+            agg.join(comp, "component_id", "left")
+            .join(sup, F.col("c.supplier_id") == F.col("_sid"), "left")
+            .select(
+                "component_id", "n1", "n3", "n6",
+                F.struct(
+                    F.col("c.lead_time_weeks").alias("lead_time_weeks"), "part_number", "component_name",
+                    "component_category", "supplier_name", F.col("c.supplier_id").alias("supplier_id"),
+                    band(F.col("c.lead_time_weeks")).alias("lt_band"),
+                ).alias("c"),
+            )
+        )
+    else:
+        agg = _snapshot_agg(lead_times, p, ["lead_time_weeks", "part_number", "component_name", "component_category",
+                                            "supplier_name", "supplier_id", "lt_band"])
+    return _snapshot_select(agg, p)
+
+
+def _snapshot_agg(lead_times: DataFrame, p: Params, cur_cols: list[str]) -> DataFrame:
     T = f"DATE '{p.as_of.isoformat()}'"
-    cur_cols = [
-        "lead_time_weeks",
-        "part_number",
-        "component_name",
-        "component_category",
-        "supplier_name",
-        "supplier_id",
-        "lt_band",
-    ]
     past = {
         k: F.expr(f"max_by(lead_time_weeks, {_ORDER}) FILTER (WHERE effective_date <= add_months({T}, -{k}))")
         for k in (1, 3, 6)
     }
-    agg = (
+    return (
         lead_times.filter(F.col("effective_date") <= d(p.as_of))
         .groupBy("component_id")
         .agg(
@@ -48,6 +69,9 @@ def lt_snapshot(lead_times: DataFrame, p: Params) -> DataFrame:
             *[v.alias(f"n{k}") for k, v in past.items()],
         )
     )
+
+
+def _snapshot_select(agg: DataFrame, p: Params) -> DataFrame:
     cur = F.col("c.lead_time_weeks")
     n1, n3, n6 = F.col("n1"), F.col("n3"), F.col("n6")
     remark = (
@@ -153,12 +177,12 @@ def trend_class(n3: str = "trend_arrow_n3", n6: str = "trend_arrow_n6") -> F.Col
     )
 
 
-def filter_band_trend(snapshot: DataFrame, band: str | None = None, trend_sel: str | None = None) -> DataFrame:
+def filter_band_trend(snapshot: DataFrame, lt_band: str | None = None, trend_sel: str | None = None) -> DataFrame:
     """Snapshot rows in a band and/or a trend selection (UP / DOWN / FLAT as
     defined by the page filter: UP or DOWN on either horizon, FLAT on both)."""
     out = snapshot
-    if band is not None:
-        out = out.filter(F.col("lt_band") == band)
+    if lt_band is not None:
+        out = out.filter(F.col("lt_band") == lt_band)
     a, b = F.col("trend_arrow_n3"), F.col("trend_arrow_n6")
     if trend_sel == TREND_UP:
         out = out.filter((a == TREND_UP) | (b == TREND_UP))

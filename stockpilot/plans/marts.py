@@ -35,7 +35,7 @@ from stockpilot.operators import leadtime  # noqa: E402
 
 @mart("mart_lt_snapshot")
 def _lt_snapshot(dom) -> DataFrame:
-    return leadtime.lt_snapshot(dom["lead_times"], dom.p)
+    return leadtime.lt_snapshot(dom["lead_times_base"], dom.p, dom["components"], dom["suppliers"])
 
 
 @mart("mart_lt_trend")
