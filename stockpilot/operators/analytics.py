@@ -434,3 +434,54 @@ def breach_3m(brc: DataFrame, p: Params) -> DataFrame:
         F.count_distinct(F.when(t == "ZERO", F.col("item_id"))).cast(L).alias("stockout_items_3m"),
         F.count_distinct(F.when(t == "OVER", F.col("item_id"))).cast(L).alias("excess_items_3m"),
     )
+
+
+def filter_lists(df: DataFrame, lists: dict[str, list]) -> DataFrame:
+    """Global filter: for every non-empty list whose column exists, keep
+    rows whose value is in the list (``isin`` on literals)."""
+    out = df
+    for col, values in lists.items():
+        if values and col in df.columns:
+            out = out.filter(F.col(col).isin(*values))
+    return out
+
+
+def actual_forecast_flag(df: DataFrame, date_col: str, p: Params) -> DataFrame:
+    """Row flag: ACTUAL when dated on or before T, else FORECAST (undated
+    rows are FORECAST)."""
+    on_or_before = F.coalesce(F.col(date_col) <= d(p.as_of), F.lit(False))
+    return df.withColumn("phase", F.when(on_or_before, F.lit("ACTUAL")).otherwise(F.lit("FORECAST")))
+
+
+def split_actual_forecast(df: DataFrame, date_col: str, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(rows dated <= T, rows dated >= T): T itself is in both."""
+    T = d(p.as_of)
+    return df.filter(F.col(date_col) <= T), df.filter(F.col(date_col) >= T)
+
+
+def items_with_status(proj: DataFrame, status: str) -> DataFrame:
+    """All projection rows of the items that have at least one row with
+    ``status`` (semi join on the item set)."""
+    items = proj.filter(F.col("policy_status") == status).select("item_id")
+    return proj.join(items, "item_id", "left_semi")
+
+
+def busiest_item_ledger(tl: DataFrame) -> DataFrame:
+    """Ledger of the item with the most events (ties: smallest id), in
+    ledger order -- the per-item drill-down, with the item picked by Spark
+    (top-1 of a grouped count, joined back; nothing goes through the driver)."""
+    top = tl.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "item_id").limit(1)
+    return tl.join(top.select("item_id"), "item_id", "left_semi")
+
+
+def whatif_verdicts(wf: DataFrame) -> DataFrame:
+    """One row per scenario: overall verdict, remaining gap and the verdict
+    of each route side by side (pivot over the four fixed routes)."""
+    routes = ["CUSTOMER_STOCK", "DISTRIBUTOR_FREE", "EXISTING_PO", "NEW_ORDER"]
+    piv = wf.groupBy("scenario_id", "overall_verdict", "gap_after_three_routes").pivot("route_type", routes).agg(
+        F.max("route_verdict")
+    )
+    return piv.select(
+        "scenario_id", "overall_verdict", "gap_after_three_routes",
+        *[F.col(r).alias(f"{r.lower()}_verdict") for r in routes],
+    )

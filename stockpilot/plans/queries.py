@@ -351,3 +351,31 @@ from stockpilot.streaming.ingest import ingest_events  # noqa: E402
 @query("stream_ingest")
 def _stream_ingest(dom):
     return ingest_events(dom.spark, dom.sf_dir)
+
+
+@query("flt_global")
+def _flt_global(dom):
+    return analytics.filter_lists(
+        dom.mart("mart_order_risk"),
+        {"supplier_name": ["Supplier#000000001", "Supplier#000000002"], "priority_rank": ["Critical", "High"]},
+    )
+
+
+@query("flt_split")
+def _flt_split(dom):
+    return analytics.actual_forecast_flag(dom.mart("mart_timeline"), "event_date", dom.p)
+
+
+@query("flt_item_by_status")
+def _flt_item_by_status(dom):
+    return analytics.items_with_status(dom.mart("mart_projection"), "ZERO")
+
+
+@query("inv_ledger")
+def _inv_ledger(dom):
+    return analytics.busiest_item_ledger(dom.mart("mart_timeline"))
+
+
+@query("whatif_verdict")
+def _whatif_verdict(dom):
+    return analytics.whatif_verdicts(_whatif(dom))

@@ -36,8 +36,21 @@ def load_all() -> dict[str, Callable[[Domain], DataFrame]]:
     return QUERIES
 
 
+_DOMAINS: dict[tuple, Domain] = {}
+
+
+def domain_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Domain:
+    """One Domain per (session, data folder, parameters).  DataFrames are
+    immutable, lazy plans, so queries can share the analysed domain and mart
+    subtrees instead of rebuilding them on the driver for every call."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain.from_driver(spark, sf_dir, params)
+    return _DOMAINS[key]
+
+
 def run(spark: SparkSession, sf_dir: str, name: str, params: Params = DEFAULT) -> DataFrame:
-    return load_all()[name](Domain.from_driver(spark, sf_dir, params))
+    return load_all()[name](domain_for(spark, sf_dir, params))
 
 
 def spark_callables(params: Params = DEFAULT) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
