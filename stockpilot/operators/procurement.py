@@ -394,20 +394,26 @@ def bom_drill(routed: DataFrame, p: Params) -> DataFrame:
 
 def bom_bottleneck(routed: DataFrame, components: DataFrame, p: Params, k: int = 5) -> DataFrame:
     """HEAVY components of each product x month: count and the first k
-    names in name order (bounded list)."""
+    names in name order.  The names come from an exact salted top-k (a hot
+    product-month is ranked across many tasks), so the collected list is
+    bounded by k."""
+    from stockpilot.functions.topk import topk_per_group
+
     dm = routed.filter(
         (F.col("source_type") == FCST) & F.col("product_id").isNotNull()
         & (F.col("requested_date") >= d(p.as_of)) & (F.col("action_level") == LEVEL_HEAVY)
     )
     comp = components.select("component_id", "component_name")
-    j = dm.join(comp, "component_id", "left").withColumn(
-        "name", F.coalesce(F.col("component_name"), F.col("component_id"))
+    j = dm.join(comp, "component_id", "left").select(
+        "product_id",
+        F.date_format("requested_date", "yyyy-MM").alias("requested_month"),
+        "demand_id",
+        F.coalesce(F.col("component_name"), F.col("component_id")).alias("name"),
     )
-    month = F.date_format("requested_date", "yyyy-MM")
-    w = Window.partitionBy("product_id", month).orderBy("name", "demand_id")
-    ranked = j.withColumn("requested_month", month).withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy("product_id", "requested_month").agg(
-        F.count(F.lit(1)).cast(L).alias("heavy_components"),
-        F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("rn") <= k, F.struct("rn", "name"))))
-                    .getField("name")).alias("first_names"),
+    keys = ["product_id", "requested_month"]
+    counts = j.groupBy(*keys).agg(F.count(F.lit(1)).cast(L).alias("heavy_components"))
+    top = topk_per_group(j, keys, [F.col("name"), F.col("demand_id")], k, ["demand_id"])
+    names = top.groupBy(*keys).agg(
+        F.concat_ws(", ", F.sort_array(F.collect_list(F.struct("rank", "name"))).getField("name")).alias("first_names")
     )
+    return counts.join(names, keys, "left")

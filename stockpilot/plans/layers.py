@@ -21,10 +21,9 @@ CLEAN_EXTRA = ("lead_times_base",)
 
 
 def layer_root(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set; pass an explicit output folder")
-    return f"{base.rstrip('/')}/layers-{uuid.uuid4().hex}"
+    from stockpilot.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 
 def materialize(dom: Domain, root: str) -> dict[str, str]:

@@ -19,9 +19,12 @@ from stockpilot.operators.quality import Rule, keep, typed
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set; pass explicit sink and checkpoint locations")
+    """A fresh folder under the session's shared checkpoint location
+    (``spark.checkpoint.dir``; only when that is unset, as in local tests,
+    a scratch folder is set up)."""
+    from stockpilot.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
