@@ -54,9 +54,11 @@ ROUTE_FIELDS = ("route_type", "available_qty", "eta_date", "confidence", "note",
 
 
 def _component_rows(
-    stock: DataFrame, free_inventory: DataFrame, purchase_orders: DataFrame, components: DataFrame, p: Params
+    inventory_current: DataFrame, free_inventory: DataFrame, purchase_orders: DataFrame, components: DataFrame,
+    p: Params,
 ) -> DataFrame:
-    """Per-component route inputs as union-ready rows (not yet aggregated)."""
+    """Per-component route inputs as union-ready rows (not yet aggregated:
+    the one group-by of ``demand_wide`` sums them, map-side first)."""
     nul = {
         "stock": F.lit(None).cast(L),
         "free_avail": F.lit(None).cast(L),
@@ -74,7 +76,7 @@ def _component_rows(
 
     po = purchase_orders.filter((F.col("outstanding_qty") > 0) & (F.col("expected_delivery_date") >= d(p.as_of)))
     return (
-        rows(stock, stock=F.col("stock").cast(L))
+        rows(inventory_current, stock=F.col("stock_qty").cast(L))
         .unionByName(rows(free_inventory, free_avail=F.coalesce(F.col("qty_available"), F.lit(0)).cast(L)))
         .unionByName(
             rows(
@@ -100,7 +102,7 @@ def _fq(prefix: str = "") -> Column:
 
 def demand_wide(
     demand: DataFrame,
-    stock: DataFrame,
+    inventory_current: DataFrame,
     free_inventory: DataFrame,
     purchase_orders: DataFrame,
     components: DataFrame,
@@ -116,7 +118,7 @@ def demand_wide(
             ("stock", L), ("free_avail", L), ("po_avail", L), ("po_eta", "date"), ("po_delayed", "int"), ("base_lt", "int")
         )],
     )
-    comp_rows = _component_rows(stock, free_inventory, purchase_orders, components, p).select(
+    comp_rows = _component_rows(inventory_current, free_inventory, purchase_orders, components, p).select(
         "component_id",
         F.lit(None).cast("date").alias("requested_date"),
         F.lit(False).alias("is_day"),
@@ -132,19 +134,23 @@ def demand_wide(
         F.max("po_delayed").alias("po_delayed"),
         F.max("base_lt").alias("base_lt"),
     )
-    by_comp = Window.partitionBy("component_id")
-    prefix = by_comp.orderBy(F.col("is_day").asc(), F.col("requested_date").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # One window spec: the component row (is_day = false) sorts first, so a
+    # running max/min carries its route inputs to every day row, and the
+    # running sum of fq over the day rows is the prefix by date.  NULL
+    # component ids are one partition with no route inputs (filtered above)
+    # and no forecast quantity (fq = 0).
+    prefix = (
+        Window.partitionBy("component_id")
+        .orderBy(F.col("is_day").asc(), F.col("requested_date").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # NULL component ids are one window partition; they carry no route
-    # inputs (filtered above) and no forecast quantity (fq = 0)
     days = g.select(
         "component_id",
         "requested_date",
         "is_day",
         F.sum(F.coalesce("fq", F.lit(0).cast(L))).over(prefix).alias("prefix_fq"),
-        *[F.max(c).over(by_comp).alias(c) for c in ("stock", "free_avail", "po_avail", "po_delayed", "base_lt")],
-        F.min("po_eta").over(by_comp).alias("po_eta"),
+        *[F.max(c).over(prefix).alias(c) for c in ("stock", "free_avail", "po_avail", "po_delayed", "base_lt")],
+        F.min("po_eta").over(prefix).alias("po_eta"),
     ).filter(F.col("is_day"))
 
     dm, dy = demand.alias("dm"), days.alias("dy")

@@ -75,7 +75,7 @@ from stockpilot.operators import procurement  # noqa: E402
 @mart("demand_routes")
 def _demand_routes(dom) -> DataFrame:
     wide = procurement.demand_wide(
-        dom["demand_plan_components"], dom.mart("stock_by_component"), dom["free_inventory"],
+        dom["demand_plan_components"], dom["inventory_current"], dom["free_inventory"],
         dom["purchase_orders"], dom["components"], dom.p,
     )
     return procurement.with_routes(wide, dom.p)

@@ -138,7 +138,7 @@ def test_warehouse_without_stock(make_domain):
 
 
 def _routes(dom):
-    wide = procurement.demand_wide(dom["demand_plan_components"], stock_by_component(dom["inventory_current"]),
+    wide = procurement.demand_wide(dom["demand_plan_components"], dom["inventory_current"],
                                    dom["free_inventory"], dom["purchase_orders"], dom["components"], DEFAULT)
     return procurement.with_routes(wide, DEFAULT)
 

@@ -104,7 +104,7 @@ def test_hot_component_matches_brute_force(make_domain):
                    "component_required_qty": rnd.randrange(1, 9)})
     inv = [{"component_id": "hot", "warehouse_id": "w", "stock_qty": 50}]
     dom = make_domain(demand_plan_components=dm, sales_orders=so, inventory_current=inv)
-    wide = procurement.demand_wide(dom["demand_plan_components"], stock_by_component(dom["inventory_current"]),
+    wide = procurement.demand_wide(dom["demand_plan_components"], dom["inventory_current"],
                                    dom["free_inventory"], dom["purchase_orders"], dom["components"], DEFAULT)
     got = dict(rows(wide, "demand_id", "consumption"))
     for r in dm:
