@@ -42,7 +42,7 @@ class LazyTables(dict):
         return iter(self._builders)
 
 
-_READS: dict[tuple[int, str, str], DataFrame] = {}
+_READS: dict[tuple, DataFrame] = {}
 
 
 def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> LazyTables:
@@ -51,7 +51,7 @@ def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> LazyTa
 
     def reader(n: str):
         def build() -> DataFrame:
-            key = (id(spark), sf_dir.rstrip("/"), n)
+            key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), n)
             if key not in _READS:
                 _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
             return _READS[key]
