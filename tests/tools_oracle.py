@@ -19,6 +19,10 @@ def compare_one(spark, con, sf_dir, name):
     a, b = rows_of(sdf.columns, srows), rows_of(dcols, drows)
     if a != b:
         return "VALUES", (list((a - b).items())[:3], list((b - a).items())[:3])
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        if banned in plan:
+            return "PLAN", banned
     return "OK", len(srows)
 
 
