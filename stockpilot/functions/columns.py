@@ -21,7 +21,6 @@ LT_BANDS: tuple[tuple[int | None, str], ...] = (
 TREND_UP, TREND_DOWN, TREND_FLAT = "UP", "DOWN", "FLAT"
 LEVEL_NONE, LEVEL_LIGHT, LEVEL_MEDIUM, LEVEL_HEAVY = "NONE", "LIGHT", "MEDIUM", "HEAVY"
 CERTAIN, EXPECTED, NEGOTIABLE = "CERTAIN", "EXPECTED", "NEGOTIABLE"
-ROUTES = ("CUSTOMER_STOCK", "DISTRIBUTOR_FREE", "EXISTING_PO", "NEW_ORDER")
 PRODUCIBLE, PARTIAL, BLOCKED = "PRODUCIBLE", "PARTIAL", "BLOCKED"
 EV_ON_HAND, EV_CONSUMPTION, EV_RECEIPT = "ON_HAND", "CONSUMPTION", "RECEIPT"
 

@@ -227,9 +227,6 @@ def forecast_accuracy(forecasts: DataFrame, actuals: DataFrame, products: DataFr
     )
 
 
-PRIORITY_ORDER = {"Critical": 0, "High": 1, "Mid": 2, "Low": 3}
-
-
 def commit_list(order_risk: DataFrame, k: int = 100) -> DataFrame:
     """Order list by priority then days to due (NULL days sort as 0), one
     row per order, first k.  The per-order pick is a partial aggregate."""

@@ -27,7 +27,6 @@ from stockpilot.params import Params
 # partial_received; the projection does not).
 TIMELINE_PO_STATUS = ("placed", "acknowledged", "in_production", "shipped", "partial_received")
 PROJECTION_PO_STATUS = ("placed", "acknowledged", "in_production", "shipped")
-BREACH_PRIORITY = {"ZERO": 1, "UNDER": 2, "OVER": 3}
 
 
 def _events(inventory_current: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, p: Params) -> DataFrame:
@@ -295,9 +294,6 @@ def inventory_health(proj: DataFrame, brc: DataFrame, p: Params) -> DataFrame:
     )
 
 
-STATUS_RANK = {"ZERO": 0, "UNDER": 1, "OVER": 2, "OK": 3}
-
-
 def item_status(proj: DataFrame, p: Params) -> DataFrame:
     """Per item over months from the as-of month on: worst status
     (ZERO < UNDER < OVER < OK), most frequent status (ties -> smallest

@@ -117,12 +117,6 @@ def exec_summary(
     )
 
 
-QUEUE_COLS = (
-    "snapshot_date", "source", "target_id", "item_code", "item_name", "risk_type", "recommended_action",
-    "urgency_rank", "due_date", "rationale",
-)
-
-
 def action_queue(order_risk: DataFrame, escalation: DataFrame, brc: DataFrame, p: Params) -> DataFrame:
     """Three top-k branches (orders, lead-time escalations, first ZERO
     breach per item) stacked.  Each ``orderBy().limit()`` plans as a

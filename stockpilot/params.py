@@ -38,9 +38,5 @@ class Params:
     queue_lead_time: int = 10
     queue_breaches: int = 10
 
-    @property
-    def as_of_iso(self) -> str:
-        return self.as_of.isoformat()
-
 
 DEFAULT = Params()

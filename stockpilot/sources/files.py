@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from stockpilot.sources.schemas import SCHEMAS
 
@@ -75,7 +74,3 @@ def column_comments(df: DataFrame) -> dict[str, str]:
 def missing_tables(spark: SparkSession, names: list[str]) -> list[str]:
     """Required-table check: names absent from the catalog."""
     return [n for n in names if not spark.catalog.tableExists(n)]
-
-
-def empty_like(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], StructType([StructField(f.name, f.dataType, True) for f in schema.fields]))
