@@ -178,3 +178,17 @@ def null_rate(df: DataFrame, table: str, key_cols: list[str]) -> DataFrame:
         n.cast("bigint").alias("row_count"),
         F.round(F.coalesce((1 - mean_rate) * 100, F.lit(0.0)), 2).alias("quality_null_rate"),
     )
+
+
+def observe_rules(df: DataFrame, table: str, rules: list[Rule]):
+    """Attach per-rule failure counters to ``df`` as a Spark Observation:
+    they are filled by whatever action runs on the returned DataFrame (no
+    extra scan).  Returns (observed DataFrame, Observation); read
+    ``observation.get`` after the action."""
+    from pyspark.sql import Observation
+
+    obs = Observation(f"dq_{table}")
+    metrics = [F.count(F.lit(1)).alias("rows_checked")] + [
+        F.count_if(~r.passed()).alias(r.name) for r in rules
+    ]
+    return df.observe(obs, *metrics), obs

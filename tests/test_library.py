@@ -102,3 +102,18 @@ def test_coverage_weeks_negative_stock(spark):
                                       "coverage_weeks")}
     # weekly use = 13 * 12 / 52 = 3.0; coverage = -26 / 3 = -8.67 -> -8.7
     assert got == {"a": (3.0, -8.7), "b": (0.0, None)}
+
+
+def test_warn_rules_observed_without_extra_scan(spark):
+    from stockpilot.operators.quality import keep, observe_rules, rules_for
+    from stockpilot.sources.schemas import SCHEMAS
+
+    fc = spark.createDataFrame(
+        [("f1", "p", None, T, 1, 0.5, None), ("f2", "p", None, T, -1, 1.5, None), ("f3", "p", None, T, 2, None, None)],
+        SCHEMAS["forecasts"],
+    )
+    rules = rules_for("forecasts")
+    observed, obs = observe_rules(fc, "forecasts", rules)
+    kept = keep(observed, rules)
+    assert kept.count() == 2
+    assert obs.get == {"rows_checked": 3, "forecast_qty_non_negative": 1, "accuracy_in_range": 1}
