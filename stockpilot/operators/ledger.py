@@ -1,14 +1,9 @@
 """Signed event ledger with running balance, monthly stock projection,
 policy breaches and the inventory views built on them.
 
-Running sums are split in two levels so that a component holding a large
-share of all events is never ordered inside one task:
-
-* per (item, sequence, day) totals are pre-aggregated map-side, and the
-  balance before each day is a window over those day totals (an item has at
-  most one row per calendar day, whatever its event volume);
-* inside one (item, sequence, day) group the rows are ordered by
-  (event_type, order_no), and the two parts are added.
+Running sums are split in levels (item -> day -> chunk of a day -> row) so
+that a component holding a large share of all events, or a large share on
+one day, is never ordered inside one task; see ``timeline``.
 
 The projection runs its window over a dense component x month grid (a
 dozen rows per component), built by ``explode`` on each component row
@@ -65,30 +60,67 @@ def _events(inventory_current: DataFrame, sales_orders: DataFrame, purchase_orde
     return on_hand.unionByName(use).unionByName(receipt)
 
 
-def timeline(inventory_current: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, p: Params) -> DataFrame:
-    ev = _events(inventory_current, sales_orders, purchase_orders, p)
+def timeline(
+    inventory_current: DataFrame,
+    sales_orders: DataFrame,
+    purchase_orders: DataFrame,
+    p: Params,
+    chunk_prefix: int = 4,
+) -> DataFrame:
+    """Running balance per item in ledger order (seq, date, type, order no).
+
+    Three levels, so that neither a hot item nor a hot (item, day) is ordered
+    in one task:
+
+    1. (item, seq, day) totals; balance before each day = window per item
+       over its days (at most one row per calendar day);
+    2. chunks = (item, seq, day, type, first ``chunk_prefix`` characters of
+       the order no).  Strings sharing a prefix are contiguous in string
+       order and chunks sort by their prefix, so ordering chunks by (type,
+       prefix) and rows inside a chunk by order no is exactly the ledger
+       order; balance before each chunk = window per day over its chunks;
+    3. running sum inside a chunk.
+
+    Only the chunk and day tables (small) are windowed per item or day; the
+    event rows are shuffled once for the in-chunk window and joined to their
+    chunk offset.  A count of non-NULL quantities keeps SQL's "SUM of only
+    NULLs is NULL"."""
+    ev = _events(inventory_current, sales_orders, purchase_orders, p).withColumn(
+        "chunk", F.substring("order_no", 1, chunk_prefix)
+    )
     day_keys = ["item_id", "event_seq", "event_date"]
+    chunk_keys = day_keys + ["event_type", "chunk"]
     c0 = F.lit(0).cast("bigint")
-    # level 1: balance before each (item, seq, day), from day totals; the
-    # count of non-NULL quantities keeps SQL's "SUM of only NULLs is NULL"
-    days = ev.groupBy(*day_keys).agg(F.sum("quantity").alias("day_qty"), F.count("quantity").alias("day_n"))
+
+    chunks = ev.groupBy(*chunk_keys).agg(F.sum("quantity").alias("c_qty"), F.count("quantity").alias("c_n"))
+    days = chunks.groupBy(*day_keys).agg(F.sum("c_qty").alias("d_qty"), F.sum("c_n").alias("d_n"))
     w_days = Window.partitionBy("item_id").orderBy("event_seq", "event_date").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(
         *day_keys,
-        F.coalesce(F.sum("day_qty").over(w_days), c0).alias("before_qty"),
-        F.coalesce(F.sum("day_n").over(w_days), c0).alias("before_n"),
+        F.coalesce(F.sum("d_qty").over(w_days), c0).alias("before_day_qty"),
+        F.coalesce(F.sum("d_n").over(w_days), c0).alias("before_day_n"),
     )
-    # level 2: running sum inside the day, ties broken by type and order number
-    w_in = Window.partitionBy(*day_keys).orderBy("event_type", "order_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    w_chunks = Window.partitionBy(*day_keys).orderBy("event_type", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        *chunk_keys,
+        F.coalesce(F.sum("c_qty").over(w_chunks), c0).alias("before_chunk_qty"),
+        F.coalesce(F.sum("c_n").over(w_chunks), c0).alias("before_chunk_n"),
     )
+    c, dy = chunks.alias("c"), days.alias("dy")
+    offsets = c.join(dy, [F.col(f"c.{k}").eqNullSafe(F.col(f"dy.{k}")) for k in day_keys], "left").select(
+        *[F.col(f"c.{k}").alias(k) for k in chunk_keys],
+        (F.coalesce(F.col("dy.before_day_qty"), c0) + F.col("c.before_chunk_qty")).alias("off_qty"),
+        (F.coalesce(F.col("dy.before_day_n"), c0) + F.col("c.before_chunk_n")).alias("off_n"),
+    )
+
+    w_in = Window.partitionBy(*chunk_keys).orderBy("order_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ev = ev.withColumn("in_qty", F.coalesce(F.sum("quantity").over(w_in), c0)).withColumn(
         "in_n", F.count("quantity").over(w_in)
     )
-    e, b = ev.alias("e"), days.alias("b")
-    j = e.join(b, [F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in day_keys], "left")
-    seen = F.coalesce(F.col("b.before_n"), c0) + F.col("e.in_n")
-    bal = F.when(seen > 0, F.coalesce(F.col("b.before_qty"), c0) + F.col("e.in_qty"))
+    e, o = ev.alias("e"), offsets.alias("o")
+    j = e.join(o, [F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}")) for k in chunk_keys], "left")
+    seen = F.coalesce(F.col("o.off_n"), c0) + F.col("e.in_n")
+    bal = F.when(seen > 0, F.coalesce(F.col("o.off_qty"), c0) + F.col("e.in_qty"))
     q = F.col("e.quantity")
     return j.select(
         d(p.as_of).alias("snapshot_date"),

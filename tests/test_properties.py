@@ -118,3 +118,39 @@ def test_hot_component_matches_brute_force(make_domain):
     for s in hot:
         bal -= s["component_required_qty"]
         assert got_tl[("hot", s["sales_order_id"])] == bal
+
+
+@pytest.mark.parametrize("prefix", [1, 2, 4])
+def test_hot_item_day_ledger_matches_brute_force(make_domain, prefix):
+    """A third of all ledger rows on one item and one day, order numbers of
+    mixed lengths (chunk boundaries inside the day): the chunked running
+    balance equals a plain sort-and-sum."""
+    rnd = random.Random(11)
+    so, po = [], []
+    hot_day = T + dt.timedelta(days=3)
+    for i in range(450):
+        hot = i % 3 == 0
+        comp = "hot" if hot else f"c{rnd.randrange(30)}"
+        day = hot_day if hot else T + dt.timedelta(days=rnd.randrange(0, 20))
+        oid = f"{rnd.randrange(1, 10 ** rnd.randrange(1, 5))}-{i}"
+        if rnd.random() < 0.7:
+            so.append({"sales_order_id": "S" + oid if i % 5 else oid, "component_id": comp,
+                       "requested_delivery_date": day, "component_required_qty": rnd.randrange(1, 9)})
+        else:
+            po.append({"purchase_order_id": oid, "component_id": comp, "expected_delivery_date": day,
+                       "outstanding_qty": rnd.randrange(1, 9), "status": "placed"})
+    inv = [{"component_id": "hot", "warehouse_id": "w", "stock_qty": 100}]
+    dom = make_domain(sales_orders=so, purchase_orders=po, inventory_current=inv)
+    tl = ledger.timeline(dom["inventory_current"], dom["sales_orders"], dom["purchase_orders"], DEFAULT,
+                         chunk_prefix=prefix)
+    got = {(r[0], r[1], r[2]): r[3] for r in rows(tl, "item_id", "event_type", "order_no", "cumulative_balance")}
+    events = [("hot", 0, T, "ON_HAND", "", 100)]
+    events += [(s["component_id"], 1, s["requested_delivery_date"], "CONSUMPTION", s["sales_order_id"],
+                -s["component_required_qty"]) for s in so]
+    events += [(x["component_id"], 1, x["expected_delivery_date"], "RECEIPT", x["purchase_order_id"],
+                x["outstanding_qty"]) for x in po]
+    for item in {e[0] for e in events}:
+        bal = 0
+        for e in sorted((e for e in events if e[0] == item), key=lambda e: (e[1], e[2], e[3], e[4])):
+            bal += e[5]
+            assert got[(item, e[3], e[4])] == bal
