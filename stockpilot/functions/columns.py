@@ -67,3 +67,21 @@ def policy_status(stock: Column, min_qty: Column, max_qty: Column) -> Column:
         .when(stock > max_qty, F.lit("OVER"))
         .otherwise(F.lit("OK"))
     )
+
+
+# Display labels of the codes (routes, action levels as the
+# dashboard shows them, demand sources).
+ROUTE_LABELS = {
+    "CUSTOMER_STOCK": "Customer stock",
+    "DISTRIBUTOR_FREE": "Free stock",
+    "EXISTING_PO": "PO backlog",
+    "NEW_ORDER": "New order",
+}
+LEVEL_LABELS = {"NONE": "OK", "LIGHT": "Medium", "MEDIUM": "High", "HEAVY": "Critical"}
+SOURCE_LABELS = {"FCST_AUTO": "Auto from sales forecast", "EMERGENCY_MANUAL": "Emergency manual entry"}
+
+
+def label(code: Column, mapping: dict[str, str]) -> Column:
+    """Code -> display label through a literal map (unknown codes stay as is)."""
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.coalesce(F.element_at(m, code), code)

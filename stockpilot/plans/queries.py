@@ -379,3 +379,22 @@ def _inv_ledger(dom):
 @query("whatif_verdict")
 def _whatif_verdict(dom):
     return analytics.whatif_verdicts(_whatif(dom))
+
+
+from stockpilot.functions.columns import LEVEL_LABELS, ROUTE_LABELS, SOURCE_LABELS, label  # noqa: E402
+
+
+@query("fn_label")
+def _fn_label(dom):
+    """Best route per demand with display labels and display column names."""
+    from pyspark.sql import functions as F
+
+    b = dom.mart("best_route")
+    return b.select(
+        "demand_id",
+        "component_id",
+        label(F.col("route_type"), ROUTE_LABELS).alias("route_label"),
+        label(F.col("action_level"), LEVEL_LABELS).alias("priority_label"),
+        label(F.col("source_type"), SOURCE_LABELS).alias("source_label"),
+    ).withColumnsRenamed({"demand_id": "Demand", "component_id": "Component", "route_label": "Recommended route",
+                          "priority_label": "Priority", "source_label": "Source"})
