@@ -45,3 +45,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)
     return sc.getCheckpointDir() or cur
+
+
+def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Session settings for a large cluster run, sized from the input volume.
+
+    The initial shuffle partition count targets ~1 GB per partition of the
+    largest shuffle (the lineitem-sized joins, before AQE), at least three
+    waves of the cluster's cores and at most 100k (map-status size on the
+    driver); AQE then coalesces small partitions to ~256 MB and splits
+    skewed ones.  Broadcasts happen only when AQE measures a side below the
+    threshold at run time (nothing is hinted)."""
+    cores = executors * cores_per_executor
+    by_size = int(input_tb * 1024)  # one partition per GB of input
+    partitions = min(max(3 * cores, by_size), 100_000)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "512m",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_cluster_conf(spark: SparkSession, **sizing) -> dict[str, str]:
+    """Set the runtime SQL settings of ``cluster_conf`` that the session does
+    not already define (a platform's explicit choices win)."""
+    applied = {}
+    for k, v in cluster_conf(**sizing).items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
