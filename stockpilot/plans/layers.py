@@ -27,15 +27,20 @@ def layer_root(spark: SparkSession) -> str:
 
 
 def materialize(dom: Domain, root: str) -> dict[str, str]:
-    """Write raw/<table> and clean/<table>; returns table -> path."""
+    """Write raw/<table>, then build the cleansed tables from the written raw
+    layer (lineage cut; the mapping runs once per table) and write
+    clean/<table>.  Returns table -> path."""
+    spark = dom.spark
     paths: dict[str, str] = {}
     for t in dom.raw.keys():
         path = f"{root}/raw/{t}"
         dom.raw[t].write.mode("overwrite").parquet(path)
         paths[f"raw/{t}"] = path
-    for t in list(dom.clean.keys()):
+    raw = LazyTables({t: (lambda t=t: spark.read.parquet(f"{root}/raw/{t}")) for t in dom.raw.keys()})
+    rdom = Domain(raw, dom.p, spark)
+    for t in list(rdom.clean.keys()):
         path = f"{root}/clean/{t}"
-        dom[t].write.mode("overwrite").parquet(path)
+        rdom[t].write.mode("overwrite").parquet(path)
         paths[f"clean/{t}"] = path
     return paths
 
