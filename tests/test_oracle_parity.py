@@ -1,5 +1,5 @@
 """Every registered query equals its DuckDB oracle on the small driver data
-(row count, column names, multiset of rows), and its executed plan has no
+(row count, column names and types, multiset of rows), and its executed plan has no
 cartesian / nested-loop join and no Python UDF."""
 
 import pytest
