@@ -66,6 +66,7 @@ def timeline(
     purchase_orders: DataFrame,
     p: Params,
     chunk_prefix: int = 4,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Running balance per item in ledger order (seq, date, type, order no).
 
@@ -88,6 +89,14 @@ def timeline(
     ev = _events(inventory_current, sales_orders, purchase_orders, p).withColumn(
         "chunk", F.substring("order_no", 1, chunk_prefix)
     )
+    if checkpoint:
+        # the event rows feed three branches (chunk totals, day totals, the
+        # in-chunk window); a reliable checkpoint in the shared checkpoint
+        # folder computes them once instead of once per branch
+        from stockpilot.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(ev.sparkSession)
+        ev = ev.checkpoint(eager=True)
     day_keys = ["item_id", "event_seq", "event_date"]
     chunk_keys = day_keys + ["event_type", "chunk"]
     c0 = F.lit(0).cast("bigint")

@@ -1,8 +1,11 @@
 """Domain context: raw and cleansed tables for one data directory.
 
-Everything is lazy; the context only memoises DataFrame objects so that a
-plan which uses the same cleansed table twice refers to one logical
-subtree (Spark then reuses the exchange instead of recomputing it).
+The context memoises DataFrame objects so that a plan which uses the same
+cleansed table twice refers to one logical subtree.  A domain built from
+the driver tables can also checkpoint each cleansed table on first use
+(reliable checkpoint in the shared ``spark.checkpoint.dir``): the mapping
+from the driver tables then runs once per table and session instead of once
+per plan branch, and every mart plan starts from a short lineage.
 """
 
 from __future__ import annotations
@@ -17,12 +20,20 @@ from stockpilot.sources.driver import domain_tables
 
 
 class Domain:
-    def __init__(self, raw: dict[str, DataFrame], params: Params = DEFAULT, spark: SparkSession | None = None):
+    def __init__(
+        self,
+        raw: dict[str, DataFrame],
+        params: Params = DEFAULT,
+        spark: SparkSession | None = None,
+        checkpoint_clean: bool = False,
+    ):
         self.raw = raw
         self.p = params
         self._marts: dict[str, DataFrame] = {}
         self._spark = spark
         self.sf_dir: str | None = None
+        self.checkpoint_clean = checkpoint_clean
+        self._checkpointed: dict[str, DataFrame] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -31,8 +42,10 @@ class Domain:
         return self._spark
 
     @classmethod
-    def from_driver(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> "Domain":
-        dom = cls(domain_tables(spark, sf_dir, params), params, spark)
+    def from_driver(
+        cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT, checkpoint_clean: bool = False
+    ) -> "Domain":
+        dom = cls(domain_tables(spark, sf_dir, params), params, spark, checkpoint_clean)
         dom.sf_dir = sf_dir
         return dom
 
@@ -41,7 +54,14 @@ class Domain:
         return clean_all(self.raw, self.p)
 
     def __getitem__(self, table: str) -> DataFrame:
-        return self.clean[table]
+        if not self.checkpoint_clean:
+            return self.clean[table]
+        if table not in self._checkpointed:
+            from stockpilot.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(self.spark)
+            self._checkpointed[table] = self.clean[table].checkpoint(eager=True)
+        return self._checkpointed[table]
 
     def mart(self, name: str) -> DataFrame:
         """Memoised mart by registry name (marts feed other marts)."""

@@ -37,6 +37,8 @@ def load_all() -> dict[str, Callable[[Domain], DataFrame]]:
 
 
 _DOMAINS: dict[tuple, Domain] = {}
+# cleansed tables are checkpointed once per session (see plans/context.py)
+CHECKPOINT_CLEAN = True
 
 
 def domain_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Domain:
@@ -45,7 +47,7 @@ def domain_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Do
     subtrees instead of rebuilding them on the driver for every call."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
     if key not in _DOMAINS:
-        _DOMAINS[key] = Domain.from_driver(spark, sf_dir, params)
+        _DOMAINS[key] = Domain.from_driver(spark, sf_dir, params, checkpoint_clean=CHECKPOINT_CLEAN)
     return _DOMAINS[key]
 
 
