@@ -178,8 +178,6 @@ def projection(
             F.col("component_id"),
             month.alias("month_start"),
             F.lit(False).alias("grid"),
-            F.lit(None).cast("string").alias("part_number"),
-            F.lit(None).cast("string").alias("component_name"),
             F.lit(None).cast("int").alias("min_qty"),
             F.lit(None).cast("int").alias("max_qty"),
             init.cast("bigint").alias("init"),
@@ -188,8 +186,11 @@ def projection(
             fc.cast("bigint").alias("fc"),
         )
 
+    # only fixed-width columns go through the group-by (hash aggregation,
+    # no sort); the names are joined after the window, on the component key
+    # the window already partitioned by
     grid = month_grid(components, p).select(
-        "component_id", "month_start", F.lit(True).alias("grid"), "part_number", "component_name",
+        "component_id", "month_start", F.lit(True).alias("grid"),
         "min_qty", "max_qty", zero.alias("init"), zero.alias("so"), zero.alias("po"), zero.alias("fc"),
     )
     init = flow(inventory_current, first, init=F.col("stock_qty"))
@@ -217,8 +218,6 @@ def projection(
         rows.groupBy("component_id", "month_start")
         .agg(
             F.max("grid").alias("grid"),
-            F.max("part_number").alias("part_number"),
-            F.max("component_name").alias("component_name"),
             F.max("min_qty").alias("min_qty"),
             F.max("max_qty").alias("max_qty"),
             F.coalesce(F.sum("init"), c0).alias("init"),
@@ -233,6 +232,8 @@ def projection(
     net = F.col("init") + F.when(future, F.col("po") - F.greatest("so", "fc")).otherwise(c0)
     w = Window.partitionBy("component_id").orderBy("month_start").rowsBetween(Window.unboundedPreceding, 0)
     m = m.withColumn("customer_stock_proj", F.sum(net).over(w))
+    names = components.select("component_id", "part_number", "component_name")
+    m = m.join(names, "component_id", "left")
     return m.select(
         month_key(F.col("month_start")).alias("month_end_date"),
         F.col("component_id").alias("item_id"),
