@@ -121,7 +121,7 @@ def scenarios_from_emergencies(demand: DataFrame) -> DataFrame:
 def whatif(
     scenarios: DataFrame,
     demand: DataFrame,
-    stock: DataFrame,
+    inventory_current: DataFrame,
     free_inventory: DataFrame,
     purchase_orders: DataFrame,
     components: DataFrame,
@@ -131,49 +131,69 @@ def whatif(
 
     Differs from the options mart on purpose: consumption counts demand of
     every source dated in [T, req_date]; shortage is clipped at 0; a
-    missing PO eta falls back to T + 7 * lead time."""
+    missing PO eta falls back to T + 7 * lead time.
+
+    Plan: one union of demand day rows, one probe row per scenario key and
+    the per-component route inputs, one group-by (map-side partial
+    aggregates), one window per component over that aggregate (RANGE by
+    date: demand on the request date counts; the inputs sort first and are
+    carried by a running max), and one join back to the scenarios.  A
+    component has at most one row per calendar day plus one per distinct
+    request date, whatever its volume."""
     T = d(p.as_of)
-    # consumption: prefix sums over (component, day) totals, read at each
-    # distinct (component, req_date) key; RANGE frame = ties included
-    day = (
-        demand.filter(F.col("requested_date") >= T)
-        .groupBy("component_id", F.col("requested_date").alias("k_date"))
-        .agg(F.sum("requested_qty").cast(L).alias("qty"))
-        .withColumn("probe", F.lit(False))
-    )
-    keys = scenarios.select("component_id", F.col("req_date").alias("k_date")).distinct().select(
-        "component_id", "k_date", F.lit(None).cast(L).alias("qty"), F.lit(True).alias("probe")
-    )
-    w = Window.partitionBy("component_id").orderBy("k_date").rangeBetween(Window.unboundedPreceding, 0)
-    cons = (
-        day.unionByName(keys)
-        .withColumn("consumption", F.coalesce(F.sum("qty").over(w), F.lit(0).cast(L)))
-        .filter("probe")
-        .select("component_id", F.col("k_date").alias("req_date"), "consumption")
-    )
-    free = free_inventory.groupBy("component_id").agg(F.sum(F.coalesce("qty_available", F.lit(0))).cast(L).alias("free_qty"))
-    po = (
-        purchase_orders.filter((F.col("outstanding_qty") > 0) & (F.col("expected_delivery_date") >= T))
-        .groupBy("component_id")
-        .agg(
-            F.sum("outstanding_qty").cast(L).alias("po_qty"),
-            F.min("expected_delivery_date").alias("po_eta"),
-            F.coalesce(F.bool_or("is_delayed"), F.lit(False)).alias("po_delayed"),
+    n_l, n_i, n_d = F.lit(None).cast(L), F.lit(None).cast("int"), F.lit(None).cast("date")
+    cols = ("qty", "stock", "free_qty", "po_qty", "po_eta", "po_delayed", "base_lt")
+
+    def rows(df, kind, date, **vals):
+        base = {"qty": n_l, "stock": n_l, "free_qty": n_l, "po_qty": n_l, "po_eta": n_d, "po_delayed": n_i,
+                "base_lt": n_i}
+        base.update(vals)
+        return df.filter(F.col("component_id").isNotNull()).select(
+            "component_id", date.alias("k_date"), F.lit(kind).alias("kind"), *[base[c].alias(c) for c in cols]
         )
+
+    po = purchase_orders.filter((F.col("outstanding_qty") > 0) & (F.col("expected_delivery_date") >= T))
+    u = (
+        rows(demand.filter(F.col("requested_date") >= T), 0, F.col("requested_date"),
+             qty=F.col("requested_qty").cast(L))
+        .unionByName(rows(scenarios, 1, F.col("req_date")))
+        .unionByName(rows(inventory_current, 2, n_d, stock=F.col("stock_qty").cast(L)))
+        .unionByName(rows(free_inventory, 2, n_d, free_qty=F.coalesce(F.col("qty_available"), F.lit(0)).cast(L)))
+        .unionByName(rows(po, 2, n_d, po_qty=F.col("outstanding_qty").cast(L), po_eta=F.col("expected_delivery_date"),
+                          po_delayed=F.col("is_delayed").cast("int")))
+        .unionByName(rows(components, 2, n_d, base_lt=F.col("base_lead_time_weeks")))
     )
-    comp = components.select("component_id", "part_number", "component_name", "supplier_name",
-                             F.col("base_lead_time_weeks").alias("base_lt"))
-    s = (
-        scenarios.join(cons, ["component_id", "req_date"], "left")
-        .join(stock, "component_id", "left")
-        .join(free, "component_id", "left")
-        .join(po, "component_id", "left")
-        .join(comp, "component_id", "left")
+    g = u.groupBy("component_id", "k_date", "kind").agg(
+        F.sum("qty").alias("qty"), F.sum("stock").alias("stock"), F.sum("free_qty").alias("free_qty"),
+        F.sum("po_qty").alias("po_qty"), F.min("po_eta").alias("po_eta"), F.max("po_delayed").alias("po_delayed"),
+        F.max("base_lt").alias("base_lt"),
+    )
+    w = (
+        Window.partitionBy("component_id")
+        .orderBy(F.col("k_date").asc_nulls_first())
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    probes = g.select(
+        "component_id",
+        "k_date",
+        "kind",
+        F.coalesce(F.sum("qty").over(w), F.lit(0).cast(L)).alias("consumption"),
+        *[F.max(c).over(w).alias(c) for c in ("stock", "free_qty", "po_qty", "po_delayed", "base_lt")],
+        F.min("po_eta").over(w).alias("po_eta"),
+    ).filter(F.col("kind") == 1)
+    sc, pr = scenarios.alias("sc"), probes.alias("pr")
+    cond = [F.col("sc.component_id").eqNullSafe(F.col("pr.component_id")),
+            F.col("sc.req_date").eqNullSafe(F.col("pr.k_date"))]
+    s = sc.join(pr, cond, "left").select(
+        "sc.*",
+        F.when(F.col("sc.req_date").isNotNull(), F.col("pr.consumption")).alias("consumption"),
+        *[F.col(f"pr.{c}").alias(c) for c in ("stock", "free_qty", "po_qty", "po_eta", "base_lt")],
+        (F.col("pr.po_delayed") == 1).alias("po_delayed"),
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0).cast(L))
     lt = lt_weeks(F.col("base_lt"), p)
     s = s.select(
-        "scenario_id", "component_id", "part_number", "component_name", "supplier_name", "req_qty", "req_date",
+        "scenario_id", "component_id", "req_qty", "req_date",
         z("stock").alias("cust_total"), z("consumption").alias("consumption"),
         F.greatest(F.lit(0).cast(L), z("stock") - z("consumption")).alias("cust_effective"),
         z("free_qty").alias("free_qty"), z("po_qty").alias("po_qty"), "po_eta",

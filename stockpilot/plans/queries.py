@@ -179,7 +179,7 @@ def _scenarios(dom):
 def _whatif(dom):
     if "whatif" not in dom._marts:
         dom._marts["whatif"] = recommend.whatif(
-            _scenarios(dom), dom["demand_plan_components"], dom.mart("stock_by_component"), dom["free_inventory"],
+            _scenarios(dom), dom["demand_plan_components"], dom["inventory_current"], dom["free_inventory"],
             dom["purchase_orders"], dom["components"], dom.p,
         )
     return dom._marts["whatif"]

@@ -258,7 +258,7 @@ def test_whatif_window_and_missing_po(make_domain):
     dom = make_domain(demand_plan_components=dm, components=[_comp("c", base_lead_time_weeks=3)],
                       inventory_current=[{"component_id": "c", "warehouse_id": "w", "stock_qty": 10}])
     sc = dom.spark.createDataFrame([("s", "c", 5, days(5))], "scenario_id string, component_id string, req_qty int, req_date date")
-    wf = recommend.whatif(sc, dom["demand_plan_components"], stock_by_component(dom["inventory_current"]),
+    wf = recommend.whatif(sc, dom["demand_plan_components"], dom["inventory_current"],
                           dom["free_inventory"], dom["purchase_orders"], dom["components"], DEFAULT)
     cust = wf.filter("route_type = 'CUSTOMER_STOCK'").first()
     assert (cust["consumption"], cust["cust_effective"], cust["shortage_qty"]) == (2, 8, 0)
