@@ -117,3 +117,18 @@ def test_warn_rules_observed_without_extra_scan(spark):
     kept = keep(observed, rules)
     assert kept.count() == 2
     assert obs.get == {"rows_checked": 3, "forecast_qty_non_negative": 1, "accuracy_in_range": 1}
+
+
+def test_cluster_conf_sizing_and_respect_for_explicit_settings(spark):
+    from stockpilot.session import apply_cluster_conf, cluster_conf
+
+    big = cluster_conf(input_tb=100, executors=1000, cores_per_executor=8)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert cluster_conf(input_tb=1, executors=10, cores_per_executor=8)["spark.sql.shuffle.partitions"] == "1024"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = apply_cluster_conf(spark, input_tb=1, executors=10)
+    # the session's explicit shuffle setting wins
+    assert "spark.sql.shuffle.partitions" not in applied
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for k in applied:
+        spark.conf.unset(k)
