@@ -1,9 +1,9 @@
 """Signed event ledger with running balance, monthly stock projection,
 policy breaches and the inventory views built on them.
 
-Running sums are split in levels (item -> day -> chunk of a day -> row) so
-that a component holding a large share of all events, or a large share on
-one day, is never ordered inside one task; see ``timeline``.
+The ledger's running sum is a distributed prefix sum over range-partitioned
+slices, so a component holding a large share of all events (even on one
+day) is never ordered inside one task; see ``timeline``.
 
 The projection runs its window over a dense component x month grid (a
 dozen rows per component), built by ``explode`` on each component row
@@ -65,69 +65,51 @@ def timeline(
     sales_orders: DataFrame,
     purchase_orders: DataFrame,
     p: Params,
-    chunk_prefix: int = 4,
-    checkpoint: bool = True,
+    chunks: int | None = None,
 ) -> DataFrame:
-    """Running balance per item in ledger order (seq, date, type, order no).
-
-    Three levels, so that neither a hot item nor a hot (item, day) is ordered
-    in one task:
-
-    1. (item, seq, day) totals; balance before each day = window per item
-       over its days (at most one row per calendar day);
-    2. chunks = (item, seq, day, type, first ``chunk_prefix`` characters of
-       the order no).  Strings sharing a prefix are contiguous in string
-       order and chunks sort by their prefix, so ordering chunks by (type,
-       prefix) and rows inside a chunk by order no is exactly the ledger
-       order; balance before each chunk = window per day over its chunks;
-    3. running sum inside a chunk.
-
-    Only the chunk and day tables (small) are windowed per item or day; the
-    event rows are shuffled once for the in-chunk window and joined to their
-    chunk offset.  A count of non-NULL quantities keeps SQL's "SUM of only
-    NULLs is NULL"."""
-    ev = _events(inventory_current, sales_orders, purchase_orders, p).withColumn(
-        "chunk", F.substring("order_no", 1, chunk_prefix)
-    )
-    if checkpoint:
-        # the event rows feed three branches (chunk totals, day totals, the
-        # in-chunk window); a reliable checkpoint in the shared checkpoint
-        # folder computes them once instead of once per branch
-        from stockpilot.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(ev.sparkSession)
-        ev = ev.checkpoint(eager=True)
-    day_keys = ["item_id", "event_seq", "event_date"]
-    chunk_keys = day_keys + ["event_type", "chunk"]
+    """Running balance per item in ledger order (seq, date, type, order no),
+    as a distributed prefix sum that never orders a hot item -- or a hot
+    (item, day) -- in one task:
+
+    1. the events are range-partitioned on (item, ledger order) into
+       ``chunks`` contiguous slices (default: the session's shuffle
+       partitions), each row tagged with its slice, and checkpointed in the
+       shared checkpoint folder so the tag is fixed for every later read and
+       any recomputation;
+    2. running sum per (slice, item) -- a slice is at most one task's worth of
+       rows;
+    3. per (item, slice) totals (at most items + slices rows); the balance
+       before a slice is a window per item over its slices;
+    4. balance = offset of the slice + running sum inside the slice.
+
+    A count of non-NULL quantities keeps SQL's "SUM of only NULLs is NULL"."""
+    from stockpilot.session import ensure_checkpoint_dir
+
+    ev = _events(inventory_current, sales_orders, purchase_orders, p)
+    spark = ev.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["event_seq", "event_date", "event_type", "order_no"]
     c0 = F.lit(0).cast("bigint")
-
-    chunks = ev.groupBy(*chunk_keys).agg(F.sum("quantity").alias("c_qty"), F.count("quantity").alias("c_n"))
-    days = chunks.groupBy(*day_keys).agg(F.sum("c_qty").alias("d_qty"), F.sum("c_n").alias("d_n"))
-    w_days = Window.partitionBy("item_id").orderBy("event_seq", "event_date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(
-        *day_keys,
-        F.coalesce(F.sum("d_qty").over(w_days), c0).alias("before_day_qty"),
-        F.coalesce(F.sum("d_n").over(w_days), c0).alias("before_day_n"),
-    )
-    w_chunks = Window.partitionBy(*day_keys).orderBy("event_type", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(
-        *chunk_keys,
-        F.coalesce(F.sum("c_qty").over(w_chunks), c0).alias("before_chunk_qty"),
-        F.coalesce(F.sum("c_n").over(w_chunks), c0).alias("before_chunk_n"),
-    )
-    c, dy = chunks.alias("c"), days.alias("dy")
-    offsets = c.join(dy, [F.col(f"c.{k}").eqNullSafe(F.col(f"dy.{k}")) for k in day_keys], "left").select(
-        *[F.col(f"c.{k}").alias(k) for k in chunk_keys],
-        (F.coalesce(F.col("dy.before_day_qty"), c0) + F.col("c.before_chunk_qty")).alias("off_qty"),
-        (F.coalesce(F.col("dy.before_day_n"), c0) + F.col("c.before_chunk_n")).alias("off_n"),
+    ev = (
+        ev.repartitionByRange(n, F.col("item_id").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
+        .withColumn("chunk", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
-
-    w_in = Window.partitionBy(*chunk_keys).orderBy("order_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_in = Window.partitionBy("chunk", "item_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("in_qty", F.coalesce(F.sum("quantity").over(w_in), c0)).withColumn(
         "in_n", F.count("quantity").over(w_in)
     )
-    e, o = ev.alias("e"), offsets.alias("o")
-    j = e.join(o, [F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}")) for k in chunk_keys], "left")
+    tot = ev.groupBy("item_id", "chunk").agg(F.sum("quantity").alias("t_qty"), F.count("quantity").alias("t_n"))
+    w_off = Window.partitionBy("item_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(
+        "item_id",
+        "chunk",
+        F.coalesce(F.sum("t_qty").over(w_off), c0).alias("off_qty"),
+        F.coalesce(F.sum("t_n").over(w_off), c0).alias("off_n"),
+    )
+    e, o = ev.alias("e"), off.alias("o")
+    j = e.join(o, (F.col("e.chunk") == F.col("o.chunk")) & F.col("e.item_id").eqNullSafe(F.col("o.item_id")), "left")
     seen = F.coalesce(F.col("o.off_n"), c0) + F.col("e.in_n")
     bal = F.when(seen > 0, F.coalesce(F.col("o.off_qty"), c0) + F.col("e.in_qty"))
     q = F.col("e.quantity")

@@ -120,11 +120,11 @@ def test_hot_component_matches_brute_force(make_domain):
         assert got_tl[("hot", s["sales_order_id"])] == bal
 
 
-@pytest.mark.parametrize("prefix", [1, 2, 4])
-def test_hot_item_day_ledger_matches_brute_force(make_domain, prefix):
+@pytest.mark.parametrize("chunks", [1, 3, 16])
+def test_hot_item_day_ledger_matches_brute_force(make_domain, chunks):
     """A third of all ledger rows on one item and one day, order numbers of
-    mixed lengths (chunk boundaries inside the day): the chunked running
-    balance equals a plain sort-and-sum."""
+    mixed lengths, split over 1, 3 or 16 range slices: the distributed
+    running balance equals a plain sort-and-sum."""
     rnd = random.Random(11)
     so, po = [], []
     hot_day = T + dt.timedelta(days=3)
@@ -142,7 +142,7 @@ def test_hot_item_day_ledger_matches_brute_force(make_domain, prefix):
     inv = [{"component_id": "hot", "warehouse_id": "w", "stock_qty": 100}]
     dom = make_domain(sales_orders=so, purchase_orders=po, inventory_current=inv)
     tl = ledger.timeline(dom["inventory_current"], dom["sales_orders"], dom["purchase_orders"], DEFAULT,
-                         chunk_prefix=prefix)
+                         chunks=chunks)
     got = {(r[0], r[1], r[2]): r[3] for r in rows(tl, "item_id", "event_type", "order_no", "cumulative_balance")}
     events = [("hot", 0, T, "ON_HAND", "", 100)]
     events += [(s["component_id"], 1, s["requested_delivery_date"], "CONSUMPTION", s["sales_order_id"],
