@@ -83,3 +83,15 @@ def test_layers_give_the_same_marts(spark):
         a = sorted(map(tuple, q[name](direct).collect()), key=repr)
         b = sorted(map(tuple, q[name](layered).collect()), key=repr)
         assert a == b, name
+
+
+def test_refresh_writes_tables_with_comments(spark):
+    from conftest import SF001
+    from stockpilot.plans.refresh import refresh_all
+    from stockpilot.sources.files import column_comments
+
+    paths = refresh_all(spark, SF001, names=["mart_options", "mart_breach"])
+    opts = spark.read.parquet(paths["mart_options"])
+    assert opts.count() == 748
+    assert column_comments(opts)["action_level"] == "NONE, LIGHT, MEDIUM or HEAVY"
+    assert spark.read.parquet(paths["mart_breach"]).count() > 0
