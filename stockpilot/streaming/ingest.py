@@ -75,10 +75,21 @@ EVENT_RULES = [
 ]
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the driver's event file through the rules into a sink and
     return the ingested rows (batch read of the sink)."""
     folder = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    sink = stream_ingest(spark, folder, schema, EVENT_RULES, glob="events.parquet")
+    path = f"{folder}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    if _is_dir(spark, path):  # a folder of part files: stream the folder
+        sink = stream_ingest(spark, path, schema, EVENT_RULES)
+    else:  # a single file: stream its folder, filtered to that file name
+        sink = stream_ingest(spark, folder, schema, EVENT_RULES, glob="events.parquet")
     return spark.read.parquet(sink).drop("_batch_id")
