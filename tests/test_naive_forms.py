@@ -1,0 +1,49 @@
+"""The reference-shaped forms used for timing in the bench compute the same
+answers as the registered (rewritten) marts, so the timing comparison is
+like for like."""
+
+import os
+import sys
+
+import pytest
+
+from conftest import SF001
+from stockpilot.plans.context import Domain
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+from naive_forms import NAIVE  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def dom(spark):
+    return Domain.from_driver(spark, SF001)
+
+
+def _set(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+def test_options_same(dom):
+    a = _set(dom.mart("mart_options"), "demand_id", "route_type", "available_qty", "eta_date", "action_level")
+    b = _set(NAIVE["mart_options"](dom), "demand_id", "route_type", "available_qty", "eta_date", "action_level")
+    assert a == b
+
+
+def test_lt_snapshot_same(dom):
+    a = _set(dom.mart("mart_lt_snapshot"), "item_id", "latest_lt_weeks", "trend_arrow_n1", "trend_arrow_n3",
+             "trend_arrow_n6")
+    b = _set(NAIVE["mart_lt_snapshot"](dom), "component_id", "lead_time_weeks", "t1", "t3", "t6")
+    assert a == b
+
+
+def test_breach_same(dom):
+    a = _set(dom.mart("mart_breach"), "item_id", "breach_date", "first_breach")
+    b = _set(NAIVE["mart_breach"](dom), "item_id", "month_end_date", "first_breach")
+    assert a == b
+
+
+def test_fulfillment_same(dom):
+    a = _set(dom.mart("mart_fulfillment"), "product_id", "requested_month", "total_components",
+             "fulfillable_components")
+    b = _set(NAIVE["mart_fulfillment"](dom), "product_id", "m", "t", "f")
+    assert a == b
