@@ -10,7 +10,8 @@ Plan shape (Spark-first rewrite of a theta self-join and a 4-way union):
    task before the shuffle.
 2. A window per component over that aggregate gives (a) the running sum of
    forecast demand by date (RANGE semantics: ties share one day row) and
-   (b) the route inputs broadcast to every day row of the component.  A
+   (b) the route inputs, carried to every day row of the component by a
+   running max/min (the component row sorts first).  A
    component has at most one row per calendar day here, whatever its demand
    volume.
 3. Each demand joins its (component, date) row once: one shuffle of the
