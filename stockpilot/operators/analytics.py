@@ -402,13 +402,13 @@ def coverage_weeks(proj: DataFrame, p: Params) -> DataFrame:
     production use over the projection months from the as-of month on,
     * 12 / 52.  Ratios are rounded in integer arithmetic."""
     cur = F.lit(p.as_of.strftime("%Y-%m"))
-    first = proj.filter(F.col("month_end_date") == cur).select(
-        "item_id", F.col("customer_stock_proj").alias("stock_now")
+    # one pass: the current month's stock is a conditional aggregate of the
+    # same group (one row per item and month)
+    j = proj.filter(F.col("month_end_date") >= cur).groupBy("item_id").agg(
+        F.sum("production_use_qty").cast(L).alias("s"),
+        F.count(F.lit(1)).cast(L).alias("n"),
+        F.max(F.when(F.col("month_end_date") == cur, F.col("customer_stock_proj"))).alias("stock_now"),
     )
-    fut = proj.filter(F.col("month_end_date") >= cur).groupBy("item_id").agg(
-        F.sum("production_use_qty").cast(L).alias("s"), F.count(F.lit(1)).cast(L).alias("n")
-    )
-    j = fut.join(first, "item_id", "left")
     s, n, st = F.col("s"), F.col("n"), F.col("stock_now")
     return j.select(
         "item_id",

@@ -296,24 +296,25 @@ def item_ledger(tl: DataFrame, item_id: str) -> DataFrame:
     )
 
 
-def inventory_health(proj: DataFrame, brc: DataFrame, p: Params) -> DataFrame:
+def inventory_health(proj: DataFrame, p: Params) -> DataFrame:
     """OK share of item x month rows from the as-of month on, items managed,
-    and breach row counts per type; one row."""
-    cur = proj.filter(F.col("month_end_date") >= F.lit(p.as_of.strftime("%Y-%m")))
-    a = cur.agg(
-        F.count(F.lit(1)).alias("evaluated_rows"),
-        F.count_if(F.col("policy_status") == "OK").alias("ok_rows"),
-        F.count_distinct("item_id").alias("managed_items"),
-    )
-    b = brc.agg(
-        F.count_if(F.col("breach_type") == "ZERO").alias("zero_rows"),
-        F.count_if(F.col("breach_type") == "UNDER").alias("under_rows"),
-        F.count_if(F.col("breach_type") == "OVER").alias("over_rows"),
+    and breach row counts per type (the breach report's rows: non-OK months
+    up to the cutoff); one row, one pass over the projection."""
+    s = F.col("policy_status")
+    current = F.col("month_end_date") >= F.lit(p.as_of.strftime("%Y-%m"))
+    in_breach = (s != "OK") & (F.col("month_end_date") <= F.lit(p.breach_cutoff))
+    cols = ["evaluated_rows", "ok_rows", "managed_items", "zero_rows", "under_rows", "over_rows"]
+    both = proj.agg(
+        F.count_if(current).alias("evaluated_rows"),
+        F.count_if(current & (s == "OK")).alias("ok_rows"),
+        F.count_distinct(F.when(current, F.col("item_id"))).alias("managed_items"),
+        F.count_if(in_breach & (s == "ZERO")).alias("zero_rows"),
+        F.count_if(in_breach & (s == "UNDER")).alias("under_rows"),
+        F.count_if(in_breach & (s == "OVER")).alias("over_rows"),
     )
-    both = a.unionByName(b, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in a.columns + b.columns])
     n, ok = F.col("evaluated_rows"), F.col("ok_rows")
     return both.select(
-        *[F.col(c).cast("bigint").alias(c) for c in a.columns + b.columns],
+        *[F.col(c).cast("bigint").alias(c) for c in cols],
         F.when(n > 0, F.round(ok * 100.0 / n, 1)).otherwise(F.lit(0.0)).cast("double").alias("health_pct"),
     )
 

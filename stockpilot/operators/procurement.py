@@ -286,10 +286,10 @@ def fulfillment(routed: DataFrame, products: DataFrame, p: Params) -> DataFrame:
 LEVEL_ORDER = {LEVEL_HEAVY: 0, LEVEL_MEDIUM: 1, LEVEL_LIGHT: 2, LEVEL_NONE: 3}
 
 
-def best_route(routed: DataFrame) -> DataFrame:
-    """Lowest score = max(shortage, 0) * 1000 + days_late per demand; ties go
-    to the earlier route in the fixed route order.  Row-local: the four
-    routes are in one row, so no regrouping."""
+def best_route_col() -> Column:
+    """struct(score, route_rank, r) of the best route of the row's demand:
+    lowest max(shortage, 0) * 1000 + days_late, ties to the earlier route in
+    the fixed route order (``array_min`` over the row's own route array)."""
     scored = F.transform(
         F.col("routes"),
         lambda x, i: F.struct(
@@ -299,7 +299,13 @@ def best_route(routed: DataFrame) -> DataFrame:
             x.alias("r"),
         ),
     )
-    best = F.array_min(scored)
+    return F.array_min(scored)
+
+
+def best_route(routed: DataFrame) -> DataFrame:
+    """Best route per demand.  Row-local: the four routes are in one row, so
+    no regrouping."""
+    best = best_route_col()
     return routed.select(
         "demand_id", "component_id", "requested_date", "requested_qty", "source_type",
         best["score"].cast(L).alias("route_score"),
@@ -387,8 +393,8 @@ def bom_chain(ful: DataFrame) -> DataFrame:
 
 
 def bom_drill(routed: DataFrame, p: Params) -> DataFrame:
-    """Product x month -> its component demands with level and best route."""
-    best = best_route(routed).select("demand_id", F.col("route_type").alias("best_route"))
+    """Product x month -> its component demands with level and best route
+    (row-local, one pass over the per-demand rows)."""
     dm = routed.filter(
         (F.col("source_type") == FCST) & F.col("product_id").isNotNull() & (F.col("requested_date") >= d(p.as_of))
     )
@@ -396,7 +402,8 @@ def bom_drill(routed: DataFrame, p: Params) -> DataFrame:
         "product_id",
         F.date_format("requested_date", "yyyy-MM").alias("requested_month"),
         "demand_id", "component_id", "requested_date", "requested_qty", "action_level", "combo_ok",
-    ).join(best, "demand_id")
+        best_route_col()["r"]["route_type"].alias("best_route"),
+    )
 
 
 def bom_bottleneck(routed: DataFrame, components: DataFrame, p: Params, k: int = 5) -> DataFrame:

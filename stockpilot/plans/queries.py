@@ -36,7 +36,7 @@ def _inv_inout(dom):
 
 @query("inv_health")
 def _inv_health(dom):
-    return ledger.inventory_health(dom.mart("mart_projection"), dom.mart("mart_breach"), dom.p)
+    return ledger.inventory_health(dom.mart("mart_projection"), dom.p)
 
 
 @query("inv_item_status")
