@@ -31,6 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     if active is None or not active.sparkContext.getConf().get("spark.checkpoint.dir", None):
         # tests only: a scratch folder of our own (a cluster names a shared one)
         b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stockpilot-ckpt-"))
+    if active is None:
+        # local catalog tables go to a scratch folder, not the working directory
+        b = b.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="stockpilot-wh-"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -95,3 +95,16 @@ def test_refresh_writes_tables_with_comments(spark):
     assert opts.count() == 748
     assert column_comments(opts)["action_level"] == "NONE, LIGHT, MEDIUM or HEAVY"
     assert spark.read.parquet(paths["mart_breach"]).count() > 0
+
+
+def test_catalog_table_with_comments(spark):
+    name = "sp_comment_demo"
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    write_table(df, name, comment="demo table", column_comments={"v": "a value"})
+    try:
+        assert missing_tables(spark, [name]) == []
+        desc = {r[0]: (r[1], r[2]) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        assert desc["v"][1] == "a value"
+        assert desc["Comment"][0] == "demo table"
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
