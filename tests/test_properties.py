@@ -154,3 +154,51 @@ def test_hot_item_day_ledger_matches_brute_force(make_domain, chunks):
         for e in sorted((e for e in events if e[0] == item), key=lambda e: (e[1], e[2], e[3], e[4])):
             bal += e[5]
             assert got[(item, e[3], e[4])] == bal
+
+
+def test_hot_component_whatif_and_snapshot_match_brute_force(make_domain):
+    """A third of demand and of lead-time history on one component: the
+    what-if consumption (prefix sums by day) and the as-of lead times
+    (max_by ... FILTER) equal a brute-force evaluation."""
+    from stockpilot.operators import leadtime, recommend
+
+    rnd = random.Random(5)
+    dm, lt = [], []
+    for i in range(600):
+        comp = "hot" if i % 3 == 0 else f"c{rnd.randrange(25)}"
+        dm.append({"demand_id": f"d{i:04d}", "component_id": comp,
+                   "requested_date": T + dt.timedelta(days=rnd.randrange(-20, 60)),
+                   "requested_qty": rnd.randrange(1, 9),
+                   "source_type": rnd.choice(["FCST_AUTO", "EMERGENCY_MANUAL"])})
+        lt.append({"lead_time_id": f"l{i:04d}", "component_id": comp,
+                   "effective_date": T - dt.timedelta(days=rnd.randrange(-30, 400)),
+                   "lead_time_weeks": rnd.randrange(1, 60)})
+    dom = make_domain(demand_plan_components=dm, lead_times=lt)
+    sc = dom.spark.createDataFrame(
+        [(f"s{k}", "hot" if k % 2 else "c3", 5, T + dt.timedelta(days=k * 3)) for k in range(20)],
+        "scenario_id string, component_id string, req_qty int, req_date date",
+    )
+    wf = recommend.whatif(sc, dom["demand_plan_components"], dom["inventory_current"], dom["free_inventory"],
+                          dom["purchase_orders"], dom["components"], DEFAULT)
+    got = dict(rows(wf.filter("route_type = 'CUSTOMER_STOCK'"), "scenario_id", "consumption"))
+    for k in range(20):
+        comp, req = ("hot" if k % 2 else "c3"), T + dt.timedelta(days=k * 3)
+        exp = sum(x["requested_qty"] for x in dm if x["component_id"] == comp and T <= x["requested_date"] <= req)
+        assert got[f"s{k}"] == exp
+
+    snap = leadtime.lt_snapshot(dom["lead_times"], DEFAULT)
+    got_lt = {r[0]: r[1:] for r in rows(snap, "item_id", "latest_lt_weeks", "lt_n3_weeks")}
+
+    def latest(comp, bound):
+        c = [x for x in lt if x["component_id"] == comp and x["effective_date"] <= bound]
+        if not c:
+            return None
+        return max(c, key=lambda x: (x["effective_date"], x["lead_time_weeks"], x["lead_time_id"]))["lead_time_weeks"]
+
+    y, m = divmod(T.month - 1 - 3, 12)
+    t3 = T.replace(year=T.year + y, month=m + 1)
+    for comp in {x["component_id"] for x in lt}:
+        if latest(comp, T) is None:
+            assert comp not in got_lt
+            continue
+        assert got_lt[comp] == (latest(comp, T), latest(comp, t3))
