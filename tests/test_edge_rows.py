@@ -276,3 +276,17 @@ def test_quality_null_rule_and_dedupe(spark):
     assert rows(quar, "failed_rules", order=["failed_rules"]) == [("bom_keys_present",), ("bom_qty_positive",)]
     sup = spark.createDataFrame([("s", "b", None, None), ("s", "a", None, None)], SCHEMAS["suppliers"])
     assert rows(dedupe(sup, "supplier_id"), "supplier_name") == [("a",)]
+
+
+def test_marts_on_empty_inputs(make_domain):
+    """Every mart runs on empty tables and returns no rows (the warehouse
+    and summary marts return their fixed shapes)."""
+    from stockpilot.plans.registry import load_all
+
+    dom = make_domain()
+    q = load_all()
+    for name in ("mart_timeline", "mart_options", "mart_fulfillment", "mart_lt_snapshot", "mart_projection",
+                 "mart_breach", "mart_order_risk", "mart_action_queue", "whatif", "rec_actions", "bom_bottleneck"):
+        assert q[name](dom).count() == 0, name
+    assert q["mart_exec_summary"](dom).count() == 1
+    assert q["opt_level_counts"](dom).count() == 4
