@@ -22,9 +22,11 @@ LOCAL_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "stockpilot") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "stockpilot", extra_conf: dict | None = None
+) -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in LOCAL_CONF.items():
+    for k, v in {**LOCAL_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.driver.memory", "16g")
     active = SparkSession.getActiveSession()
