@@ -60,9 +60,15 @@ def main():
     for ms, sid, n, name in stages[:top]:
         print(f"{ms:8d} {sid:6d} {n:6d}  {name}")
     per_job = defaultdict(int)
+    per_desc = defaultdict(int)
     for ms, sid, _, _ in stages:
-        per_job[stage_job.get(sid, -1)] += ms
+        job = stage_job.get(sid, -1)
+        per_job[job] += ms
+        per_desc[job_desc.get(job) or "(no description)"] += ms
     print(f"\n{len(stages)} stages, {sum(s[0] for s in stages) / 1000:.1f} s of stage time in {len(per_job)} jobs")
+    print("\nstage time per job description (ms):")
+    for desc, ms in sorted(per_desc.items(), key=lambda kv: -kv[1])[:top]:
+        print(f"{ms:8d}  {desc}")
 
 
 if __name__ == "__main__":
