@@ -62,7 +62,8 @@ def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_execu
     waves of the cluster's cores and at most 100k (map-status size on the
     driver); AQE then coalesces small partitions to ~256 MB and splits
     skewed ones.  Broadcasts happen only when AQE measures a side below the
-    threshold at run time (nothing is hinted)."""
+    threshold at run time (static broadcast from plan estimates is off,
+    nothing is hinted)."""
     cores = executors * cores_per_executor
     by_size = int(input_tb * 1024)  # one partition per GB of input
     partitions = min(max(3 * cores, by_size), 100_000)
@@ -73,8 +74,10 @@ def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_execu
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        # broadcast only what AQE has measured (runtime shuffle statistics);
+        # no static broadcast from plan-time size estimates
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": "512m",
         "spark.sql.parquet.filterPushdown": "true",

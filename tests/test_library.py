@@ -124,6 +124,7 @@ def test_cluster_conf_sizing_and_respect_for_explicit_settings(spark):
 
     big = cluster_conf(input_tb=100, executors=1000, cores_per_executor=8)
     assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.autoBroadcastJoinThreshold"] == "-1"  # only measured (AQE) broadcasts
     assert cluster_conf(input_tb=1, executors=10, cores_per_executor=8)["spark.sql.shuffle.partitions"] == "1024"
     before = spark.conf.get("spark.sql.shuffle.partitions")
     applied = apply_cluster_conf(spark, input_tb=1, executors=10)
