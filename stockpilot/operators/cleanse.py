@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockpilot.functions.columns import band, d
-from stockpilot.operators.quality import dedupe, keep, rules_for, typed
+from stockpilot.operators.quality import dedupe, keep, observe_rules, rules_for, typed
 from stockpilot.params import Params
 from stockpilot.sources.schemas import MASTER_KEYS, SCHEMAS
 
@@ -20,17 +20,27 @@ def _base(raw: DataFrame, table: str) -> DataFrame:
     return df
 
 
-def clean_simple(raw: DataFrame, table: str) -> DataFrame:
-    return keep(_base(raw, table), rules_for(table))
+def _keep(df: DataFrame, table: str, obs: dict | None) -> DataFrame:
+    """Drop rules; with ``obs``, every rule's failure count over the rows
+    before dropping is attached as a Spark Observation (filled by the job
+    that first computes the table, no extra scan)."""
+    rules = rules_for(table)
+    if obs is not None and rules:
+        df, obs[table] = observe_rules(df, table, rules)
+    return keep(df, rules)
 
 
-def clean_components(raw: DataFrame, suppliers: DataFrame) -> DataFrame:
+def clean_simple(raw: DataFrame, table: str, obs: dict | None = None) -> DataFrame:
+    return _keep(_base(raw, table), table, obs)
+
+
+def clean_components(raw: DataFrame, suppliers: DataFrame, obs: dict | None = None) -> DataFrame:
     """Dedupe, rules, then the supplier name.  Suppliers are unique per id,
     so the left join neither adds nor drops rows and the name is a function
     of supplier_id: deduping before the join picks the same row as after
     it, and a plan that never reads supplier_name can drop the join."""
     comp = typed(raw, SCHEMAS["components"]).select(*SCHEMAS["components"].fieldNames())
-    kept = keep(dedupe(comp, "component_id"), rules_for("components"))
+    kept = _keep(dedupe(comp, "component_id"), "components", obs)
     sup = suppliers.select("supplier_id", "supplier_name")
     return kept.join(sup, "supplier_id", "left").select(*comp.columns, "supplier_name")
 
@@ -50,43 +60,46 @@ def clean_lead_times(raw: DataFrame, components: DataFrame, suppliers: DataFrame
     return enrich_lead_times(clean_simple(raw, "lead_times"), components, suppliers)
 
 
-def clean_sales_orders(raw: DataFrame, p: Params) -> DataFrame:
-    so = clean_simple(raw, "sales_orders")
+def clean_sales_orders(raw: DataFrame, p: Params, obs: dict | None = None) -> DataFrame:
+    so = clean_simple(raw, "sales_orders", obs)
     return so.withColumn("days_to_due", F.datediff("requested_delivery_date", d(p.as_of))).withColumn(
         "is_overdue", F.col("days_to_due") < 0
     )
 
 
-def clean_purchase_orders(raw: DataFrame, p: Params) -> DataFrame:
-    po = clean_simple(raw, "purchase_orders")
+def clean_purchase_orders(raw: DataFrame, p: Params, obs: dict | None = None) -> DataFrame:
+    po = clean_simple(raw, "purchase_orders", obs)
     return po.withColumn("days_to_expected", F.datediff("expected_delivery_date", d(p.as_of)))
 
 
-def clean_demand(raw: DataFrame, p: Params) -> DataFrame:
+def clean_demand(raw: DataFrame, p: Params, obs: dict | None = None) -> DataFrame:
     # demand_id must be unique for the per-demand wide row; duplicates keep
     # one deterministic row
-    dm = keep(dedupe(_base(raw, "demand_plan_components"), "demand_id"), rules_for("demand_plan_components"))
+    dm = _keep(dedupe(_base(raw, "demand_plan_components"), "demand_id"), "demand_plan_components", obs)
     return dm.withColumn("days_to_required", F.datediff("requested_date", d(p.as_of))).withColumn(
         "is_emergency", F.col("source_type") == F.lit("EMERGENCY_MANUAL")
     )
 
 
-def clean_all(raw, p: Params):
-    """Cleansed tables, each built on first access."""
+def clean_all(raw, p: Params, observations: dict | None = None):
+    """Cleansed tables, each built on first access.  With ``observations``
+    (a dict), the rule counters of each table are attached as Observations
+    and stored there by table name."""
     from stockpilot.sources.driver import LazyTables
 
     out: LazyTables
+    obs = observations
 
     def simple(t):
-        return lambda: clean_simple(raw[t], t)
+        return lambda: clean_simple(raw[t], t, obs)
 
     builders = {t: simple(t) for t in SCHEMAS}
-    builders["components"] = lambda: clean_components(raw["components"], out["suppliers"])
+    builders["components"] = lambda: clean_components(raw["components"], out["suppliers"], obs)
     builders["lead_times"] = lambda: enrich_lead_times(out["lead_times_base"], out["components"], out["suppliers"])
     # rules applied, not yet enriched: lets marts aggregate before joining
-    builders["lead_times_base"] = lambda: clean_simple(raw["lead_times"], "lead_times")
-    builders["sales_orders"] = lambda: clean_sales_orders(raw["sales_orders"], p)
-    builders["purchase_orders"] = lambda: clean_purchase_orders(raw["purchase_orders"], p)
-    builders["demand_plan_components"] = lambda: clean_demand(raw["demand_plan_components"], p)
+    builders["lead_times_base"] = lambda: clean_simple(raw["lead_times"], "lead_times", obs)
+    builders["sales_orders"] = lambda: clean_sales_orders(raw["sales_orders"], p, obs)
+    builders["purchase_orders"] = lambda: clean_purchase_orders(raw["purchase_orders"], p, obs)
+    builders["demand_plan_components"] = lambda: clean_demand(raw["demand_plan_components"], p, obs)
     out = LazyTables(builders)
     return out

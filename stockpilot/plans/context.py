@@ -34,6 +34,7 @@ class Domain:
         self.sf_dir: str | None = None
         self.checkpoint_clean = checkpoint_clean
         self._checkpointed: dict[str, DataFrame] = {}
+        self.observations: dict = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -51,7 +52,19 @@ class Domain:
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
-        return clean_all(self.raw, self.p)
+        # rule counters ride along only when tables are checkpointed: the
+        # checkpoint job computes each whole table once, so the counters
+        # cost no extra scan and block no predicate pushdown of a mart
+        return clean_all(self.raw, self.p, self.observations if self.checkpoint_clean else None)
+
+    def warn_counts(self) -> dict[str, dict]:
+        """Rule failure counts (drop and warn rules, over the rows before
+        dropping) of the cleansed tables computed so far in this session."""
+        done = set(self._checkpointed)
+        if "lead_times_base" in done:  # the history's counters live on its base
+            done.add("lead_times")
+        # only tables whose job has run: Observation.get waits for one
+        return {table: obs.get for table, obs in self.observations.items() if table in done}
 
     def __getitem__(self, table: str) -> DataFrame:
         if not self.checkpoint_clean:

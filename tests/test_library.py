@@ -133,3 +133,22 @@ def test_cluster_conf_sizing_and_respect_for_explicit_settings(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     for k in applied:
         spark.conf.unset(k)
+
+
+def test_warn_counts_ride_along_with_checkpoints(spark, duck001):
+    """In a checkpointing domain the rule counters of each cleansed table
+    are filled by its checkpoint job and equal the quality report."""
+    from conftest import SF001
+    from stockpilot.plans.context import Domain
+
+    dom = Domain.from_driver(spark, SF001, checkpoint_clean=True)
+    dom["demand_plan_components"], dom["bom"], dom["components"]
+    counts = dom.warn_counts()
+    dq = {(r[0], r[1]): (r[2], r[3]) for r in duck001.execute(
+        "SELECT table_name, rule_name, rows_checked, rows_failed FROM (" + __import__("__spark_entry__").oracle_sql()
+        ["dq_report"] + ") x").fetchall()}
+    for table in ("demand_plan_components", "bom", "components"):
+        c = counts[table]
+        for (t, rule), (checked, failed) in dq.items():
+            if t == table:
+                assert c["rows_checked"] == checked and c[rule] == failed, (table, rule)
