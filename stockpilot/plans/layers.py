@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from stockpilot.params import DEFAULT, Params
 from stockpilot.plans.context import Domain
@@ -26,22 +26,33 @@ def layer_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
 
 
-def materialize(dom: Domain, root: str) -> dict[str, str]:
+def _write_all(frames: dict[str, DataFrame], folder: str, workers: int) -> dict[str, str]:
+    """Write independent tables as concurrent Spark jobs (plans are built
+    first, on this thread; only the writes run on the pool)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(item):
+        name, df = item
+        path = f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return name, path
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return dict(pool.map(write, frames.items()))
+
+
+def materialize(dom: Domain, root: str, workers: int = 4) -> dict[str, str]:
     """Write raw/<table>, then build the cleansed tables from the written raw
     layer (lineage cut; the mapping runs once per table) and write
-    clean/<table>.  Returns table -> path."""
+    clean/<table>.  Tables of one layer are independent, so their write jobs
+    run concurrently.  Returns "raw/<t>" / "clean/<t>" -> path."""
     spark = dom.spark
-    paths: dict[str, str] = {}
-    for t in dom.raw.keys():
-        path = f"{root}/raw/{t}"
-        dom.raw[t].write.mode("overwrite").parquet(path)
-        paths[f"raw/{t}"] = path
+    raw_frames = {t: dom.raw[t] for t in dom.raw.keys()}
+    paths = {f"raw/{t}": p for t, p in _write_all(raw_frames, f"{root}/raw", workers).items()}
     raw = LazyTables({t: (lambda t=t: spark.read.parquet(f"{root}/raw/{t}")) for t in dom.raw.keys()})
     rdom = Domain(raw, dom.p, spark)
-    for t in list(rdom.clean.keys()):
-        path = f"{root}/clean/{t}"
-        rdom[t].write.mode("overwrite").parquet(path)
-        paths[f"clean/{t}"] = path
+    clean_frames = {t: rdom[t] for t in list(rdom.clean.keys())}
+    paths.update({f"clean/{t}": p for t, p in _write_all(clean_frames, f"{root}/clean", workers).items()})
     return paths
 
 
