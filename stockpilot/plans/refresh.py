@@ -55,13 +55,19 @@ def refresh_all(
     dom = from_layers(spark, root, params)
     dom.sf_dir = sf_dir
     queries = load_all()
-    out = {}
-    for name in names or sorted(queries):
+    frames = {name: queries[name](dom) for name in names or sorted(queries)}  # plans, built here
+
+    def write(item):
+        name, df = item
         path = f"{root}/tables/{name}"
-        write_table(queries[name](dom), path, comment=TABLE_COMMENTS.get(name),
-                    column_comments=COLUMN_COMMENTS.get(name))
-        out[name] = path
-    return out
+        write_table(df, path, comment=TABLE_COMMENTS.get(name), column_comments=COLUMN_COMMENTS.get(name))
+        return name, path
+
+    from concurrent.futures import ThreadPoolExecutor
+
+    # independent tables: their write jobs run concurrently
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return dict(pool.map(write, frames.items()))
 
 
 def main() -> None:
