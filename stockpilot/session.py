@@ -6,7 +6,10 @@ setting that is already present.
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,15 +28,16 @@ LOCAL_CONF = {
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, app: str = "stockpilot", extra_conf: dict | None = None
 ) -> SparkSession:
-    b = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    """Session for tests and the bench.  Under spark-submit the submitted
+    master and folders win; the local ones are used only without a submit."""
+    b = SparkSession.builder.appName(app)
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    if not submitted:
+        b = b.master(f"local[{cores}]").config("spark.driver.memory", "16g")
     for k, v in {**LOCAL_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.driver.memory", "16g")
-    active = SparkSession.getActiveSession()
-    if active is None or not active.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        # tests only: a scratch folder of our own (a cluster names a shared one)
-        b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stockpilot-ckpt-"))
-    if active is None:
+    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if SparkSession.getActiveSession() is None and not submitted:
         # local catalog tables go to a scratch folder, not the working directory
         b = b.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="stockpilot-wh-"))
     spark = b.getOrCreate()
@@ -42,16 +46,31 @@ def local_session(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's
+    ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
+    Only a one-machine ``local`` master may fall back to a scratch folder."""
     sc = spark.sparkContext
     cur = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not cur:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
         cur = tempfile.mkdtemp(prefix="stockpilot-ckpt-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)
-    return sc.getCheckpointDir() or cur
+    return cur
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` usable on this session and return its folder."""
+    cur = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(cur)
+    return spark.sparkContext.getCheckpointDir() or cur
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
