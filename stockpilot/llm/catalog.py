@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockpilot.llm import exact_dedup, sharding, simhash
+from stockpilot.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, quality, sharding, simhash, warc
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -10,9 +10,16 @@ def op4_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pack": packing.op1_pack,
+    "op2_html_text": html_extract.op2_html_text,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": warc.op5_warc,
     "op6_shard": sharding.op6_shard,
+    "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
+    "op9_langid": langid.op9_langid,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
