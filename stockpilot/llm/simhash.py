@@ -98,11 +98,14 @@ def find_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) ->
     return pairs.filter(F.col("t") == first).select("f0", "f1", "g0", "g1", "bits")
 
 
+KEY = ["i", "z", "th"]  # doc_id (0 if null), whether it is null, text hash: never null
+
+
 def _successors(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, th) with n_chars, copies and the key of the next one in
+    """Distinct keys with n_chars, copies and the key of the next one in
     descending doc_id (null ids last, then by text hash); after the last: the first."""
-    narrow = docs.groupBy("doc_id", "th", "n_chars").agg(F.count("*").alias("copies"))
-    ordered = narrow.orderBy(F.desc_nulls_last("doc_id"), "th")
+    narrow = docs.groupBy(*KEY, "n_chars").agg(F.count("*").alias("copies"))
+    ordered = narrow.orderBy("z", F.desc("i"), "th")
     ordered = ordered.withColumn("at", F.monotonically_increasing_id()).checkpoint()
     part = F.expr("at >> 33")
     counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
@@ -113,16 +116,11 @@ def _successors(docs: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("rank", F.expr("first + at % 8589934592")).drop("part", "first", "at")
     after = ranked.select(
         F.expr(f"(rank - 1 + {max(total, 1)}) % {max(total, 1)}").alias("rank"),
-        F.col("doc_id").alias("next_id"),
-        F.col("th").alias("next_th"),
+        *(F.col(c).alias(f"next_{c}") for c in KEY),
     )
     return ranked.join(after, "rank").drop("rank")
 
 
-def _same(a: DataFrame, b: DataFrame, id_b: str = "doc_id", th_b: str = "th") -> Column:
-    return a["doc_id"].eqNullSafe(b[id_b]) & (a["th"] == b[th_b])
-
-
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, f0, f1 (own), e0, e1 (edited), x0, x1 (the
     next document's): one row per input row.
@@ -133,34 +131,35 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order and give equal rows; null ids come last; a document alone is its own
     next.  An empty table gives no rows; other columns are ignored."""
     ensure_checkpoint_dir(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("th", F.xxhash64("text"))
-    order = _successors(base.select("doc_id", "th", F.length("text").alias("n_chars"))).checkpoint()
-
-    ask = order.select("next_id", "next_th", F.col("doc_id").alias("for_id"), F.col("th").alias("for_th"), F.expr("n_chars div 3").cast("int").alias("k"))
-    lent = base.join(ask, _same(base, ask, "next_id", "next_th"))
-    lent = lent.select("for_id", "for_th", "k", F.expr("substring(text, 1, k)").alias("head"))
-    both = base.join(lent, _same(base, lent, "for_id", "for_th"))
+    base = docs.select(
+        F.coalesce(F.col(id_col), F.lit(0)).alias("i"),
+        F.col(id_col).isNull().alias("z"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).withColumn("th", F.xxhash64("text"))
+    order = _successors(base.select(*KEY, F.length("text").alias("n_chars"))).checkpoint()
+
+    # the next document lends its head; both joins find the texts by the same shuffle
+    ask = order.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"for_{c}") for c in KEY), F.expr("n_chars div 3").cast("int").alias("k"))
+    lent = base.join(ask, KEY).select(*(F.col(f"for_{c}").alias(c) for c in KEY), "k", F.expr("substring(text, 1, k)").alias("head"))
     edited = F.expr("concat(substring(text, 1, length(text) - k), head)")
-    both = both.select("doc_id", "th", "text", edited.alias("edited")).dropDuplicates(["doc_id", "th"])
+    both = base.join(lent, KEY).select(*KEY, "text", edited.alias("edited")).dropDuplicates(KEY)
 
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("x")))
-    each = both.select("doc_id", "th", F.explode(kinds).alias("e")).select("doc_id", "th", "e.kind", "e.x")
-    shas = F.when(F.col("kind") == 1, F.sha2("x", 256))
-    each = each.withColumn("sha", shas)
-    prints = fingerprints(each, ["doc_id", "th", "kind", "sha"], "x")
+    each = both.select(*KEY, F.explode(kinds).alias("e")).select(*KEY, "e.kind", "e.x")
+    each = each.withColumn("sha", F.when(F.col("kind") == 1, F.sha2("x", 256)))
+    prints = fingerprints(each, [*KEY, "kind", "sha"], "x")
     pick = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    prints = prints.groupBy("doc_id", "th").agg(
+    prints = prints.groupBy(*KEY).agg(
         F.max("sha").alias("edited_sha256"),
         *(pick(c, kind).alias(n) for c, kind, n in (("f0", 0, "f0"), ("f1", 0, "f1"), ("f0", 1, "e0"), ("f1", 1, "e1"))),
     )
     prints = prints.checkpoint()
 
-    own = order.join(prints, _same(order, prints)).select(order["*"], "edited_sha256", "f0", "f1", "e0", "e1")
-    after = prints.select(F.col("doc_id").alias("nid"), F.col("th").alias("nth"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
-    out = own.join(after, own["next_id"].eqNullSafe(after["nid"]) & (own["next_th"] == after["nth"]))
-    cols = ("doc_id", "n_chars", "edited_sha256", "f0", "f1", "e0", "e1", "x0", "x1")
-    return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    after = prints.select(*(F.col(c).alias(f"next_{c}") for c in KEY), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
+    out = order.join(prints, KEY).join(after, [f"next_{c}" for c in KEY])
+    cols = ("n_chars", "edited_sha256", "f0", "f1", "e0", "e1", "x0", "x1")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return out.select(F.when(~F.col("z"), F.col("i")).alias("doc_id"), *cols, copies).drop("copy")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
