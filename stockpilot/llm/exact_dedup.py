@@ -39,7 +39,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int, hash_of) ->
         f" i -> substring(bytes, cast(i * {size} + 1 as int), {size}))"
     )
     rows = base.select("doc_id", F.unhex(F.sha2("bytes", 256)).alias("tag"), cut.alias("cut"))
-    rows = rows.select("doc_id", "tag", F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "block"))
+    # outer: there is always a block, and no filter on the blocks' number is derived and pushed to the scan
+    rows = rows.select("doc_id", "tag", F.size("cut").alias("blocks"), F.posexplode_outer("cut").alias("pos", "block"))
     return rows.withColumn("h", hash_of(F.col("block")))
 
 
