@@ -108,7 +108,8 @@ def exact_dedup(
     and stays only if no row of the group has one (keep_id is then null).
     Repeated rows each count and each give a row, all with the same answer.
     An empty table gives no rows; other columns are ignored."""
-    who = identities(docs, id_col, text_col, block_bytes, hash_of)
+    # narrow rows, read twice: the groups' plan need not hold the levels' plans
+    who = identities(docs, id_col, text_col, block_bytes, hash_of).checkpoint()
     groups = who.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return who.join(groups, ["level", "name"]).select(
         "doc_id",
