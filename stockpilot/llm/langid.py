@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockpilot.llm.columns import computed
+from stockpilot.llm.columns import BATCH_CHARS, computed
 from stockpilot.llm.deploy import ship_package
 
 #: Bound of the training sample: documents a language (in expectation), and code points of a document.
@@ -28,7 +28,7 @@ EM_STEPS = 4
 #: Longest piece, and longest run of letters taken as one word (longer ones are cut into runs).
 PIECE_CHARS, WORD_CHARS = 10, 32
 #: Distinct words whose probabilities a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 UNKNOWN = "und"
 START = "▁"  # the vocabulary's mark of a word's start
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,13 +106,15 @@ class Model:
     known: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return {"langs": self.langs, "log_prob": self.log_prob, "path": self.path, "known": {}}
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
+    def _learn(self, words_: set[str]) -> None:
+        """Log-probabilities of the words, new ones computed together."""
+        new = [w for w in words_ if w not in self.known]
+        if not self.known or len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        if not self.known:
-            self.table = np.zeros((REMEMBERED + len(new), len(self.langs)))
+            new = list(words_)
+            self.table = np.zeros((max(REMEMBERED, len(new)), len(self.langs)))
             self.prob = np.vstack([np.exp(self.log_prob.astype(float)), np.zeros(len(self.langs))])
         pieces, by_length = vocabulary(self.path), {}
         for w in new:
@@ -124,25 +126,27 @@ class Model:
                 self.table[at : at + len(some)] = np.log(np.maximum(forward(lattice(some, pieces), self.prob)[:, -1], 1e-300))
                 self.known.update(zip(some, range(at, at + len(some))))
 
-    def log_likelihood(self, text: str) -> np.ndarray | None:
-        """Per language; None for a text without letters."""
-        found, total = False, np.zeros(len(self.langs))
-        for at in range(0, len(text), 1 << 20):  # a very long text in steps
-            some = words(text[at : at + (1 << 20)])
-            if new := [w for w in dict.fromkeys(some) if w not in self.known]:
-                if len(self.known) + len(new) > REMEMBERED:
-                    new = list(dict.fromkeys(some))
-                self._learn(new)
-            if some:
-                found = True
-                total += self.table[np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))].sum(0)
-        return total if found else None
+    def _sum(self, some: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))].sum(0)
+
+    def log_likelihoods(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Per text the log-probability by language; None for a text without
+        letters.  A text longer than BATCH_CHARS is taken in steps of that size."""
+        if len(texts) == 1 and len(texts[0]) > BATCH_CHARS:
+            total = None
+            for at in range(0, len(texts[0]), BATCH_CHARS):
+                if some := words(texts[0][at : at + BATCH_CHARS]):
+                    self._learn(set(some))
+                    total = self._sum(some) if total is None else total + self._sum(some)
+            return [total]
+        found = [words(t) for t in texts]
+        self._learn(set().union(*found))
+        return [self._sum(some) if some else None for some in found]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its posterior probability under equal priors."""
         langs, scores = [], []
-        for t in texts:
-            x = self.log_likelihood(t) if self.langs else None
+        for x in self.log_likelihoods(texts) if self.langs else [None] * len(texts):
             if x is None:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
