@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ BATCH_CHARS = 1 << 20
 KINDS = {pa.float64(): T.DoubleType(), pa.string(): T.StringType()}
 
 
-def in_steps(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+def in_steps(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     """The texts in lists of bounded size; a longer text is a list of its own."""
     some: list[str] = []
     size = 0
@@ -42,9 +42,8 @@ def computed(
     def run(batches):
         of = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             found: list[list] = [[] for _ in fields]
-            for some in in_steps(texts):
+            for some in in_steps(t.as_py() or "" for t in batch.column(len(keep))):
                 for all_, new in zip(found, of(some)):
                     all_.extend(new)
             new = [pa.array(v, t) for v, t in zip(found, fields.values())]

@@ -68,6 +68,8 @@ def _block(t, f0: str = "f0", f1: str = "f1", blocks: int = RADIUS + 1) -> Colum
     width = BITS // blocks
     per = 64 // width
     word = F.col(f0) if t < per else F.col(f1)
+    if width == 64:
+        return word
     return F.shiftrightunsigned(word, (t % per) * width).bitwiseAND(F.lit((1 << width) - 1))
 
 

@@ -115,9 +115,15 @@ def records(handle, wanted, payloads: str):
         if first[3] & 4 and first[12:14] == b"SL":
             length = struct.unpack_from("<I", first, 16)[0]
         inflate = zlib.decompressobj(31)
+
+        def more():
+            if src.at >= src.end:
+                raise ValueError(f"the archive ends inside the record at byte {begin}")
+            return inflate.decompress(src.more())
+
         plain = inflate.decompress(first)
         while b"\r\n\r\n" not in plain and not inflate.eof:
-            plain += inflate.decompress(src.more())
+            plain += more()
         head, _, block = plain.partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
@@ -125,15 +131,13 @@ def records(handle, wanted, payloads: str):
         if (not use or payloads == "skip") and length:  # past the payload, unread
             if use:
                 while b"\r\n\r\n" not in block and not inflate.eof:
-                    block += inflate.decompress(src.more())
+                    block += more()
                 yield headers, _http_length(block), None
             src.at = begin + length
             continue
         parts = [block]
         while not inflate.eof:
-            if src.at >= src.end and not inflate.unconsumed_tail:
-                raise ValueError(f"the archive ends inside the record at byte {begin}")
-            parts.append(inflate.decompress(src.more()))
+            parts.append(more())
             if not use:
                 parts.clear()
         src.at -= len(inflate.unused_data)
