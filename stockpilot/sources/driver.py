@@ -69,13 +69,6 @@ def _ntz(day: dt.date) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{day.isoformat()} 00:00:00'")
 
 
-def _ship_between(lo: dt.date, hi: dt.date) -> Column:
-    """CAST(l_shipdate AS DATE) BETWEEN lo AND hi, stated on the raw column so
-    parquet row groups can be skipped (the cast form is not pushable)."""
-    ts = F.col("l_shipdate")
-    return (ts >= _ntz(lo)) & (ts < _ntz(hi + dt.timedelta(days=1)))
-
-
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project onto the table's schema: declared order, declared types,
     NULL literals for columns the mapping does not produce."""
@@ -96,38 +89,42 @@ class DriverAdapter:
         self.p = params
         self.T = params.as_of
 
-    # -- the shared line view: lineitem x orders x part ----------------------
-    def line(self, lineitem_filter: Column | None = None) -> DataFrame:
-        li = self.t["lineitem"]
+    # -- the shared line view: lineitem with what a table needs of orders and part
+    def line(self, lineitem_filter: Column | None = None, orders: bool = True, part: bool = True) -> DataFrame:
+        """Lines with derived columns.  ``orders`` and ``part`` join those
+        tables; leave out what no column of the result comes from (an inner
+        join is never removed by the optimiser)."""
+        j = self.t["lineitem"]
         if lineitem_filter is not None:
-            li = li.filter(lineitem_filter)
-        o = self.t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        p = self.t["part"].select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-        j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+            j = j.filter(lineitem_filter)
         d = F.col("l_shipdate").cast("date")
-        return j.select(
-            F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey"), _s(d)).alias(
-                "line_id"
-            ),
+        line_id = F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey"), _s(d))
+        cols = [
+            line_id.alias("line_id"),
             _s("l_partkey").alias("component_id"),
             _s("l_suppkey").alias("supplier_id"),
-            _s("o_custkey").alias("customer_id"),
             d.alias("d"),
-            F.col("o_orderdate").cast("date").alias("od"),
             F.col("l_quantity").cast("int").alias("q"),
-            F.concat(F.col("p_brand"), F.lit("|"), F.col("p_type")).alias("product_id"),
-            "l_orderkey",
+            "l_suppkey",
             "l_linenumber",
             "l_returnflag",
             "l_linestatus",
             "l_discount",
-            "o_orderpriority",
-            "p_size",
-            "p_retailprice",
-        )
-
-    def _window(self, before: int, after: int) -> Column:
-        return _ship_between(self.T - dt.timedelta(days=before), self.T + dt.timedelta(days=after))
+        ]
+        if orders:
+            o = self.t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+            j = j.join(o, F.col("l_orderkey") == o.o_orderkey)
+            cols += [
+                _s("o_custkey").alias("customer_id"),
+                F.col("o_orderdate").cast("date").alias("od"),
+                "o_custkey",
+                "o_orderpriority",
+            ]
+        if part:
+            p = self.t["part"].select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+            j = j.join(p, F.col("l_partkey") == p.p_partkey)
+            cols += [F.concat(F.col("p_brand"), F.lit("|"), F.col("p_type")).alias("product_id"), "p_size", "p_retailprice"]
+        return j.select(*cols)
 
     # -- masters --------------------------------------------------------------
     def suppliers(self) -> DataFrame:
@@ -239,7 +236,7 @@ class DriverAdapter:
                 _s("l_partkey").alias("component_id"),
                 _s("s_nationkey").alias("warehouse_id"),
                 F.trunc(F.lit(self.T), "MM").alias("snapshot_month"),
-                (F.col("qty") % 7).alias("stock_qty"),
+                F.col("qty").alias("stock_qty"),
                 F.lit(2).alias("safety_stock_qty"),
                 F.lit(0).alias("replenishment_qty"),
                 F.col("n").alias("demand_qty"),
@@ -248,10 +245,11 @@ class DriverAdapter:
         )
 
     def inventory(self) -> DataFrame:
-        line = self.line((F.col("l_linestatus") == "F") & (F.col("l_shipdate") < _ntz(self.T)))
+        shipped = (F.col("l_linestatus") == "F") & (F.col("l_shipdate") < _ntz(self.T))
+        line = self.line(shipped, orders=False, part=False)
         s = self.t["supplier"].select("s_suppkey", "s_nationkey")
         line = line.withColumn("mon", F.trunc("d", "MM"))
-        df = line.join(s, line.supplier_id == _s(s.s_suppkey)).groupBy("component_id", "s_nationkey", "mon").agg(
+        df = line.join(s, line.l_suppkey == s.s_suppkey).groupBy("component_id", "s_nationkey", "mon").agg(
             F.sum("q").alias("qty")
         )
         return conform(
@@ -260,9 +258,9 @@ class DriverAdapter:
                 "component_id",
                 _s("s_nationkey").alias("warehouse_id"),
                 F.col("mon").alias("snapshot_month"),
-                (F.col("qty") % 60).alias("stock_qty"),
+                F.col("qty").alias("stock_qty"),
                 F.lit(2).alias("safety_stock_qty"),
-                (F.col("qty") % 7).alias("replenishment_qty"),
+                F.lit(0).alias("replenishment_qty"),
                 F.col("qty").alias("demand_qty"),
             ),
             "inventory",
@@ -295,7 +293,7 @@ class DriverAdapter:
             (1 + F.col("s_suppkey") % 14).cast("int").alias("avg_transit_days"),
             (5 + F.col("s_suppkey") % 25).cast("int").alias("monthly_shipments"),
         )
-        c = self.t["customer"].filter(F.col("c_custkey") < 50)
+        c = self.t["customer"]
         outbound = c.select(
             F.lit("outbound").alias("route_type"),
             F.lit("0").alias("from_id"),
@@ -313,7 +311,7 @@ class DriverAdapter:
 
     # -- plans and history --------------------------------------------------------
     def forecasts(self) -> DataFrame:
-        line = self.line(self._window(360, 270)).withColumn("mon", F.trunc("d", "MM"))
+        line = self.line(orders=False).withColumn("mon", F.trunc("d", "MM"))
         df = line.groupBy("product_id", "mon").agg(F.sum("q").alias("qty"))
         qty = F.col("qty")
         return conform(
@@ -321,15 +319,15 @@ class DriverAdapter:
                 F.concat("product_id", F.lit("-"), _s("mon")).alias("forecast_id"),
                 "product_id",
                 F.col("mon").alias("forecast_month"),
-                F.when(qty % 4 == 0, 1 + qty % 3).otherwise(0).alias("forecast_qty"),
+                qty.alias("forecast_qty"),
                 F.round((50 + qty % 50).cast("double") / 100, 2).alias("forecast_accuracy"),
             ),
             "forecasts",
         )
 
     def lead_times(self) -> DataFrame:
-        df = self.line().groupBy("component_id", "d").agg(
-            F.min("supplier_id").alias("supplier_id"), F.max(F.col("q") + F.col("p_size")).alias("lt")
+        df = self.line(orders=False).groupBy("component_id", "d").agg(
+            F.min("l_suppkey").cast("string").alias("supplier_id"), F.max(F.col("q") + F.col("p_size")).alias("lt")
         )
         return conform(
             df.select(
@@ -344,7 +342,7 @@ class DriverAdapter:
         )
 
     def sales_orders(self) -> DataFrame:
-        f = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N") & self._window(10, 270)
+        f = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
         line = self.line(f)
         ln = F.col("l_linenumber")
         status = (
@@ -360,7 +358,7 @@ class DriverAdapter:
             "product_id",
             "component_id",
             F.col("od").alias("order_date"),
-            F.when(F.col("l_orderkey") % 97 == 0, F.lit(None)).otherwise(F.col("d")).alias("requested_delivery_date"),
+            F.col("d").alias("requested_delivery_date"),
             F.date_add("d", ln - 4).alias("response_date"),
             F.date_sub("d", F.col("p_size") % 10).alias("earliest_ship_date"),
             F.date_add("d", F.col("p_size") % 12).alias("deadline_date"),
@@ -378,7 +376,7 @@ class DriverAdapter:
         return conform(so, "sales_orders")
 
     def purchase_orders(self) -> DataFrame:
-        f = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R") & self._window(10, 270)
+        f = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")
         line = self.line(f)
         ln = F.col("l_linenumber")
         status = (
@@ -409,9 +407,9 @@ class DriverAdapter:
         )
 
     def logistics(self) -> DataFrame:
-        line = self.line(self._window(120, 120))
+        line = self.line()
         c = self.t["customer"].select("c_custkey", "c_nationkey")
-        df = line.join(c, line.customer_id == _s(c.c_custkey))
+        df = line.join(c, line.o_custkey == c.c_custkey)
         ln = F.col("l_linenumber")
         done = F.col("l_linestatus") == "F"
         status = (
@@ -439,7 +437,7 @@ class DriverAdapter:
         )
 
     def free_inventory(self) -> DataFrame:
-        p = self.t["part"].filter(F.col("p_partkey") % 3 == 0)
+        p = self.t["part"]
         return conform(
             p.select(
                 F.concat(F.lit("FI-"), _s("p_partkey")).alias("free_inventory_id"),
@@ -453,7 +451,7 @@ class DriverAdapter:
         )
 
     def demand_plan_components(self) -> DataFrame:
-        f = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") != "N") & self._window(10, 270)
+        f = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") != "N")
         line = self.line(f)
         urgent = F.col("o_orderpriority") == "1-URGENT"
         return conform(
@@ -471,10 +469,9 @@ class DriverAdapter:
         )
 
     def actuals(self) -> DataFrame:
-        """Shipped quantity per (product, month) over the forecast window:
-        the actuals that forecast accuracy is measured against."""
-        f = (F.col("l_linestatus") == "F") & self._window(360, 270)
-        line = self.line(f).withColumn("month", F.trunc("d", "MM"))
+        """Shipped quantity per (product, month): the actuals that forecast
+        accuracy is measured against."""
+        line = self.line(F.col("l_linestatus") == "F", orders=False).withColumn("month", F.trunc("d", "MM"))
         return line.groupBy("product_id", "month").agg(F.sum("q").cast("bigint").alias("actual_qty"))
 
     def all(self) -> LazyTables:
