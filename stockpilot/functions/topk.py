@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def topk_per_group(
-    df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int, salt_cols: list[str], salts: int = 64
+    df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int, salt_cols: list[str], salts: int | None = None
 ) -> DataFrame:
     """Rows ranked 1..k per group by ``order_cols`` (which must be a total
     order), with the rank in column ``rank``.
@@ -17,6 +17,8 @@ def topk_per_group(
     tasks -- and only the k best of each bucket survive; the global top k is
     always among them.  The second round ranks at most ``salts * k`` rows
     per group."""
+    if salts is None:  # as many as a shuffle has tasks
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     first = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)

@@ -109,12 +109,14 @@ def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
 
 
 def scenarios_from_emergencies(demand: DataFrame) -> DataFrame:
-    """What-if requests taken from the emergency (manual) demands."""
+    """What-if requests taken from the emergency (manual) demands.  Each is
+    itself in the plan: ``own_qty`` is what it must not consume from itself."""
     return demand.filter(F.col("source_type") == "EMERGENCY_MANUAL").select(
         F.col("demand_id").alias("scenario_id"),
         "component_id",
         F.col("requested_qty").alias("req_qty"),
         F.col("requested_date").alias("req_date"),
+        F.col("requested_qty").alias("own_qty"),
     )
 
 
@@ -130,8 +132,9 @@ def whatif(
     """Four routes for each hypothetical (component, qty, date) request.
 
     Differs from the options mart on purpose: consumption counts demand of
-    every source dated in [T, req_date]; shortage is clipped at 0; a
-    missing PO eta falls back to T + 7 * lead time.
+    every source dated in [T, req_date], but not the request itself
+    (``own_qty``; a scenario without that column is not in the plan);
+    shortage is clipped at 0; a missing PO eta falls back to T + 7 * lead time.
 
     Plan: one union of demand day rows, one probe row per scenario key and
     the per-component route inputs, one group-by (map-side partial
@@ -141,6 +144,9 @@ def whatif(
     component has at most one row per calendar day plus one per distinct
     request date, whatever its volume."""
     T = d(p.as_of)
+    if "own_qty" not in scenarios.columns:
+        scenarios = scenarios.withColumn("own_qty", F.lit(0))
+    own = F.when(F.col("sc.req_date") >= T, F.coalesce(F.col("sc.own_qty"), F.lit(0))).otherwise(0)
     n_l, n_i, n_d = F.lit(None).cast(L), F.lit(None).cast("int"), F.lit(None).cast("date")
     cols = ("qty", "stock", "free_qty", "po_qty", "po_eta", "po_delayed", "base_lt")
 
@@ -186,7 +192,7 @@ def whatif(
             F.col("sc.req_date").eqNullSafe(F.col("pr.k_date"))]
     s = sc.join(pr, cond, "left").select(
         "sc.*",
-        F.when(F.col("sc.req_date").isNotNull(), F.col("pr.consumption")).alias("consumption"),
+        F.when(F.col("sc.req_date").isNotNull(), F.col("pr.consumption") - own).alias("consumption"),
         *[F.col(f"pr.{c}").alias(c) for c in ("stock", "free_qty", "po_qty", "po_eta", "base_lt")],
         (F.col("pr.po_delayed") == 1).alias("po_delayed"),
     )

@@ -103,20 +103,22 @@ QLIB: dict[str, str] = {
     " WHERE latest_lt_weeks > 16",
     "qlib_s01": "SELECT COUNT(*) AS critical_count FROM {mart_order_risk} WHERE priority_rank = 'Critical'",
     "qlib_s02": "SELECT sales_order_id, part_number, component_name, customer_name, requested_delivery_date"
-    " FROM {mart_order_risk} WHERE priority_rank = 'Critical'",
+    " FROM {mart_order_risk} WHERE priority_rank = 'Critical' ORDER BY requested_delivery_date, sales_order_id",
     "qlib_s03": "SELECT supplier_name, COUNT(*) AS critical_count FROM {mart_order_risk} WHERE priority_rank = 'Critical'"
-    " GROUP BY supplier_name",
+    " GROUP BY supplier_name ORDER BY critical_count DESC, supplier_name",
     "qlib_s04": "SELECT DISTINCT item_code AS part_number, product_name AS component_name FROM {mart_breach}"
-    " WHERE breach_type = 'ZERO'",
+    " WHERE breach_type = 'ZERO' ORDER BY part_number, component_name",
     "qlib_s05": "SELECT COUNT(DISTINCT item_id) AS over_part_count FROM {mart_breach} WHERE breach_type = 'OVER'",
     "qlib_s06": "SELECT item_code AS part_number, item_name AS component_name, latest_lt_weeks FROM {mart_lt_snapshot}"
-    " WHERE latest_lt_weeks > 16",
+    " WHERE latest_lt_weeks > 16 ORDER BY latest_lt_weeks DESC, part_number",
     "qlib_s07": "SELECT item_code AS part_number, item_name AS component_name, latest_lt_weeks, lt_n3_weeks, lt_n6_weeks,"
-    " trend_arrow_n3, trend_arrow_n6 FROM {mart_lt_escalation}",
-    "qlib_s08": "SELECT warehouse_name, prefecture, health_score, zero_count, under_count, over_count FROM {mart_warehouse}",
+    " trend_arrow_n3, trend_arrow_n6 FROM {mart_lt_escalation} ORDER BY latest_lt_weeks DESC, part_number",
+    "qlib_s08": "SELECT warehouse_name, prefecture, health_score, zero_count, under_count, over_count FROM {mart_warehouse}"
+    " ORDER BY health_score, warehouse_name",
     "qlib_s09": "SELECT urgency_rank, risk_type, item_code, item_name, recommended_action, due_date FROM {mart_action_queue}"
     " ORDER BY urgency_rank, source, target_id LIMIT 10",
-    "qlib_s10": "SELECT supplier_name, COUNT(*) AS escalation_count FROM {mart_lt_escalation} GROUP BY supplier_name",
+    "qlib_s10": "SELECT supplier_name, COUNT(*) AS escalation_count FROM {mart_lt_escalation} GROUP BY supplier_name"
+    " ORDER BY escalation_count DESC, supplier_name",
     "qlib_s11": "SELECT critical_count, high_count, lt_escalation_item_count, zero_count, under_count, over_count,"
     " warehouse_health_score, forecast_accuracy_pct FROM {mart_exec_summary}",
     "qlib_s12": "SELECT item_code AS part_number, item_name AS component_name, manufacturer_name, latest_lt_weeks"

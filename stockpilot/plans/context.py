@@ -2,10 +2,10 @@
 
 The context memoises DataFrame objects so that a plan which uses the same
 cleansed table twice refers to one logical subtree.  A domain built from
-the driver tables can also checkpoint each cleansed table on first use
-(reliable checkpoint in the shared ``spark.checkpoint.dir``): the mapping
-from the driver tables then runs once per table and session instead of once
-per plan branch, and every mart plan starts from a short lineage.
+the driver tables can also write each cleansed table on first use (Parquet
+in the shared ``spark.checkpoint.dir``): the mapping from the driver tables
+then runs once per table and session instead of once per plan branch, and
+every mart plan starts from a pruned Parquet scan.
 """
 
 from __future__ import annotations
@@ -70,10 +70,12 @@ class Domain:
         if not self.checkpoint_clean:
             return self.clean[table]
         if table not in self._checkpointed:
-            from stockpilot.session import ensure_checkpoint_dir
+            from stockpilot.session import scratch_path
 
-            ensure_checkpoint_dir(self.spark)
-            self._checkpointed[table] = self.clean[table].checkpoint(eager=True)
+            # a written table: later reads keep column pruning, filters and statistics
+            path, df = scratch_path(self.spark, f"clean-{table}"), self.clean[table]
+            df.write.parquet(path)
+            self._checkpointed[table] = self.spark.read.schema(df.schema).parquet(path)
         return self._checkpointed[table]
 
     def mart(self, name: str) -> DataFrame:

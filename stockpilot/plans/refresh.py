@@ -76,9 +76,10 @@ def main() -> None:
     ap.add_argument("--out", default=None)
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
-    from stockpilot.session import local_session
+    from stockpilot.session import apply_cluster_conf
 
-    spark = local_session()
+    spark = SparkSession.builder.appName("stockpilot-refresh").getOrCreate()  # master and folders as submitted
+    apply_cluster_conf(spark)
     for name, path in refresh_all(spark, a.sf, a.out, a.names or None).items():
         print(name, path)
 

@@ -51,6 +51,18 @@ def domain_for(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Do
     return _DOMAINS[key]
 
 
+def invalidate(spark: SparkSession, sf_dir: str) -> None:
+    """Forget what this session has read and written of a data folder, so that
+    the next query sees its present files."""
+    from stockpilot.sources.driver import forget_reads
+
+    mine = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    for key in [k for k in _DOMAINS if k[:3] == mine]:
+        del _DOMAINS[key]
+    forget_reads(mine)
+    spark.catalog.refreshByPath(sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str, params: Params = DEFAULT) -> DataFrame:
     return load_all()[name](domain_for(spark, sf_dir, params))
 

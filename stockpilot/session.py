@@ -78,14 +78,13 @@ def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_execu
 
     The initial shuffle partition count targets ~1 GB per partition of the
     largest shuffle (the lineitem-sized joins, before AQE), at least three
-    waves of the cluster's cores and at most 100k (map-status size on the
-    driver); AQE then coalesces small partitions to ~256 MB and splits
+    waves of the cluster's cores; AQE then coalesces small partitions to ~256 MB and splits
     skewed ones.  Broadcasts happen only when AQE measures a side below the
     threshold at run time (static broadcast from plan estimates is off,
     nothing is hinted)."""
     cores = executors * cores_per_executor
     by_size = int(input_tb * 1024)  # one partition per GB of input
-    partitions = min(max(3 * cores, by_size), 100_000)
+    partitions = max(3 * cores, by_size)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -61,6 +61,12 @@ def read_driver(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> LazyTa
     return LazyTables({n: reader(n) for n in names})
 
 
+def forget_reads(prefix: tuple) -> None:
+    """Drop the cached scans whose key starts with (session, application, folder)."""
+    for key in [k for k in _READS if k[:3] == prefix]:
+        del _READS[key]
+
+
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 

@@ -49,8 +49,10 @@ def write_table(
     mode: str = "overwrite",
     partition_by: list[str] | None = None,
 ) -> None:
-    """Materialise a table.  ``target`` containing '/' is a Parquet path;
-    otherwise a catalog table, whose comments are set with SQL DDL.
+    """Materialise a table.  ``target`` containing '/' is a Parquet path, which
+    keeps column comments in its schema and the table comment as text in the
+    folder ``_comment`` beside the data (readers skip it); otherwise a catalog
+    table, whose comments are set with SQL DDL.
     Writes never sort the whole table (ordering is a read-time concern)."""
     out = with_comments(df, column_comments or {})
     w = out.write.mode(mode)
@@ -58,6 +60,9 @@ def write_table(
         w = w.partitionBy(*partition_by)
     if "/" in target:
         w.parquet(target)
+        if comment is not None:
+            note = df.sparkSession.createDataFrame([(comment,)], "value string")
+            note.coalesce(1).write.mode("overwrite").text(f"{target.rstrip('/')}/_comment")
         return
     w.saveAsTable(target)
     spark = df.sparkSession
@@ -71,6 +76,11 @@ def column_comments(df: DataFrame) -> dict[str, str]:
     return {f.name: f.metadata["comment"] for f in df.schema.fields if f.metadata and "comment" in f.metadata}
 
 
+def table_comment(spark: SparkSession, path: str) -> str:
+    """The table comment of a Parquet path written by ``write_table``."""
+    return spark.read.text(f"{path.rstrip('/')}/_comment").first()[0]
+
+
 def missing_tables(spark: SparkSession, names: list[str]) -> list[str]:
     """Required-table check: names absent from the catalog."""
     return [n for n in names if not spark.catalog.tableExists(n)]

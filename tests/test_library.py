@@ -123,7 +123,7 @@ def test_cluster_conf_sizing_and_respect_for_explicit_settings(spark):
     from stockpilot.session import apply_cluster_conf, cluster_conf
 
     big = cluster_conf(input_tb=100, executors=1000, cores_per_executor=8)
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert int(big["spark.sql.shuffle.partitions"]) > 100_000  # no cap
     assert big["spark.sql.autoBroadcastJoinThreshold"] == "-1"  # only measured (AQE) broadcasts
     assert cluster_conf(input_tb=1, executors=10, cores_per_executor=8)["spark.sql.shuffle.partitions"] == "1024"
     before = spark.conf.get("spark.sql.shuffle.partitions")
