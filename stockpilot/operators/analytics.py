@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockpilot.functions.columns import d
+from stockpilot.operators.summary import items_by_flag
 from stockpilot.params import Params
 
 L = "bigint"
@@ -426,11 +427,7 @@ def breach_3m(brc: DataFrame, p: Params) -> DataFrame:
     hi = f"{p.as_of.year + y:04d}-{m + 1:02d}"
     b = brc.filter(F.col("breach_date").between(lo, hi))
     t = F.col("breach_type")
-    return b.agg(
-        F.count_distinct("item_id").cast(L).alias("breach_items_3m"),
-        F.count_distinct(F.when(t == "ZERO", F.col("item_id"))).cast(L).alias("stockout_items_3m"),
-        F.count_distinct(F.when(t == "OVER", F.col("item_id"))).cast(L).alias("excess_items_3m"),
-    )
+    return items_by_flag(b, breach_items_3m=F.lit(True), stockout_items_3m=t == "ZERO", excess_items_3m=t == "OVER")
 
 
 def filter_lists(df: DataFrame, lists: dict[str, list]) -> DataFrame:

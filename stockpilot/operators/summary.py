@@ -70,6 +70,14 @@ def source_kpi(health: DataFrame) -> DataFrame:
     )
 
 
+def items_by_flag(df: DataFrame, **flags) -> DataFrame:
+    """Distinct items per condition: one flag per item and condition on the
+    item grouping, then a sum -- no row expansion as several distinct counts need."""
+    per_item = df.filter(F.col("item_id").isNotNull()).groupBy("item_id")
+    per_item = per_item.agg(*(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in flags.items()))
+    return per_item.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast(L).alias(n) for n in flags))
+
+
 def exec_summary(
     order_risk: DataFrame,
     escalation: DataFrame,
@@ -91,11 +99,7 @@ def exec_summary(
             F.count_if(rank == "Low").alias("low_count"),
         ),
         escalation.agg(F.count(F.lit(1)).alias("lt_escalation_item_count")),
-        brc.agg(
-            F.count_distinct(F.when(bt == "ZERO", F.col("item_id"))).alias("zero_count"),
-            F.count_distinct(F.when(bt == "UNDER", F.col("item_id"))).alias("under_count"),
-            F.count_distinct(F.when(bt == "OVER", F.col("item_id"))).alias("over_count"),
-        ),
+        items_by_flag(brc, zero_count=bt == "ZERO", under_count=bt == "UNDER", over_count=bt == "OVER"),
         warehouse.agg(F.round(F.avg("health_score"), 1).alias("warehouse_health_score")),
         forecasts.filter(F.col("forecast_month") >= F.add_months(d(p.as_of), -3)).agg(
             F.round(F.avg("forecast_accuracy") * 100, 1).alias("forecast_accuracy_pct")

@@ -19,13 +19,15 @@ def warehouse_status(
     """Per warehouse: components it holds classed by their stock over *all*
     warehouses, its own stock and value, open inbound shipments, health.
 
-    Plan: inventory rows join the component master once (shuffle on
+    Plan: inventory rows are summed to (warehouse, component) first, with
+    partial aggregates, so that the window below sees at most one row per
+    warehouse and component; they join the component master once (shuffle on
     component_id); the all-warehouse total per component is a window on
     that same partitioning (no second shuffle); the (warehouse, component)
     pairs are grouped on the same partitioning, and the last group-by is by
     warehouse (partial aggregates, a handful of rows per task)."""
     comp = components.select("component_id", "min_stock", "max_stock", "unit_price_usd")
-    ic = inventory_current.select("warehouse_id", "component_id", "stock_qty")
+    ic = inventory_current.groupBy("warehouse_id", "component_id").agg(F.sum("stock_qty").alias("stock_qty"))
     j = ic.join(comp, "component_id", "left")
     total = F.sum("stock_qty").over(Window.partitionBy("component_id"))
     mn = F.coalesce(F.col("min_stock"), F.lit(p.default_min_stock))

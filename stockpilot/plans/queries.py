@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stockpilot.operators import leadtime
 from stockpilot.plans.registry import query
 
@@ -123,7 +125,30 @@ def _ship_delays(dom):
 
 @query("ship_routes")
 def _ship_routes(dom):
-    return warehouse.routes_by_direction(dom["shipment_routes"], "inbound")
+    inbound = warehouse.routes_by_direction(dom["shipment_routes"], "inbound")
+    return inbound.unionByName(warehouse.routes_by_direction(dom["shipment_routes"], "outbound"))
+
+
+@query("clean_inventory")
+def _clean_inventory(dom):
+    return dom["inventory"]
+
+
+@query("clean_warehouse_components")
+def _clean_warehouse_components(dom):
+    return dom["warehouse_components"]
+
+
+@query("flt_band_trend")
+def _flt_band_trend(dom):
+    return leadtime.filter_band_trend(dom.mart("mart_lt_snapshot"), "27-52w", "UP")
+
+
+@query("flt_split_sides")
+def _flt_split_sides(dom):
+    """Both sides of the actual / forecast split; the as-of day is on both."""
+    before, after = analytics.split_actual_forecast(dom.mart("mart_timeline"), "event_date", dom.p)
+    return before.withColumn("side", F.lit("ACTUAL")).unionByName(after.withColumn("side", F.lit("FORECAST")))
 
 
 @query("free_kpi")
@@ -387,7 +412,6 @@ from stockpilot.functions.columns import LEVEL_LABELS, ROUTE_LABELS, SOURCE_LABE
 @query("fn_label")
 def _fn_label(dom):
     """Best route per demand with display labels and display column names."""
-    from pyspark.sql import functions as F
 
     b = dom.mart("best_route")
     return b.select(
