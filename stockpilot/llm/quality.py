@@ -189,7 +189,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a sample of at most SAMPLE_PER_LABEL documents of each label, of
     at most SAMPLE_CHARS code points each, drawn by a hash of the id from the
-    rows whose crc32(doc_id) mod 5 is not 0."""
+    rows whose crc32(doc_id) mod 5 is not 0; of rows that share an id, one."""
     rows = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__good"))
     rows = rows.filter("__good in (0, 1)").filter(~held_out(F.col("__id")))
     rows = rows.groupBy("__id").agg(F.min("__good").alias("__good"))
@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     texts = texts.filter(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(drawn), "__id")
-    got = sorted(texts.select("__id", "__good", "__text").toLocalIterator(), key=lambda r: (r[0], r[2]))
+    texts = texts.groupBy("__id", "__good").agg(F.min("__text").alias("__text"))  # an id may repeat without bound
+    got = sorted(texts.toLocalIterator(), key=lambda r: (r[0], r[2]))
     return fit([r[2] for r in got], [r[1] for r in got])
 
 
