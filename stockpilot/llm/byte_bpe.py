@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 
 #: Distinct matches and token pairs that a worker remembers.
 REMEMBERED = 300_000
@@ -162,14 +162,14 @@ def _encoded(batches, path):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (decimal, joined by one space): one row per input row, null
     ids and repeated rows included; null and empty texts have no ids."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda batches: _encoded(batches, vocabulary), "doc_id long, ids string")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, bytes from doc_id, ids; null and empty ids give no bytes."""
-    ship_package(encoded.sparkSession)
+    prepare_workers(encoded.sparkSession)
 
     def run(batches):
         coder = load(vocabulary)
@@ -183,7 +183,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text, decodes
     the ids and keeps digests only.  Row by row; nulls count as empty texts."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches):
         coder = load(vocabulary)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 
 #: Code points of texts that are worked on at once.
 BATCH_CHARS = 1 << 20
@@ -35,7 +35,7 @@ def computed(
     """The columns ``keep`` of ``docs`` and the new ``fields``.  ``make()`` gives,
     inside the worker, a function from a list of texts (null: empty) to one
     sequence per field."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(*keep, docs[text_col].alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, KINDS[t]) for n, t in fields.items())])
 

@@ -1,4 +1,4 @@
-"""Ships this package's code to the Python workers."""
+"""What a session needs before its Python workers run this package's code."""
 
 from __future__ import annotations
 
@@ -8,12 +8,18 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch unless the session sets them: an executor holds a
+#: batch on both sides of each worker's pipe, so Spark's 64 MB cost it hundreds.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Spark distribute the package as a zip, once per application, so that
-    workers find it without an installation."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Bound the Arrow batches, and let Spark distribute the package as a zip,
+    once per application, so that workers find it without an installation."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockpilot.llm.columns import BATCH_CHARS, computed
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 
 #: Bound of the training sample: documents a language (in expectation), and code points of a document.
 SAMPLE_PER_LANG = 400
@@ -189,7 +189,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     SAMPLE_CHARS code points, drawn by a hash of the id from the rows with a
     language whose crc32(doc_id) mod 4 is not 2.  Only their word counts per
     language reach the driver."""
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     share = {r[0]: min(1.0, SAMPLE_PER_LANG / r[1]) for r in rows.groupBy("lang").count().collect()}

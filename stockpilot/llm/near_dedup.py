@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 from stockpilot.llm.shingles import bands, shingle_set, super_minhash
 from stockpilot.session import ensure_checkpoint_dir
 
@@ -209,7 +209,7 @@ def near_components(
     linked with nothing, has a null component and is kept.  An empty table
     gives no rows; other columns are ignored."""
     ensure_checkpoint_dir(docs.sparkSession)
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     base = sketch(docs, k, id_col, text_col).checkpoint()
     named = base.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))

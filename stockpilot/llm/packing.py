@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockpilot.llm.columns import BATCH_CHARS
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 from stockpilot.session import scratch_path
 
 LENGTH = 2048
@@ -186,7 +186,7 @@ def pack(
     in exactly one piece; offsets in a sequence have no gap; all sequences but
     one are full.  An empty table gives no pieces; other columns are ignored."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     end = end_id.to_bytes(4, "little")
 
     def first(batches):

@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from stockpilot.llm.deploy import ship_package
+from stockpilot.llm.deploy import prepare_workers
 from stockpilot.session import scratch_path
 
 #: Bytes of a written file after which the next one is begun, and of a read partition.
@@ -304,7 +304,7 @@ def read_warc(spark, path: str, payload: str = "keep") -> DataFrame:
 
 
 def _register(spark) -> None:
-    ship_package(spark)
+    prepare_workers(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
