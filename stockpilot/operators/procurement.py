@@ -392,18 +392,21 @@ def bom_chain(ful: DataFrame) -> DataFrame:
     )
 
 
-def bom_drill(routed: DataFrame, p: Params) -> DataFrame:
-    """Product x month -> its component demands with level and best route
-    (row-local, one pass over the per-demand rows)."""
+def bom_drill(routed: DataFrame, components: DataFrame, p: Params) -> DataFrame:
+    """Product x month -> its component demands: names, what the first route
+    (customer stock) makes available and leaves short, level and best route."""
     dm = routed.filter(
         (F.col("source_type") == FCST) & F.col("product_id").isNotNull() & (F.col("requested_date") >= d(p.as_of))
     )
-    return dm.select(
+    first = F.col("routes")[0]
+    rows = dm.select(
         "product_id",
         F.date_format("requested_date", "yyyy-MM").alias("requested_month"),
-        "demand_id", "component_id", "requested_date", "requested_qty", "action_level", "combo_ok",
-        best_route_col()["r"]["route_type"].alias("best_route"),
+        "demand_id", "component_id", "requested_date", "requested_qty",
+        first["available_qty"].alias("available_qty"), first["shortage_qty"].alias("shortage_qty"),
+        "action_level", "combo_ok", best_route_col()["r"]["route_type"].alias("best_route"),
     )
+    return rows.join(components.select("component_id", "part_number", "component_name"), "component_id", "left")
 
 
 def bom_bottleneck(routed: DataFrame, components: DataFrame, p: Params, k: int = 5) -> DataFrame:

@@ -137,6 +137,14 @@ def quarantine(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.filter(~_all_pass(drops)).withColumn("failed_rules", failed)
 
 
+def quarantine_records(df: DataFrame, table: str) -> DataFrame:
+    """table_name, failed_rules and the whole rejected row as JSON (nulls
+    kept), so that the rejects of tables with different columns make one table."""
+    rejected = quarantine(df, rules_for(table))
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return rejected.select(F.lit(table).alias("table_name"), "failed_rules", record.alias("record"))
+
+
 def rule_report(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     """One row per rule: rows checked and rows failing (single pass; the
     per-rule counts are partial aggregates, so no group is ever collected)."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockpilot.functions.columns import CERTAIN, EXPECTED, NEGOTIABLE, d
+from stockpilot.functions.columns import CERTAIN, EXPECTED, NEGOTIABLE, d, label
 from stockpilot.params import Params
 
 L = "bigint"
@@ -23,6 +23,16 @@ OPT_CUSTOMER, OPT_FREE, OPT_PO, OPT_COMBINED, OPT_NEW, OPT_PULL_IN = (
     "CUSTOMER_STOCK", "DISTRIBUTOR_FREE", "EXPEDITE_PO", "CUSTOMER_PLUS_FREE", "NEW_ORDER", "PULL_IN_NEXT_MONTH",
 )
 
+# Title of each option (neutral English).
+OPT_TITLES = {
+    OPT_CUSTOMER: "Allocate from customer stock",
+    OPT_FREE: "Request allocation of distributor free stock",
+    OPT_PO: "Expedite the open PO backlog",
+    OPT_COMBINED: "Combine customer stock and free stock",
+    OPT_NEW: "Place a new order with the maker",
+    OPT_PULL_IN: "Pull in from next month's forecast",
+}
+
 
 def lt_weeks(col: Column, p: Params) -> Column:
     """Lead time used for new orders: the master value, default when NULL or 0."""
@@ -48,7 +58,7 @@ def pull_in(demand: DataFrame) -> DataFrame:
     )
 
 
-def _opt(code: str, eta: Column, feas: Column, cov: Column, gap: Column, score: Column, cond: Column) -> Column:
+def _opt(code: str, eta: Column, feas: Column, cov: Column, gap: Column, score: Column, cond: Column, steps: list) -> Column:
     return F.when(
         cond,
         F.struct(
@@ -58,10 +68,23 @@ def _opt(code: str, eta: Column, feas: Column, cov: Column, gap: Column, score:
             feas.alias("feasibility"),
             cov.cast(L).alias("coverage_qty"),
             gap.cast(L).alias("gap_qty"),
+            F.concat_ws("\n", *steps).alias("steps"),
         ),
     )
 
 
+def _step(text: str, *values: Column, when: Column | None = None) -> Column:
+    """A line of text with each ``{}`` replaced by a value: whole numbers with
+    thousands separators, dates in ISO form.  Null (left out) unless ``when``."""
+    parts = text.split("{}")
+    line = F.concat(F.lit(parts[0]), *(x for v, rest in zip(values, parts[1:]) for x in (v, F.lit(rest))))
+    return line if when is None else F.when(when, line)
+
+
+def _n(col: Column) -> Column:
+    return F.format_number(col, 0)
+
+
 def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
     """Up to six ranked, concrete options per demand."""
     T = d(p.as_of)
@@ -82,16 +105,43 @@ def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
     new_late = F.greatest(F.lit(0), F.datediff(new_eta, F.col("requested_date")))
     pull = F.coalesce(F.col("pull_in_qty"), F.lit(0).cast(L))
     pull_cov = F.least(pull, req)
+    none = F.lit(0).cast(L)
+    po_gap, pull_gap = F.greatest(none, req - po_cov), F.greatest(none, req - pull_cov)
+    both_eta = F.greatest(eta(0), eta(1))
+    cust_take = F.least(cust, req)
+    day = lambda c: c.cast("string")
     opts = F.array(
-        _opt(OPT_CUSTOMER, eta(0), F.lit(CERTAIN), req, F.lit(0), F.lit(10), cust >= req),
-        _opt(OPT_FREE, eta(1), F.lit(CERTAIN), req, F.lit(0), F.lit(20), free >= req),
-        _opt(OPT_PO, eta(2), F.when(po_late == 0, F.lit(EXPECTED)).otherwise(F.lit(NEGOTIABLE)), po_cov,
-             F.greatest(F.lit(0).cast(L), req - po_cov), F.lit(30), po > 0),
-        _opt(OPT_COMBINED, F.greatest(eta(0), eta(1)), F.lit(CERTAIN), req, F.lit(0), F.lit(25),
-             (cust + free >= req) & (cust > 0) & (free > 0)),
-        _opt(OPT_NEW, new_eta, F.lit(NEGOTIABLE), req, F.lit(0), 50 + new_late, F.lit(True)),
-        _opt(OPT_PULL_IN, T, F.lit(NEGOTIABLE), pull_cov, F.greatest(F.lit(0).cast(L), req - pull_cov), F.lit(40),
-             pull > 0),
+        _opt(OPT_CUSTOMER, eta(0), F.lit(CERTAIN), req, none, F.lit(10), cust >= req, [
+            _step("allocate {} from own warehouse", _n(req)),
+            _step("ship out on {}", day(eta(0))),
+        ]),
+        _opt(OPT_FREE, eta(1), F.lit(CERTAIN), req, none, F.lit(20), free >= req, [
+            _step("ask the distributor to allocate {}", _n(req)),
+            _step("arrival on {}, transport included", day(eta(1))),
+        ]),
+        _opt(OPT_PO, eta(2), F.when(po_late == 0, F.lit(EXPECTED)).otherwise(F.lit(NEGOTIABLE)), po_cov, po_gap,
+             F.lit(30), po > 0, [
+            _step("confirm and expedite {} of the open PO backlog", _n(po_cov)),
+            _step("earliest arrival {}", day(eta(2))),
+            _step("cover the missing {} by another route", _n(po_gap), when=po_gap > 0),
+        ]),
+        _opt(OPT_COMBINED, both_eta, F.lit(CERTAIN), req, none, F.lit(25),
+             (cust + free >= req) & (cust > 0) & (free > 0), [
+            _step("allocate {} from own warehouse at once", _n(cust_take)),
+            _step("ask the distributor for the remaining {} of free stock", _n(F.least(free, req - cust_take))),
+            _step("complete on {}", day(both_eta)),
+        ]),
+        _opt(OPT_NEW, new_eta, F.lit(NEGOTIABLE), req, none, 50 + new_late, F.lit(True), [
+            _step("order {} through the distributor", _n(req)),
+            _step("lead time {} weeks, arrival {}", lt.cast("string"), day(new_eta)),
+            _step("{} days after the requested date", new_late.cast("string"), when=new_late > 0),
+        ]),
+        _opt(OPT_PULL_IN, T, F.lit(NEGOTIABLE), pull_cov, pull_gap, F.lit(40), pull > 0, [
+            _step("pull {} forward from next month's forecast", _n(pull_cov)),
+            F.lit("check next month's stock margin and plan its supply"),
+            F.coalesce(_step("cover the missing {} by another route", _n(pull_gap), when=pull_gap > 0),
+                       F.lit("the whole quantity is pulled in")),
+        ]),
     )
     # drop absent options, order by score (scores of present options never tie)
     ranked = F.array_sort(F.filter(opts, lambda x: x.isNotNull()))
@@ -101,7 +151,8 @@ def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
     ).select(
         "demand_id", "component_id", "requested_date", "requested_qty",
         (F.col("pos") + 1).alias("option_rank"),
-        "o.option_code", "o.eta_date", "o.feasibility", "o.coverage_qty", "o.gap_qty", "o.priority_score",
+        "o.option_code", label(F.col("o.option_code"), OPT_TITLES).alias("title"), "o.steps", "o.eta_date",
+        "o.feasibility", "o.coverage_qty", "o.gap_qty", "o.priority_score",
     )
 
 

@@ -91,7 +91,7 @@ def _bom_chain(dom):
 
 @query("bom_drill")
 def _bom_drill(dom):
-    return procurement.bom_drill(dom.mart("demand_routes"), dom.p)
+    return procurement.bom_drill(dom.mart("demand_routes"), dom["components"], dom.p)
 
 
 @query("bom_bottleneck")
@@ -179,6 +179,13 @@ def _dq_report(dom):
 
 @query("dq_quarantine")
 def _dq_quarantine(dom):
+    """Rejected rows of every table with drop rules, each as a JSON record."""
+    tables = [t for t in TABLES if quality.rules_for(t, quality.DROP)]
+    return reduce(DataFrame.unionByName, [quality.quarantine_records(_base(dom.raw[t], t), t) for t in tables])
+
+
+@query("dq_quarantine_demand")
+def _dq_quarantine_demand(dom):
     t = "demand_plan_components"
     return quality.quarantine(_base(dom.raw[t], t), quality.rules_for(t))
 
