@@ -73,9 +73,8 @@ def clean_purchase_orders(raw: DataFrame, p: Params, obs: dict | None = None) ->
 
 
 def clean_demand(raw: DataFrame, p: Params, obs: dict | None = None) -> DataFrame:
-    # demand_id must be unique for the per-demand wide row; duplicates keep
-    # one deterministic row
-    dm = _keep(dedupe(_base(raw, "demand_plan_components"), "demand_id"), "demand_plan_components", obs)
+    # rows that repeat a demand_id stay, each a demand row of its own
+    dm = clean_simple(raw, "demand_plan_components", obs)
     return dm.withColumn("days_to_required", F.datediff("requested_date", d(p.as_of))).withColumn(
         "is_emergency", F.col("source_type") == F.lit("EMERGENCY_MANUAL")
     )

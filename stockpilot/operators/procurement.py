@@ -17,7 +17,8 @@ Plan shape (Spark-first rewrite of a theta self-join and a 4-way union):
 3. Each demand joins its (component, date) row once: one shuffle of the
    demand rows (AQE splits a skewed key, or broadcasts the aggregate side
    when its runtime size is small).  Consumption of earlier forecast
-   demand = prefix sum - own quantity.
+   demand = prefix sum - own quantity (for a repeated demand_id: what all of
+   its rows hold up to the date; only such rows are grouped again).
 4. All route values and per-demand flags are row-local; the four routes are
    an ``array(struct)`` that ``inline`` turns into rows only at the end.
 """
@@ -101,6 +102,20 @@ def _fq(prefix: str = "") -> Column:
     return F.when(is_fcst, F.coalesce(F.col(f"{prefix}requested_qty"), F.lit(0))).otherwise(F.lit(0)).cast(L)
 
 
+def repeated_quantities(demand: DataFrame) -> DataFrame:
+    """demand_id, component_id, requested_date, own_fq for the demand_ids on
+    several rows: the id's forecast quantity of the component up to the date.
+
+    The ids are counted by a partial aggregate; only repeated ones go on, one
+    row per (id, component, day), so a hot id is no long window."""
+    many = demand.groupBy("demand_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("demand_id")
+    days = demand.join(many, "demand_id", "left_semi").groupBy("demand_id", "component_id", "requested_date").agg(
+        F.sum(_fq()).alias("fq")
+    )
+    upto = Window.partitionBy("demand_id", "component_id").orderBy(F.col("requested_date").asc_nulls_first())
+    return days.select("demand_id", "component_id", "requested_date", F.sum("fq").over(upto).alias("own_fq"))
+
+
 def demand_wide(
     demand: DataFrame,
     inventory_current: DataFrame,
@@ -109,7 +124,7 @@ def demand_wide(
     components: DataFrame,
     p: Params,
 ) -> DataFrame:
-    """One row per demand with consumption and every route input."""
+    """One row per demand row with consumption and every route input."""
     day_rows = demand.select(
         "component_id",
         "requested_date",
@@ -157,9 +172,12 @@ def demand_wide(
     dm, dy = demand.alias("dm"), days.alias("dy")
     cond = [F.col("dm.component_id").eqNullSafe(F.col("dy.component_id")),
             F.col("dm.requested_date").eqNullSafe(F.col("dy.requested_date"))]
-    j = dm.join(dy, cond, "left")
+    rp = repeated_quantities(demand).alias("rp")
+    same = [F.col(f"dm.{c}").eqNullSafe(F.col(f"rp.{c}")) for c in ("demand_id", "component_id", "requested_date")]
+    j = dm.join(dy, cond, "left").join(rp, same, "left")
     has_key = F.col("dm.component_id").isNotNull() & F.col("dm.requested_date").isNotNull()
-    consumption = F.when(has_key, F.col("dy.prefix_fq") - _fq("dm.")).otherwise(F.lit(0).cast(L))
+    own = F.coalesce(F.col("rp.own_fq"), _fq("dm."))
+    consumption = F.when(has_key, F.col("dy.prefix_fq") - own).otherwise(F.lit(0).cast(L))
     return j.select(
         F.col("dm.demand_id").alias("demand_id"),
         F.col("dm.component_id").alias("component_id"),

@@ -39,23 +39,29 @@ def lt_weeks(col: Column, p: Params) -> Column:
     return F.when(F.coalesce(col, F.lit(0)) == 0, F.lit(p.default_new_order_lt_weeks)).otherwise(col)
 
 
-def pull_in(demand: DataFrame) -> DataFrame:
-    """Per demand: floor(half of next calendar month's forecast demand of
-    the same component).  Monthly totals are pre-aggregated, then joined on
-    (component, month)."""
-    monthly = (
+def month_totals(demand: DataFrame) -> DataFrame:
+    """Forecast demand per component and calendar month."""
+    return (
         demand.filter((F.col("source_type") == FCST) & F.col("requested_date").isNotNull())
         .groupBy("component_id", F.trunc("requested_date", "MM").alias("month_start"))
         .agg(F.sum("requested_qty").cast(L).alias("next_month_qty"))
     )
-    dm = demand.select(
-        "demand_id", "component_id", F.add_months(F.trunc("requested_date", "MM"), 1).alias("month_start")
-    )
-    j = dm.join(monthly, ["component_id", "month_start"], "left")
-    return j.select(
-        "demand_id",
-        F.floor(F.coalesce(F.col("next_month_qty"), F.lit(0)) / 2).cast(L).alias("pull_in_qty"),
-    )
+
+
+def _with_pull(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``rows`` and pull_in_qty: half of the next month's total, floored."""
+    month = F.add_months(F.trunc("requested_date", "MM"), 1)
+    j = rows.withColumn("month_start", month).join(totals, ["component_id", "month_start"], "left")
+    half = F.floor(F.coalesce(F.col("next_month_qty"), F.lit(0)) / 2).cast(L)
+    return j.withColumn("pull_in_qty", half).drop("month_start", "next_month_qty")
+
+
+def pull_in(demand: DataFrame) -> DataFrame:
+    """Per demand: floor(half of next calendar month's forecast demand of
+    the same component).  Monthly totals are pre-aggregated, then joined on
+    (component, month)."""
+    rows = demand.select("demand_id", "component_id", "requested_date")
+    return _with_pull(rows, month_totals(demand)).select("demand_id", "pull_in_qty")
 
 
 def _opt(code: str, eta: Column, feas: Column, cov: Column, gap: Column, score: Column, cond: Column, steps: list) -> Column:
@@ -85,8 +91,9 @@ def _n(col: Column) -> Column:
     return F.format_number(col, 0)
 
 
-def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
-    """Up to six ranked, concrete options per demand."""
+def actions(routed: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
+    """Up to six ranked, concrete options per demand.  ``totals``: the
+    forecast demand per component and month (``month_totals``)."""
     T = d(p.as_of)
     r = F.col("routes")
     req = F.col("requested_qty").cast(L)
@@ -145,8 +152,7 @@ def actions(routed: DataFrame, pulls: DataFrame, p: Params) -> DataFrame:
     )
     # drop absent options, order by score (scores of present options never tie)
     ranked = F.array_sort(F.filter(opts, lambda x: x.isNotNull()))
-    j = routed.join(pulls, "demand_id", "left")
-    return j.select(
+    return _with_pull(routed, totals).select(
         "demand_id", "component_id", "requested_date", "requested_qty", F.posexplode(ranked).alias("pos", "o")
     ).select(
         "demand_id", "component_id", "requested_date", "requested_qty",

@@ -224,7 +224,7 @@ def _rec_pull_in(dom):
 
 @query("rec_actions")
 def _rec_actions(dom):
-    return recommend.actions(dom.mart("demand_routes"), recommend.pull_in(dom["demand_plan_components"]), dom.p)
+    return recommend.actions(dom.mart("demand_routes"), recommend.month_totals(dom["demand_plan_components"]), dom.p)
 
 
 @query("whatif")

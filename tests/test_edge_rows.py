@@ -239,13 +239,43 @@ def test_recommendations_and_pull_in_over_year_end(make_domain):
     )
     pulls = recommend.pull_in(dom["demand_plan_components"])
     assert dict(rows(pulls, "demand_id", "pull_in_qty"))["x"] == 3  # floor(7 / 2), January
-    acts = recommend.actions(_routes(dom), pulls, DEFAULT).filter("demand_id = 'x'")
+    totals = recommend.month_totals(dom["demand_plan_components"])
+    acts = recommend.actions(_routes(dom), totals, DEFAULT).filter("demand_id = 'x'")
     got = rows(acts, "option_rank", "option_code", "coverage_qty", "gap_qty", order=["option_rank"])
     codes = [g[1] for g in got]
     # customer 6 - consumption 0 (forecasts dated later) -> customer+free combination;
     # PO covers 4 of 10; pull-in 3; new order always
     assert codes == ["CUSTOMER_PLUS_FREE", "EXPEDITE_PO", "PULL_IN_NEXT_MONTH", "NEW_ORDER"]
     assert got[1][2:] == (4, 6)
+    titles = rows(acts, "title", "steps", order=["option_rank"])
+    assert titles[1] == ("Expedite the open PO backlog", "confirm and expedite 4 of the open PO backlog\n"
+                         f"earliest arrival {days(3)}\ncover the missing 6 by another route")
+
+
+def test_repeated_demand_ids_keep_their_rows_and_never_consume_themselves(make_domain):
+    def row(i, day, qty, source="FCST_AUTO"):
+        return {"demand_id": i, "component_id": "c", "requested_date": days(day), "requested_qty": qty, "source_type": source}
+
+    dm = [row("d", 1, 3), row("d", 5, 4), row("d", 5, 4), row("e", 3, 2), row("f", 6, 1, "EMERGENCY_MANUAL")]
+    dom = make_domain(demand_plan_components=dm, components=[_comp("c")])
+    want = sorted(
+        (x["demand_id"], x["requested_date"], sum(
+            o["requested_qty"] for o in dm if o["source_type"] == "FCST_AUTO" and o["demand_id"] != x["demand_id"]
+            and o["requested_date"] <= x["requested_date"]))
+        for x in dm
+    )
+    assert sorted(rows(dom.mart("demand_routes"), "demand_id", "requested_date", "consumption")) == want
+
+
+def test_quarantine_covers_every_table_with_drop_rules(make_domain):
+    from stockpilot.plans.registry import load_all
+
+    dom = make_domain(
+        inventory=[{"component_id": "c", "warehouse_id": "w", "stock_qty": -1}, {"component_id": "c", "stock_qty": 1}],
+        suppliers=[{"supplier_name": "nameless"}],
+    )
+    got = rows(load_all()["dq_quarantine"](dom), "table_name", "failed_rules", order=["table_name"])
+    assert got == [("inventory", "stock_non_negative"), ("suppliers", "supplier_id_not_null")]
 
 
 def test_whatif_window_and_missing_po(make_domain):
