@@ -317,6 +317,34 @@ def test_block_tables_find_all_within_radius(spark, radius):
     assert got == want
 
 
+def test_default_radius_finds_similar_texts(spark):
+    """Recall on pairs of five-word-shingle similarity 0.8 or more, and the counts of all pairs within the radius."""
+    r = random.Random(11)
+    texts = []
+    for i in range(40):
+        base = prose(500 + i, r.randrange(60, 300)).split()
+        edits = len(base) // 50
+        apart, touching = list(base), list(base)
+        for k in range(edits):
+            apart[r.randrange(len(base))] = f"edit{k}"
+        at = r.randrange(len(base) - edits)
+        touching[at : at + edits] = [f"edit{k}" for k in range(edits)]
+        cut = base[: len(base) * 9 // 10]
+        texts += [" ".join(w) for w in (base, base, apart, touching, cut)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    prints = simhash.fingerprints(df, ["k"], "t").checkpoint()
+    of = {p.k: (p.f0, p.f1) for p in prints.collect()}
+    bits = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a, b))
+    found = {tuple(x)[:4] for x in simhash.find_within(prints, prints).collect()}
+    assert found == {(*a, *b) for a in of.values() for b in of.values() if bits(a, b) <= simhash.RADIUS}
+    some = [frozenset(shingle_set(t, 5).tolist()) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(some[a] & some[b]) >= 0.8 * len(some[a] | some[b]) and texts[a] != texts[b]]
+    assert len(alike) >= 100 and sum((*of[a], *of[b]) in found for a, b in alike) >= 0.95 * len(alike)
+    for chunk in (1, 3, 256):
+        near = {(x.f0, x.f1): x.near for x in simhash.count_within(prints.filter("k % 3 = 0"), prints, chunk=chunk).collect()}
+        assert near == {of[a]: sum(bits(of[a], p) <= simhash.RADIUS for p in of.values()) for a in of if a % 3 == 0}
+
+
 def test_marginals_against_all_label_sequences():
     import itertools
 
