@@ -17,7 +17,18 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head noscript template svg math canvas object audio video select".split())
+DROPPED = frozenset("noscript template svg math canvas object audio video select".split())
+#: Tags without an element of their own; what a head may hold is void, raw or dropped, and other text ends it.
+BARE = frozenset("html head body".split())
+#: Start tags of these end svg and math, except inside the elements of HTML_IN.
+FOREIGN = frozenset("svg math".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_IN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: So many unclosed dropped elements of a name are looked for to their end; later ones end at the next block.
+LOOKED_FOR = 8
 #: Start tags of these end an open paragraph; the others in CLOSES end their own kind.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -29,7 +40,7 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table body article section div main aside nav".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -48,6 +59,31 @@ class Tree:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # node, text
 
 
+class Skip:
+    """The open elements of a dropped element, itself first."""
+
+    def __init__(self, tag: str):
+        self.tag, self.block = tag, None  # where the first block in it starts
+        self.names, self.counts = [tag], {tag: 1}
+
+    def open(self, tag: str):
+        self.names.append(tag)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost ``tag`` and what is inside it; whether that is all."""
+        while True:
+            last = self.names.pop()
+            self.counts[last] -= 1
+            if not self.counts[last]:
+                del self.counts[last]
+            if last == tag:
+                return not self.names
+
+    def html_in(self) -> bool:
+        return not HTML_IN.isdisjoint(self.counts)
+
+
 def parse(page: str) -> Tree:
     t = Tree()
     stack = [0]
@@ -81,14 +117,24 @@ def parse(page: str) -> Tree:
                 return
 
     pos, skip, end = 0, None, len(page)
-    while pos < end:
+    lost: dict[str, int] = {}  # dropped elements without their end tag, by name
+
+    def unclosed(at):
+        """End a skip without its end tag: at the first block in it, or ``at``."""
+        nonlocal skip
+        lost[skip.tag] = lost.get(skip.tag, 0) + 1
+        at, skip = at if skip.block is None else skip.block, None
+        return at
+
+    while pos < end or (skip is not None and (pos := unclosed(end)) < end):
         lt = page.find("<", pos)
         if lt < 0:
             lt = end
         if lt > pos and skip is None:
             add_text(page[pos:lt])
         if lt == end:
-            break
+            pos = end
+            continue
         if page.startswith("<!--", lt):
             stop = page.find("-->", lt + 4)
             pos = end if stop < 0 else stop + 3
@@ -100,31 +146,46 @@ def parse(page: str) -> Tree:
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if m is None:
             if re.match(r"</?[a-zA-Z]", page[lt : lt + 3]):
-                break  # the page ends inside a tag
+                pos = end  # the page ends inside a tag
+                continue
             if skip is None:
                 add_text("<")
             pos = lt + 1
             continue
         pos = m.end()
         closing, tag = bool(m[1]), m[2].lower()
-        if skip is not None:  # inside a dropped element: only its nesting counts
-            if tag == skip[0] and not m[3].endswith("/"):
-                depth = skip[1] + (-1 if closing else 1)
-                skip = (tag, depth) if depth else None
-            continue
-        if tag in RAW:
+        if skip is not None and skip.tag in FOREIGN and not closing and tag in BREAKOUT and not skip.html_in():
+            skip = None
+        if tag in RAW and (skip is None or skip.tag not in FOREIGN or skip.html_in()):
             if not closing:
                 flush()
                 stop = re.compile(f"</{tag}", re.I).search(page, pos)
                 if stop is None:
-                    break
+                    pos = end
+                    continue
                 gt = page.find(">", stop.end())
                 pos = end if gt < 0 else gt + 1
             continue
+        if skip is not None:
+            if closing:
+                if tag in skip.counts:
+                    if skip.close(tag):
+                        skip = None
+                elif tag in ("body", "html") or any(t.tag[n] == tag for n in stack[1:]):
+                    pos = unclosed(lt)
+                continue
+            if skip.block is None and (tag in ENDS_P or tag == "body"):
+                skip.block = lt
+                if lost.get(skip.tag, 0) >= LOOKED_FOR:
+                    pos = unclosed(lt)
+                    continue
+            if tag not in VOID and not m[3].endswith("/"):
+                skip.open(tag)
+            continue
         if tag in DROPPED:
             if not closing and not m[3].endswith("/"):
                 flush()
-                skip = (tag, 1)
+                skip = Skip(tag)
             continue
         if tag == "br":
             run.append(" ")
@@ -140,6 +201,10 @@ def parse(page: str) -> Tree:
             if tag == "a":
                 in_link = 0 if closing else 1
             continue
+        if tag in BARE and (not closing or tag == "head"):
+            flush()
+            in_link = 0
+            continue
         if closing:
             if tag == "p" and "p" not in (t.tag[n] for n in stack):
                 flush()
@@ -148,8 +213,6 @@ def parse(page: str) -> Tree:
             continue
         flush()
         in_link = 0
-        if tag in ("html", "body"):
-            continue
         if tag in ENDS_P:
             close({"p"}, SCOPES)
         if tag in CLOSES:

@@ -66,6 +66,39 @@ def test_broken_pages():
         assert isinstance(model.text(p), str)
 
 
+STORY = "<article><h1>Title</h1><p>It's the first sentence of the text. That's the second one.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ("<html><head><title>x</title><meta charset=utf-8><body>", "</body></html>"),
+        ("<html><head><title>x</title><link rel=a>", ""),
+        ("<head><script>var s = '<head>';</script></head><body>", ""),
+        ("<head><script>for (i=0;i<n;i++) a('don\\'t');</script><title>x</title></head><body>", ""),
+        ("<noscript><script>var s = '<noscript>';</script></noscript>", ""),
+        ("<div><select><option>a<option>b</div>", ""),
+        ("<div><svg><g><path d=M1></div>", ""),
+        ("<svg><title/><path d=M1>", ""),
+        ("<svg><style/><g>x</g></svg>", ""),
+        ("<object data=x><param name=a>", ""),
+        ("<div><object data=x>", "</div>"),
+        ("<div><video src=x><source src=y>", "</div><div><video><p>No video.</p></video></div>"),
+        ("<img alt=don't>", ""),
+        ("<div><canvas><div><p>No canvas.</p></div></canvas><template><div><p>Row</p></div></template></div>", ""),
+        ("<svg><foreignObject><div><p>Label</p></div></foreignObject></svg>", ""),
+    ],
+)
+def test_dropped_elements_do_not_take_the_page(before, after):
+    t = html_tree.parse(before + STORY + after)
+    assert [x for _, x in t.blocks] == ["Title", "It's the first sentence of the text. That's the second one."]
+
+
+def test_many_unclosed_dropped_elements():
+    t = html_tree.parse("<object><p>a" * 20000 + "</object>")
+    assert len(t.blocks) >= 19000
+
+
 def test_main_text_rows(spark):
     rows = [(i, "u", h, "x") for i, h in enumerate(ODD)] + [(None, None, "<article><p>Long enough text here.</p></article>", "x")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
