@@ -12,7 +12,7 @@ from stockpilot.llm.deploy import prepare_workers
 
 #: Code points of texts that are worked on at once.
 BATCH_CHARS = 1 << 20
-KINDS = {pa.float64(): T.DoubleType(), pa.string(): T.StringType()}
+KINDS = {pa.float64(): T.DoubleType(), pa.int64(): T.LongType(), pa.string(): T.StringType()}
 
 
 def in_steps(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockpilot.llm.columns import computed
 from stockpilot.llm.deploy import prepare_workers
 from stockpilot.llm.shingles import bands, shingle_set, super_minhash
 from stockpilot.session import ensure_checkpoint_dir
@@ -166,7 +167,7 @@ def _search(texts: DataFrame, k: int, percent: int) -> DataFrame:
         nodes = list(members)
         found = linked([members[x][0] for x in nodes], [members[x][1] for x in nodes], percent)
         return pa.RecordBatch.from_arrays(
-            [pa.array([nodes[i] for i, _ in found], _LONG), pa.array([nodes[j] for _, j in found], _LONG)], ["a", "b"]
+            [pa.array([nodes[i][0] for i, _ in found], _LONG), pa.array([nodes[j][0] for _, j in found], _LONG)], ["a", "b"]
         )
 
     def run(batches):
@@ -179,10 +180,10 @@ def _search(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     if (out := links(members)) is not None:
                         yield out
                     task, members = t, {}
-                if node not in members:
+                if (node, s1, s2) not in members:
                     s = shingle_set(cols[5][i].as_py(), k)
                     if _digest(s) == (s1, s2):  # not another text under the same doc_id
-                        members[node] = (s, label)
+                        members[node, s1, s2] = (s, label)
         if (out := links(members)) is not None:
             yield out
 
@@ -277,11 +278,20 @@ def _across(large, entries, links, texts, k, percent, task_members) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows of which each group keeps one, with all their columns."""
+    """The input rows of which each group keeps one, with all their columns.
+    Texts with different sets that share a kept doc_id all stay."""
     kept = near_components(docs, k, percent, id_col, text_col).filter("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__id")).dropDuplicates(["__id"]).select(*docs.columns)
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).checkpoint()
+    named = docs.join(kept, F.col(id_col) == F.col("__id"))
+    if not kept.filter("__n > 1").isEmpty():
+
+        def make():
+            return lambda texts: tuple(zip(*(_digest(s) if len(s := shingle_set(t, k)) else (None, None) for t in texts)))
+
+        several = computed(named.filter("__n > 1"), text_col, make, {"__s1": _LONG, "__s2": _LONG}, [*docs.columns, "__id"])
+        several = several.dropDuplicates(["__id", "__s1", "__s2"]).select(*docs.columns)
+        named = named.filter("__n = 1").select(*docs.columns).unionByName(several)
+    return named.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -167,6 +167,18 @@ def test_near_keeps_rows(docs, empty):
     assert near_dedup.near_components(empty).count() == 0
 
 
+def test_near_texts_that_share_a_doc_id(spark):
+    """Each of the texts under one id links on its own, and unrelated ones are all kept."""
+    a, b = prose(21, 80), prose(22, 80)
+    near = lambda t, w: " ".join([*t.split()[:-1], w])
+    rows_ = [(1, a), (1, b), (1, b), (1, b.upper()), (2, near(a, "x")), (3, near(b, "y")), (4, prose(23, 80)), (5, None), (5, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    kept = Counter((r.doc_id, r.text.lower() if r.text else None) for r in near_dedup.keep_one(df).collect())
+    assert kept == Counter([(1, a), (1, b), (4, prose(23, 80)), (5, None)])
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
