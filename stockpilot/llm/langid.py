@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,19 +26,22 @@ from stockpilot.llm.deploy import prepare_workers
 SAMPLE_PER_LANG = 400
 SAMPLE_CHARS = 200_000
 EM_STEPS = 4
-#: Longest piece, and longest run of letters taken as one word (longer ones are cut into runs).
-PIECE_CHARS, WORD_CHARS = 10, 32
+#: Longer runs of letters are computed one by one, with sums that are scaled again and again;
+#: only for training they are cut into runs of this length.
+WORD_CHARS = 32
 #: Distinct words whose probabilities a worker remembers.
 REMEMBERED = 400_000
+#: Letters of the remembered words.
+REMEMBERED_CHARS = 8_000_000
 UNKNOWN = "und"
 START = "▁"  # the vocabulary's mark of a word's start
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS, _OTHER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased, cut into runs of at most WORD_CHARS."""
+def words(text: str, cut: bool = False) -> list[str]:
+    """Runs of letters, lower-cased; with ``cut`` cut into runs of at most WORD_CHARS."""
     found = _LETTERS.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in found):
+    if cut and any(len(w) > WORD_CHARS for w in found):
         found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found
 
@@ -51,20 +55,31 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    fit = (p for p in pieces if len(p) <= PIECE_CHARS and (b := p.removeprefix(START)).lower() == b and (not b or _LETTERS.fullmatch(b)))
+    fit = (p for p in pieces if (b := p.removeprefix(START)).lower() == b and (not b or _LETTERS.fullmatch(b)))
     return {p: i for i, p in enumerate(fit, 1)}
 
 
+def steps(text: str, chars: int) -> Iterator[str]:
+    """The text in steps of about ``chars``, which end at a non-letter."""
+    at = 0
+    while at < len(text):
+        m = _OTHER.search(text, at + chars)
+        stop = m.start() if m else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def lattice(some: list[str], pieces: dict[str, int]) -> np.ndarray:
     """Piece numbers of words of one length: [word, end, piece length - 1], -1 where there is none."""
     n = len(some[0]) + 1
-    out = np.full((len(some), n, min(n, PIECE_CHARS)), -1, np.int32)
+    most = min(n, max(map(len, pieces)))
+    out = np.full((len(some), n, most), -1, np.int32)
     get = pieces.get
     for i, w in enumerate(some):
         s, row = START + w, out[i]
         for a in range(n):
             row[a, 0] = get(s[a], 0)
-            for k in range(2, min(PIECE_CHARS, n - a) + 1):
+            for k in range(2, min(most, n - a) + 1):
                 if (p := get(s[a : a + k])) is not None:
                     row[a + k - 1, k - 1] = p
     return out
@@ -81,6 +96,27 @@ def forward(arcs: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return a
 
 
+def log_forward(word: str, pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of a word of any length, by language.
+    The sums of the last prefixes, as many as the longest piece has letters, are kept."""
+    s, most, get = START + word, max(map(len, pieces)), pieces.get
+    last, log = np.zeros((most, prob.shape[1])), np.zeros(prob.shape[1])  # of prefix e at e % most
+    last[0] = 1
+    for end in range(1, len(s) + 1):
+        at, ids = [(end - 1) % most], [get(s[end - 1], 0)]
+        for k in range(2, min(end, most) + 1):
+            if (p := get(s[end - k : end])) is not None:
+                at.append((end - k) % most)
+                ids.append(p)
+        new = (last[at] * prob[ids]).sum(0)
+        last[end % most] = new
+        if end % 8 == 0:
+            scale = last.max(0)
+            last /= scale
+            log += np.log(scale)
+    return log + np.log(last[len(s) % most])
+
+
 def expected(arcs: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts [piece, language] of words that occur ``weight`` [word, language] times."""
     w, n, most = arcs.shape
@@ -111,15 +147,22 @@ class Model:
     def _learn(self, words_: set[str]) -> None:
         """Log-probabilities of the words, new ones computed together."""
         new = [w for w in words_ if w not in self.known]
-        if not self.known or len(self.known) + len(new) > REMEMBERED:
+        self.chars = sum(map(len, new)) + (self.chars if self.known else 0)
+        if not self.known or len(self.known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.known.clear()
             new = list(words_)
+            self.chars = sum(map(len, new))
             self.table = np.zeros((max(REMEMBERED, len(new)), len(self.langs)))
             self.prob = np.vstack([np.exp(self.log_prob.astype(float)), np.zeros(len(self.langs))])
         pieces, by_length = vocabulary(self.path), {}
         for w in new:
             by_length.setdefault(len(w), []).append(w)
-        for same in by_length.values():
+        for n, same in by_length.items():
+            if n > WORD_CHARS:
+                for w in same:
+                    self.table[len(self.known)] = log_forward(w, pieces, self.prob)
+                    self.known[w] = len(self.known)
+                continue
             for i in range(0, len(same), 4096):
                 some = same[i : i + 4096]
                 at = len(self.known)
@@ -131,11 +174,11 @@ class Model:
 
     def log_likelihoods(self, texts: list[str]) -> list[np.ndarray | None]:
         """Per text the log-probability by language; None for a text without
-        letters.  A text longer than BATCH_CHARS is taken in steps of that size."""
+        letters.  A text longer than BATCH_CHARS is taken in steps of about that size."""
         if len(texts) == 1 and len(texts[0]) > BATCH_CHARS:
             total = None
-            for at in range(0, len(texts[0]), BATCH_CHARS):
-                if some := words(texts[0][at : at + BATCH_CHARS]):
+            for step in steps(texts[0], BATCH_CHARS):
+                if some := words(step):
                     self._learn(set(some))
                     total = self._sum(some) if total is None else total + self._sum(some)
             return [total]
@@ -203,7 +246,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             langs, found = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                some = words(text.as_py() or "")
+                some = words(text.as_py() or "", cut=True)
                 langs += [lang] * len(some)
                 found += some
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], ["lang", "word"])

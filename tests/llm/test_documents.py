@@ -427,6 +427,26 @@ def test_language_forward_against_all_segmentations():
         assert sum(c * len(texts[p]) for p, c in enumerate(count[:7, 0])) == pytest.approx(len(w) + 1)
 
 
+def test_language_of_long_words_and_long_texts(monkeypatch):
+    import numpy as np
+
+    pieces = langid.vocabulary()
+    assert {"▁information", "▁government"} <= set(pieces)
+    model = langid.fit({"en": {"information": 9, "government": 3, "the": 9}, "de": {"haus": 3, "der": 9, "regierung": 2}})
+    prob = np.vstack([np.exp(model.log_prob.astype(float)), np.zeros(2)])
+    r = random.Random(6)
+    for n in (5, 16, 33, 45):
+        w = "".join(r.choice(["information", "the", "haus", "q"]) for _ in range(n))[:n]
+        want = np.log(langid.forward(langid.lattice([w], pieces), prob)[0, -1])
+        assert np.allclose(langid.log_forward(w, pieces, prob), want)
+        assert np.allclose(model.log_likelihoods([w])[0], want)
+    assert np.isfinite(model.log_likelihoods(["haus" * 3000])[0]).all()
+    text = "the information, der haus " * 30 + "government" * 9
+    whole = model.log_likelihoods([text])[0]
+    monkeypatch.setattr(langid, "BATCH_CHARS", 50)
+    assert np.allclose(model.log_likelihoods([text])[0], whole)
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = langid.op9_langid(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
