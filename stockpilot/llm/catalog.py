@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockpilot.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, quality, sharding, simhash, spelling, warc
+from stockpilot.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, phrases, quality, sharding, simhash, spelling, warc
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -20,7 +20,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_langid": langid.op9_langid,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op12_phrases": phrases.op12_phrases,
     "op13_spelling": spelling.op13_spelling,
 }
 
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
+ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op12_phrases": phrases.ORACLE}
