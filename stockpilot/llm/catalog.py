@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockpilot.llm import byte_bpe, exact_dedup, html_extract, langid, near_dedup, packing, phrases, quality, sharding, simhash, spelling, warc
+from stockpilot.llm import byte_bpe, exact_dedup, html_extract, langid, licenses, near_dedup, packing, phrases, quality, sharding, simhash, spelling, warc
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_langid": langid.op9_langid,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_license": licenses.op11_license,
     "op12_phrases": phrases.op12_phrases,
     "op13_spelling": spelling.op13_spelling,
 }
