@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     EqualTo,
     In,
     InputPartition,
@@ -224,27 +224,34 @@ def _value(headers: dict, column: str) -> str | None:
     return value.removeprefix("sha1:") if column == "payload_digest" and value else value
 
 
-class WarcWriter(DataSourceWriter):
-    """Rows: record_id, target_uri, refers_to (null: a response), payload."""
+class WarcWriter(DataSourceArrowWriter):
+    """Rows: record_id, target_uri, refers_to (null: a response), payload.
 
-    def __init__(self, options):
+    All files of a save begin with its own number, so that it removes what its
+    repeated tasks left, and nothing else; an overwriting save also removes the
+    archives that were there, when it commits."""
+
+    def __init__(self, options, overwrite: bool = False):
         self.path = options["path"]
         self.file_bytes = int(options.get("filebytes", FILE_BYTES))
+        self.overwrite = overwrite
+        self.job = uuid.uuid4().hex  # drawn once, on the driver
 
-    def write(self, rows):
+    def write(self, batches):
         where, root = _open(self.path)
         where.create_dir(root, recursive=True)
         names, out, size = [], None, 0
-        for row in rows:
-            data = self._record(row)
-            if out is not None and size + len(data) > self.file_bytes:
-                out.close()
-                out = None
-            if out is None:
-                names.append(f"{uuid.uuid4().hex}.warc.gz")  # a repeated task writes other files
-                out, size = where.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
-            out.write(data)
-            size += len(data)
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = self._record(row)
+                if out is not None and size + len(data) > self.file_bytes:
+                    out.close()
+                    out = None
+                if out is None:
+                    names.append(f"{self.job}-{uuid.uuid4().hex}.warc.gz")  # a repeated task writes other files
+                    out, size = where.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+                out.write(data)
+                size += len(data)
         if out is not None:
             out.close()
         return Written(names)
@@ -262,25 +269,25 @@ class WarcWriter(DataSourceWriter):
         headers.append(("Content-Type", "application/http; msgtype=response"))
         return record_bytes(headers, head.encode() + (b"" if revisit else payload))
 
-    def _settle(self, kept: set[str]):
+    def _settle(self, kept: set[str], own: bool):
         where, root = _open(self.path)
         for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if f.base_name.endswith(".warc.gz") and f.base_name not in kept:
-                where.delete_file(f.path)  # of tasks that were repeated
+            if f.base_name.endswith(".warc.gz") and f.base_name not in kept and (not own or f.base_name.startswith(f"{self.job}-")):
+                where.delete_file(f.path)
 
     def commit(self, messages):
         where, root = _open(self.path)
         where.create_dir(root, recursive=True)
-        self._settle({n for m in messages if m for n in m.names})
+        self._settle({n for m in messages if m for n in m.names}, own=not self.overwrite)
 
     def abort(self, messages):
-        self._settle(set())
+        self._settle(set(), own=True)
 
 
 class WarcSource(DataSource):
     """Format "warc".  Options: path; payload = keep (default), check (read and
     verified, not returned) or skip (not decoded); partitionbytes; filebytes.
-    A save writes a new folder."""
+    An appending save adds archives to the folder, an overwriting one replaces them."""
 
     @classmethod
     def name(cls):
@@ -293,7 +300,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def read_warc(spark, path: str, payload: str = "keep") -> DataFrame:

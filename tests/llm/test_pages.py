@@ -168,6 +168,32 @@ def _file(tmp_path, data):
     return path
 
 
+def test_warc_saves_keep_earlier_archives(spark, tmp_path):
+    ids = lambda: sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    rows = [(i, "u", f"<p>{i}</p>", "p", 0) for i in range(1, 9)]
+    write(spark, tmp_path, rows[:4])
+    write(spark, tmp_path, rows[4:])
+    assert ids() == [f"<urn:x-page:{i}>" for i in range(1, 9)]
+    df = spark.createDataFrame([("a", "u", None, b"one")], "record_id string, target_uri string, refers_to string, payload binary")
+    df.write.format("warc").mode("overwrite").save(str(tmp_path / "w"))
+    assert ids() == ["a"]
+
+
+def test_warc_abort_and_repeated_tasks_remove_own_files_only(tmp_path):
+    import pyarrow as pa
+
+    row = pa.RecordBatch.from_pylist([{"record_id": "a", "target_uri": None, "refers_to": None, "payload": b"x"}])
+    names = lambda: sorted(p.name for p in tmp_path.iterdir())
+    first, second = (warc.WarcWriter({"path": str(tmp_path)}) for _ in range(2))
+    kept = first.write([row])
+    first.write([row])  # the same task once more, its result is lost
+    first.commit([kept, None])
+    assert names() == sorted(kept.names)
+    second.write([row])
+    second.abort([None])
+    assert names() == sorted(kept.names)
+
+
 def test_warc_empty_table(spark, tmp_path):
     path = write(spark, tmp_path, [])
     assert warc.read_warc(spark, path).count() == 0
