@@ -152,9 +152,16 @@ def projection(
     bom: DataFrame,
     p: Params,
 ) -> DataFrame:
+    """Month by month stock per component over the grid's months.  Rows of other
+    months can't reach the result, so the sources are read between the grid's
+    first and last day only (literals: the bounds reach the scans)."""
     first = F.trunc(F.add_months(d(p.as_of), -p.projection_history_months), "MM")
+    after = F.add_months(F.trunc(d(p.projection_end), "MM"), 1)
     zero = F.lit(None).cast("bigint")
 
+    def in_grid(day):
+        return (F.col(day) >= first) & (F.col(day) < after)
+
     def flow(df, month, init=zero, so=zero, po=zero, fc=zero):
         return df.select(
             F.col("component_id"),
@@ -177,20 +184,18 @@ def projection(
     )
     init = flow(inventory_current, first, init=F.col("stock_qty"))
     so = flow(
-        sales_orders.filter(F.col("requested_delivery_date").isNotNull()),
+        sales_orders.filter(in_grid("requested_delivery_date")),
         F.trunc("requested_delivery_date", "MM"),
         so=F.col("component_required_qty"),
     )
     po = flow(
-        purchase_orders.filter(
-            F.col("status").isin(*PROJECTION_PO_STATUS) & F.col("expected_delivery_date").isNotNull()
-        ),
+        purchase_orders.filter(F.col("status").isin(*PROJECTION_PO_STATUS) & in_grid("expected_delivery_date")),
         F.trunc("expected_delivery_date", "MM"),
         po=F.col("outstanding_qty"),
     )
     # forecast is per product: pre-aggregate per (product, month), then
     # explode through the BOM
-    fc_prod = forecasts.groupBy("product_id", "forecast_month").agg(F.sum("forecast_qty").alias("fq"))
+    fc_prod = forecasts.filter(in_grid("forecast_month")).groupBy("product_id", "forecast_month").agg(F.sum("forecast_qty").alias("fq"))
     fc = fc_prod.join(bom.select("product_id", "component_id", "quantity_per_unit"), "product_id")
     fc = flow(fc, F.col("forecast_month"), fc=F.col("fq") * F.col("quantity_per_unit"))
 

@@ -1,6 +1,7 @@
 """Rules of the source adapter, folders and caches at scale."""
 
 import datetime as dt
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -63,7 +64,20 @@ def test_changed_files_are_read_after_invalidate(spark, tmp_path):
     spark.read.parquet(f"{SF001}/supplier.parquet").limit(3).write.mode("overwrite").parquet(f"{d}/supplier.parquet")
     invalidate(spark, d)
     after = load_all()["ship_routes"](domain_for(spark, d)).count()
-    assert before > 3 and after == 3
+    customers = spark.read.parquet(f"{d}/customer.parquet").count()
+    assert before > 3 + customers and after == 3 + customers  # inbound routes of the suppliers, outbound ones of the customers
+
+
+def test_projection_reads_the_months_of_its_grid_only(spark):
+    from stockpilot.plans.layers import from_layers, materialize
+    from stockpilot.session import scratch_path
+
+    root = scratch_path(spark, "months-test")
+    materialize(Domain.from_driver(spark, SF001), root)
+    plan = load_all()["mart_projection"](from_layers(spark, root))._jdf.queryExecution().optimizedPlan().toString()
+    for column in ("forecast_month", "requested_delivery_date", "expected_delivery_date"):
+        # literal bounds directly above the stored table
+        assert re.search(rf"Filter .*\({column}#\d+ >= 1998-03-01\).*\({column}#\d+ < 1999-03-01\).*\n[^\n]*Relation \[", plan), column
 
 
 def test_cleansed_tables_are_pruned_scans(spark):
