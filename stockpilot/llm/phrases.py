@@ -1,11 +1,11 @@
 """Phrase collocation mining with weighted acyclic automata.
 
-1. ``shards``: each task counts the n-grams of blocks of text (sorted word
+1. ``cuts``: the n-grams' order (language, words) is cut into prefix ranges of
+   about equal size.  The cuts come from a sample and only balance the work.
+2. ``shards``: each task counts the n-grams of blocks of text (sorted word
    numbers, no row per occurrence) and builds count transducers from the sorted
-   n-grams, written in pieces of bounded size.
-2. The n-grams' order (language, words) is cut into prefix ranges of about
-   equal size; the cuts come from the pieces' first n-grams and only balance
-   the work.  ``unions``: per range the pieces are united and weights summed;
+   n-grams, one per prefix range.
+   ``unions``: per range the shards' transducers are united and weights summed;
    n-grams below the least count can't be candidates or parts of one.
 3. ``scored``: a range's candidates ask for their parts' counts: the distinct
    parts, as an automaton cut by the same ranges, are composed with the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stockpilot.functions.topk import topk_per_group
 from stockpilot.llm.deploy import prepare_workers
-from stockpilot.llm.transducer import Transducer, Union, pieces, row_order, summed
+from stockpilot.llm.transducer import Transducer, Union, row_order, summed
 from stockpilot.session import scratch_path
 
 #: A candidate has two or three words and occurs at least so often.
@@ -40,13 +40,14 @@ WORDS, LEAST = 3, 10
 #: A candidate inside a longer one that has at least this share (percent) of its count goes.
 COVERED = 50
 TOP = 2000
-#: Words and bytes of distinct words that a task counts before it writes them, and n-grams of a piece.
-BLOCK_WORDS, BLOCK_BYTES, PIECE = 1 << 21, 24 << 20, 1 << 17
-#: n-grams of a prefix range, before equal ones are summed.  The cuts are sent to every task: MAX_RANGES of
-#: at most 3 * CUT_BYTES bytes; a corpus with more n-grams gets larger ranges.
-RANGE, MAX_RANGES, CUT_BYTES = 1 << 20, 1 << 17, 32
-#: First n-grams of pieces from which the cuts are taken, in expectation.
-CUT_SAMPLE = 50_000
+#: Words, and bytes of distinct words, that a task counts before it hands their n-grams on.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 20, 16 << 20
+#: Bytes of text whose n-grams make a prefix range.  The cuts are sent to every task: MAX_RANGES of at most
+#: 3 * CUT_BYTES bytes; a larger corpus gets larger ranges.
+RANGE_BYTES, MAX_RANGES, CUT_BYTES = 8 << 20, 1 << 17, 32
+#: Bytes of text, in expectation, from which the cuts are taken, for all ranges and for each; one in so many
+#: of their n-grams goes to the driver.
+SAMPLE_BYTES, SAMPLE_STEP = (4 << 20, 1 << 11), 64
 
 _MARK = b"."
 _TABLE = bytes(
@@ -81,9 +82,9 @@ def numbered(text: bytes, numbers: _Numbers) -> Iterator[np.ndarray]:
         at = end
 
 
-def _grams(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, rows, counts) of the n-grams of up to three words; 0 separates."""
-    some = (1 << 21) - 4  # starts at once: their words fit three to an integer
+def _grams(ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, counts) of the sorted n-grams of up to three words; 0 separates."""
+    some = BLOCK_WORDS  # starts at once, of a longer text; their words fit three to an integer
     for i in range(0, len(ranks), some):
         part = np.append(ranks[i : i + some + 2], [0, 0])
         starts = min(some, len(ranks) - i)
@@ -108,7 +109,7 @@ def _grams(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         order = np.argsort(key, kind="stable")
         key = key[order]
         rows = np.stack([key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF], axis=1)
-        yield n, rows if back is None else back[rows], counts[order]
+        yield rows if back is None else back[rows], counts[order]
 
 
 def _cut_key(lang: str, labels: list[bytes], row: np.ndarray) -> tuple:
@@ -143,53 +144,58 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Pieces of count transducers: lang, first (cut key of the first n-gram), grams, words, automaton."""
+def _rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    lang = F.coalesce(docs[_quoted(lang_col)].cast("string"), F.lit("und")).alias("lang")
+    return docs.select(lang, docs[_quoted(text_col)].cast("binary").alias("text"))
+
+
+def _counted(batches) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """(lang, labels, rows, counts) of the sorted n-grams of blocks of text."""
+
+    def flush(held):
+        for lang, (numbers, arrays) in held.items():
+            words = list(numbers)[1:]
+            order = sorted(range(len(words)), key=words.__getitem__)
+            rank = np.zeros(len(words) + 1, np.int64)
+            rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
+            labels = [words[i] for i in order]
+            for rows, counts in _grams(rank[np.concatenate(arrays)]):
+                yield lang, labels, rows, counts
+
+    held: dict[str, tuple[_Numbers, list]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            numbers, arrays = held.setdefault(lang, (_Numbers(), []))
+            for part in numbered(text.as_py() or b"", numbers):
+                arrays.append(part)
+                size += len(part)
+            arrays.append(np.zeros(1, np.int64))
+            if size >= BLOCK_WORDS or sum(x.bytes for x, _ in held.values()) >= BLOCK_BYTES:
+                yield from flush(held)
+                held, size = {}, 0
+    yield from flush(held)
+
+
+def cuts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[tuple]:
+    """The sorted cuts of the prefix ranges, from a bounded sample of n-grams."""
     prepare_workers(docs.sparkSession)
-    rows = docs.select(F.coalesce(docs[_quoted(lang_col)].cast("string"), F.lit("und")), docs[_quoted(text_col)].cast("binary"))
-    schema = pa.schema([("lang", pa.string()), ("first", pa.list_(pa.binary())), ("grams", pa.int64()), ("words", pa.int64()), ("automaton", pa.binary())])
-
-    def flush(lang, numbers, held):
-        words = list(numbers)[1:]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.zeros(len(words) + 1, np.int64)
-        rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
-        labels = [words[i] for i in order]
-        for n, found, counts in _grams(rank[np.concatenate(held)]):
-            for i, piece in enumerate(pieces(labels, found, counts, PIECE)):
-                first = _cut_key(lang, labels, found[i * PIECE])[1:]
-                size = min(PIECE, len(found) - i * PIECE)
-                yield _batch(schema, (lang, list(first), size, n if i == 0 else 0, piece.to_bytes()))
-
-    def run(batches):
-        held: dict[str, tuple[_Numbers, list]] = {}
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                numbers, arrays = held.setdefault(lang, (_Numbers(), []))
-                for part in numbered(text.as_py() or b"", numbers):
-                    arrays.append(part)
-                    size += len(part)
-                arrays.append(np.zeros(1, np.int64))
-                if size >= BLOCK_WORDS or sum(x.bytes for x, _ in held.values()) >= BLOCK_BYTES:
-                    for k, (x, a) in held.items():
-                        yield from flush(k, x, a)
-                    held, size = {}, 0
-        for k, (x, a) in held.items():
-            yield from flush(k, x, a)
-
-    return rows.mapInArrow(run, "lang string, first array<binary>, grams bigint, words bigint, automaton binary")
-
-
-def cuts(table: DataFrame) -> list[tuple]:
-    """The sorted cuts of the ranges, from a bounded number of the pieces' first n-grams."""
-    total, n = table.select(F.sum("grams"), F.count("*")).first()
-    ranges = min(MAX_RANGES, -(-(total or 0) // RANGE))
+    rows = _rows(docs, lang_col, text_col)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MAX_RANGES, -(-total // RANGE_BYTES))
     if ranges < 2:
         return []
-    share = min(1.0, CUT_SAMPLE / n)
-    some = table.filter(F.pmod(F.xxhash64("lang", "first", "grams"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    keys = sorted((r.lang, *map(bytes, r.first)) for r in some.select("lang", "first").collect())
+    share = min(1.0, max(SAMPLE_BYTES[0], SAMPLE_BYTES[1] * ranges) / total)
+    schema = pa.schema([("key", pa.list_(pa.binary()))])
+
+    def some(batches):
+        for lang, labels, found, _ in _counted(batches):
+            keys = [_cut_key(lang, labels, r) for r in found[SAMPLE_STEP // 2 :: SAMPLE_STEP]]
+            if keys:
+                yield _batch(schema, *(([k[0].encode(), *k[1:]],) for k in keys))
+
+    keys = rows.filter(F.rand(1) < share).mapInArrow(some, "key array<binary>").collect()
+    keys = sorted((bytes(k[0]).decode(), *map(bytes, k[1:])) for (k,) in keys)
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
 
@@ -209,28 +215,33 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("range").sortWithinPartitions("range", "lang", "kind", "peer")
 
 
-def unions(table: DataFrame, bounds: list[tuple], least: int = LEAST) -> DataFrame:
-    """One transducer per range and language with the n-grams of at least ``least`` occurrences."""
+def shards(docs: DataFrame, bounds: list[tuple], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Count transducers of blocks of text, one per prefix range."""
+    prepare_workers(docs.sparkSession)
+
+    def run(batches):
+        for lang, labels, rows, counts in _counted(batches):
+            for k, a, b in _cut(lang, labels, rows, bounds):
+                yield _batch(_LINK_ARROW, (k, lang, 0, 0, Transducer.build(labels, rows[a:b], counts[a:b]).to_bytes()))
+
+    return _rows(docs, lang_col, text_col).mapInArrow(run, _LINK)
+
 
-    def cut(batches):
-        for batch in batches:
-            for lang, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                automaton = Transducer.from_bytes(blob)
-                rows, counts, *_ = automaton.paths()
-                for k, a, b in _cut(lang, automaton.labels, rows, bounds):
-                    part = blob if b - a == len(rows) else Transducer.build(automaton.labels, rows[a:b], counts[a:b]).to_bytes()
-                    yield _batch(_LINK_ARROW, (k, lang, 0, 0, part))
+def unions(parts: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per range and language: ``body``, the transducer of the n-grams with at least ``least``
+    occurrences (null if none), and ``n``, the occurrences of all the range's single words."""
+    schema = _LINK_ARROW.append(pa.field("n", pa.int64()))
 
     def unite(batches):
         for (k, lang), rows in _groups(batches, 2):
             union = Union()
             for *_, blob in rows:
                 union.add(Transducer.from_bytes(blob))
-            labels, found, counts = union.result(least)
-            if len(found):
-                yield _batch(_LINK_ARROW, (k, lang, 0, 0, Transducer.build(labels, found, counts).to_bytes()))
+            labels, found, counts, n = union.result(least)
+            body = Transducer.build(labels, found, counts).to_bytes() if len(found) else None
+            yield _batch(schema, (k, lang, 0, 0, body, n))
 
-    return _dealt(table.select("lang", "automaton").mapInArrow(cut, _LINK)).mapInArrow(unite, _LINK)
+    return _dealt(parts).mapInArrow(unite, _LINK + ", n bigint")
 
 
 def _parts(rows: np.ndarray, counts: np.ndarray):
@@ -267,7 +278,7 @@ def _numbers_of(distinct: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out[len(distinct) :]
 
 
-def scored(table: DataFrame, bounds: list[tuple]) -> DataFrame:
+def scored(united: DataFrame, bounds: list[tuple]) -> DataFrame:
     """Every candidate of ``unions``: lang, phrase, a, l, r, score, longest (largest count of a longer
     candidate around it, 0 if none)."""
 
@@ -326,6 +337,7 @@ def scored(table: DataFrame, bounds: list[tuple]) -> DataFrame:
             if some:
                 yield _batch(out, *some)
 
+    table = united.drop("n").filter(F.col("body").isNotNull())
     questions = table.mapInArrow(ask, _LINK)
     answers = _dealt(table.unionByName(questions)).mapInArrow(answer, _LINK)
     columns = "lang string, phrase string, a bigint, l bigint, r bigint, score bigint, longest bigint"
@@ -341,11 +353,9 @@ def _stored(spark, table: DataFrame, name: str) -> DataFrame:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """All candidates of a corpus with their scores: the columns of ``scored`` and n, the language's words."""
     spark = docs.sparkSession
-    counted = _stored(spark, shards(docs, lang_col, text_col), "phrase-shards")
-    bounds = cuts(counted)
-    united = _stored(spark, unions(counted, bounds, least), "phrase-unions")
-    sizes = counted.groupBy("lang").agg(F.sum("words").alias("n"))
-    return scored(united, bounds).join(sizes, "lang")
+    bounds = cuts(docs, lang_col, text_col)
+    united = _stored(spark, unions(shards(docs, bounds, lang_col, text_col), least), "phrase-unions")
+    return scored(united, bounds).join(united.groupBy("lang").agg(F.sum("n").alias("n")), "lang")
 
 
 def best(found: DataFrame, k: int = TOP, covered: int = COVERED) -> DataFrame:

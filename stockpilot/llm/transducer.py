@@ -11,7 +11,6 @@ prefix sorts before what it begins.  An arc of weight 0 ends no n-gram.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +49,28 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def _register(arcs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state of each node (nodes with the same arcs are one state, a node without arcs is state 0),
+    and the states' arcs and numbers of arcs.  ``sizes``: the nodes' numbers of arcs, in order."""
+    ends = np.cumsum(sizes)
+    state = np.zeros(len(sizes), np.int64)
+    kept, lengths = [np.empty((0, 3), np.int64)], [np.zeros(1, np.int64)]
+    single = np.flatnonzero(sizes == 1) if arcs.size and arcs.max() < _PACKED else np.empty(0, np.int64)
+    if len(single):  # most nodes: all at once
+        some = arcs[ends[single] - 1]
+        _, first, number = np.unique(some[:, 0] << 42 | some[:, 1] << 21 | some[:, 2], return_index=True, return_inverse=True)
+        state[single] = number + 1
+        kept.append(some[first])
+        lengths.append(np.ones(len(first), np.int64))
+    many = np.flatnonzero(sizes > 1) if len(single) else np.flatnonzero(sizes > 0)
+    flat, register, base = arcs.tobytes(), {}, 1 + len(kept[-1])
+    spans = zip((24 * (ends - sizes)[many]).tolist(), (24 * ends[many]).tolist())
+    state[many] = [register.setdefault(flat[a:b], len(register)) + base for a, b in spans]
+    kept.append(np.frombuffer(b"".join(register), np.int64).reshape(-1, 3))
+    lengths.append(np.fromiter(map(len, register), np.int64, len(register)) // 24)
+    return state, np.concatenate(kept), np.concatenate(lengths)
+
+
 class Transducer:
     """labels: distinct words in byte order.  levels: for each depth the arcs of
     its states as (offsets of the states, labels, weights, target states)."""
@@ -82,15 +103,8 @@ class Transducer:
         for d in range(depth - 1, 0, -1):
             arcs = np.stack([rows[first[d], d], weight[d], target], axis=1)
             sizes = np.bincount(group[d - 1][first[d]], minlength=len(first[d - 1]))
-            ends = np.cumsum(sizes) * 24
-            flat, register, at = arcs.tobytes(), {b"": 0}, 0
-            target = np.empty(len(sizes), np.int64)
-            for i, end in enumerate(ends.tolist()):
-                target[i] = register.setdefault(flat[at:end], len(register))
-                at = end
-            kept = np.frombuffer(b"".join(register), np.int64).reshape(-1, 3)
-            offsets = np.append(0, np.cumsum([len(k) // 24 for k in register]))
-            levels.append((offsets, *kept.T))
+            target, kept, lengths = _register(arcs, sizes)
+            levels.append((np.append(0, np.cumsum(lengths)), *kept.T))
         levels.append((np.array([0, len(first[0])]), rows[first[0], 0], weight[0], target))
         return cls([labels[i - 1] for i in used], levels[::-1])
 
@@ -169,7 +183,7 @@ class Transducer:
 class Union:
     """Sums the n-grams of automata; equal n-grams are added up as soon as enough rows wait."""
 
-    def __init__(self, waiting: int = 1 << 22):
+    def __init__(self, waiting: int = 1 << 20):
         self.place: dict[bytes, int] = {}
         self.rows: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -186,20 +200,17 @@ class Union:
             rows, counts = summed(np.concatenate(self.rows), np.concatenate(self.counts))
             self.rows, self.counts, self.size, self.least = [rows], [counts], len(rows), len(rows)
 
-    def result(self, least: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Labels, sorted rows and counts of the n-grams that count at least ``least``."""
+    def result(self, least: int) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+        """Labels, sorted rows and counts of the n-grams that count at least ``least``, and the sum
+        of the counts of all single words."""
         rows, counts = summed(np.concatenate(self.rows), np.concatenate(self.counts))
+        single = int(counts[rows[:, 1] == 0].sum())
         rows, counts = rows[counts >= least], counts[counts >= least]
         words = list(self.place)
-        order = sorted(range(len(words)), key=words.__getitem__)
+        used = [i for i in np.unique(rows).tolist() if i]
+        used.sort(key=lambda i: words[i - 1])
         rank = np.zeros(len(words) + 1, np.int64)
-        rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
+        rank[used] = np.arange(1, len(used) + 1)
         rows = rank[rows]
         back = row_order(rows)[0]
-        return [words[i] for i in order], rows[back], counts[back]
-
-
-def pieces(labels: list[bytes], rows: np.ndarray, counts: np.ndarray, size: int) -> Iterator[Transducer]:
-    """Automata of at most ``size`` consecutive n-grams each."""
-    for i in range(0, len(rows), size):
-        yield Transducer.build(labels, rows[i : i + size], counts[i : i + size])
+        return [words[i - 1] for i in used], rows[back], counts[back], single
