@@ -80,10 +80,11 @@ def clean_demand(raw: DataFrame, p: Params, obs: dict | None = None) -> DataFram
     )
 
 
-def clean_all(raw, p: Params, observations: dict | None = None):
+def clean_all(raw, p: Params, observations: dict | None = None, tables=None):
     """Cleansed tables, each built on first access.  With ``observations``
     (a dict), the rule counters of each table are attached as Observations
-    and stored there by table name."""
+    and stored there by table name.  ``tables`` makes the mapping from the
+    builders (default: built lazily and remembered)."""
     from stockpilot.sources.driver import LazyTables
 
     out: LazyTables
@@ -100,5 +101,5 @@ def clean_all(raw, p: Params, observations: dict | None = None):
     builders["sales_orders"] = lambda: clean_sales_orders(raw["sales_orders"], p, obs)
     builders["purchase_orders"] = lambda: clean_purchase_orders(raw["purchase_orders"], p, obs)
     builders["demand_plan_components"] = lambda: clean_demand(raw["demand_plan_components"], p, obs)
-    out = LazyTables(builders)
+    out = (tables or LazyTables)(builders)
     return out

@@ -1,5 +1,5 @@
-"""Scheduled refresh: write the raw and cleansed layers once, then every
-decision table as Parquet with its table and column comments.
+"""Scheduled refresh: every raw, cleansed and decision table as Parquet with
+its table and column comments, each computed once and all published together.
 
     python -m stockpilot.plans.refresh --sf /root/testdata/sf0.1 --out <shared folder> [name ...]
 
@@ -13,9 +13,10 @@ import argparse
 from pyspark.sql import SparkSession
 
 from stockpilot.params import DEFAULT, Params
-from stockpilot.plans.layers import from_layers, layer_root, materialize
-from stockpilot.plans.registry import domain_for, load_all
-from stockpilot.sources.files import write_table
+from stockpilot.plans.context import Domain
+from stockpilot.plans.graph import MartStore, refresh
+from stockpilot.plans.layers import layer_root
+from stockpilot.plans.registry import load_all
 
 # Table comments of the main decision tables.
 TABLE_COMMENTS: dict[str, str] = {
@@ -44,30 +45,23 @@ COLUMN_COMMENTS: dict[str, dict[str, str]] = {
 }
 
 
+def comments_of(name: str) -> dict:
+    """Table and column comments to write with a table."""
+    return {"comment": TABLE_COMMENTS.get(name), "column_comments": COLUMN_COMMENTS.get(name)}
+
+
 def refresh_all(
     spark: SparkSession, sf_dir: str, out_root: str | None = None, names: list[str] | None = None,
     params: Params = DEFAULT,
 ) -> dict[str, str]:
-    """Materialise the layers under ``out_root`` and write each table;
-    returns name -> path."""
-    root = out_root or layer_root(spark)
-    materialize(domain_for(spark, sf_dir, params), root)
-    dom = from_layers(spark, root, params)
-    dom.sf_dir = sf_dir
+    """Store every table below ``out_root`` and publish them (``graph.refresh``):
+    each is computed once, and tables whose sources have not changed since the
+    published run are kept; returns name -> path."""
+    store = MartStore(spark, out_root or layer_root(spark), params)
     queries = load_all()
-    frames = {name: queries[name](dom) for name in names or sorted(queries)}  # plans, built here
-
-    def write(item):
-        name, df = item
-        path = f"{root}/tables/{name}"
-        write_table(df, path, comment=TABLE_COMMENTS.get(name), column_comments=COLUMN_COMMENTS.get(name))
-        return name, path
-
-    from concurrent.futures import ThreadPoolExecutor
-
-    # independent tables: their write jobs run concurrently
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        return dict(pool.map(write, frames.items()))
+    wanted = {name: queries[name] for name in names or sorted(queries)}
+    run = refresh(Domain.from_driver(spark, sf_dir, params), store, wanted, comments_of)
+    return {name: node.path for name, node in run.nodes().items() if name in wanted}
 
 
 def main() -> None:

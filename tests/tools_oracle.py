@@ -34,4 +34,11 @@ def compare_one(spark, con, sf_dir, name):
     return "OK", len(srows)
 
 
-__all__ = ["compare_one", "duck"]
+def same_rows(a, b) -> bool:
+    """Whether two DataFrames have the same columns, types and rows."""
+    kinds = lambda df: {f.name: f.dataType for f in df.schema.fields}
+    rows = lambda df: rows_of(df.columns, [tuple(r) for r in df.collect()])
+    return kinds(a) == kinds(b) and rows(a) == rows(b)
+
+
+__all__ = ["compare_one", "duck", "same_rows"]
