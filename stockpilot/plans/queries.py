@@ -378,6 +378,7 @@ for _name in semantic.QLIB:
 
 
 from stockpilot.streaming.ingest import ingest_events  # noqa: E402
+from stockpilot.streaming.upsert import latest_events  # noqa: E402
 
 
 @query("stream_ingest")
@@ -385,6 +386,11 @@ def _stream_ingest(dom):
     return ingest_events(dom.spark, dom.sf_dir)
 
 
+@query("stream_latest_events")
+def _stream_latest_events(dom):
+    return latest_events(dom.spark, dom.sf_dir)
+
+
 @query("flt_global")
 def _flt_global(dom):
     return analytics.filter_lists(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from stockpilot.operators.quality import Rule, keep, typed
+from stockpilot.streaming.upsert import EVENT_RULES, is_single_file
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -68,28 +69,14 @@ def stream_ingest(
     return sink
 
 
-# Drop rules for the event stream.
-EVENT_RULES = [
-    Rule("events", "event_id_not_null", "event_id IS NOT NULL", "drop"),
-    Rule("events", "ts_not_null", "ts IS NOT NULL", "drop"),
-]
-
-
-def _is_dir(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
-
-
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the driver's event file through the rules into a sink and
     return the ingested rows (batch read of the sink)."""
     folder = sf_dir.rstrip("/")
     path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    if _is_dir(spark, path):  # a folder of part files: stream the folder
-        sink = stream_ingest(spark, path, schema, EVENT_RULES)
-    else:  # a single file: stream its folder, filtered to that file name
-        sink = stream_ingest(spark, folder, schema, EVENT_RULES, glob="events.parquet")
+    events = spark.read.parquet(path)
+    if is_single_file(events, "events.parquet"):  # stream its folder, filtered to that file name
+        sink = stream_ingest(spark, folder, events.schema, EVENT_RULES, glob="events.parquet")
+    else:  # a folder of part files: stream the folder
+        sink = stream_ingest(spark, path, events.schema, EVENT_RULES)
     return spark.read.parquet(sink).drop("_batch_id")
