@@ -123,7 +123,7 @@ def find_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS) ->
     most ``radius`` different bits, with ``bits``.  Both inputs are reduced to
     distinct prints first, so copies meet once; every pair is found once, in
     the first table where its blocks meet."""
-    q = block_tables(queries.select("f0", "f1").distinct(), radius, probe=True)
+    q = block_tables(queries.select("f0", "f1").distinct(), radius, probe=True).hint("merge")
     c = block_tables(corpus.select("f0", "f1").distinct(), radius)
     c = c.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), "t", "key")
     pairs = q.join(c, ["t", "key"]).withColumn("bits", distance("f0", "f1", "g0", "g1")).filter(F.col("bits") <= radius)
@@ -142,7 +142,8 @@ def count_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, ch
     part = F.pmod(F.xxhash64("f0", "f1"), F.coalesce("parts", F.lit(1)))
     c = c.join(full, ["t", "key"], "left").withColumn("part", part)
     c = c.groupBy("t", "key", "part").agg(F.collect_list(F.struct(F.col("f0").alias("g0"), F.col("f1").alias("g1"), "n")).alias("members"))
-    q = block_tables(queries.select("f0", "f1").distinct(), radius, probe=True)
+    # the planner's estimate of the keys leaves out the explosion: they must never be broadcast
+    q = block_tables(queries.select("f0", "f1").distinct(), radius, probe=True).hint("merge")
 
     def add(total, m):
         g = m["g0"], m["g1"]
@@ -224,7 +225,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prints = edited_fingerprints(docs).checkpoint()
     asked = F.col("doc_id") % 20 == 0
-    near = count_within(prints.filter(asked), prints)
+    near = count_within(prints.filter(asked), prints).checkpoint()  # stored, so that the join may split hot fingerprints
     out = prints.join(near, ["f0", "f1"], "left")
     return out.select(
         "doc_id",

@@ -3,6 +3,7 @@ very long texts, ties, repeated rows, an empty table and clashing column names."
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -300,6 +301,30 @@ def test_simhash(docs, empty):
     assert simhash.edited_fingerprints(empty).count() == 0
 
 
+def test_op8_query_against_all_documents(spark, tmp_path):
+    """near_next and within_radius by comparing fingerprints in Python, copies, empty and null texts included."""
+    texts = [prose(i // 3, 60) + f" {'x ' * (i % 3)}" for i in range(58)] + ["", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in simhash.op8_simhash(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    print_of = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    bits = lambda a, b: (print_of[a] ^ print_of[b]).bit_count()
+    for i, r in got.items():
+        after = i - 1 if i else len(rows) - 1
+        assert r.near_next == pytest.approx(max(0, math.cos(bits(i, after) * math.pi / 128)))
+        want = sum(bits(i, j) <= simhash.RADIUS for j in print_of) - 1 if i % 20 == 0 else None
+        assert r.within_radius == want
+    assert got[0].within_radius >= 2
+
+
+def test_no_key_table_is_broadcast(spark):
+    df = spark.createDataFrame([(i, i) for i in range(100)], "f0 long, f1 long")
+    for found in (simhash.count_within(df, df), simhash.find_within(df, df)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
+
+
 def test_simhash_votes(spark):
     """The fingerprint is the sign of the weighted sum of the terms' hash bits."""
     t = prose(8, 50)
