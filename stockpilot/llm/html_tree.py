@@ -202,6 +202,8 @@ def parse(page: str) -> Tree:
                 in_link = 0 if closing else 1
             continue
         if tag in BARE and (not closing or tag == "head"):
+            if tag == "body" and attrs.get("data-label") in ("0", "1"):
+                t.label[0] = int(attrs["data-label"])
             flush()
             in_link = 0
             continue
@@ -233,17 +235,22 @@ def parse(page: str) -> Tree:
     return t
 
 
-# Words of class, id and role names, by what they usually mark.
+# Words of class, id and role names in English, German, French and Spanish, without accents, by what
+# they usually mark.
 HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs skip",
-    "advert": "ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion promoted",
-    "side": "sidebar side aside widget related recommended more share sharing social follow tags popular trending",
-    "comment": "comment comments commentlist disqus reply replies respond discussion",
-    "foot": "footer foot bottom copyright legal colophon credits",
-    "head": "header masthead top topbar logo brand branding hero",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs skip navegacion fil ariane migas",
+    "advert": "ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion promoted werbung anzeige "
+    "anzeigen publicite pub publicidad anuncio anuncios",
+    "side": "sidebar side aside widget related recommended more share sharing social follow tags popular trending "
+    "seitenleiste teilen lateral laterale partager compartir relacionados",
+    "comment": "comment comments commentlist disqus reply replies respond discussion kommentar kommentare antworten "
+    "commentaire commentaires reponses comentario comentarios respuestas leserbriefe",
+    "foot": "footer foot bottom copyright legal colophon credits fusszeile impressum pied mentions pie",
+    "head": "header masthead top topbar logo brand branding hero kopf kopfzeile entete cabecera",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "search form paywall toast dialog",
-    "content": "article content post entry story text main body prose page paragraph",
+    "search form paywall toast dialog hinweis anmeldung suche avis connexion recherche aviso suscripcion buscar",
+    "content": "article content post entry story text main body prose page paragraph artikel inhalt beitrag contenu "
+    "corps contenido articulo noticia cuerpo",
 }
 _HINT_OF = {w: kind for kind, words in HINTS.items() for w in words.split()}
 

@@ -211,8 +211,9 @@ _LINK = "range int, lang string, kind int, peer int, body binary"
 _LINK_ARROW = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("peer", pa.int32()), ("body", pa.binary())])
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("range").sortWithinPartitions("range", "lang", "kind", "peer")
+def _dealt(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
+    # twice as many tasks as ranges: few ranges share a task
+    return rows.repartition(2 * len(bounds) + 2, "range").sortWithinPartitions("range", "lang", "kind", "peer")
 
 
 def shards(docs: DataFrame, bounds: list[tuple], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -227,7 +228,7 @@ def shards(docs: DataFrame, bounds: list[tuple], lang_col: str = "lang", text_co
     return _rows(docs, lang_col, text_col).mapInArrow(run, _LINK)
 
 
-def unions(parts: DataFrame, least: int = LEAST) -> DataFrame:
+def unions(parts: DataFrame, bounds: list[tuple], least: int = LEAST) -> DataFrame:
     """One row per range and language: ``body``, the transducer of the n-grams with at least ``least``
     occurrences (null if none), and ``n``, the occurrences of all the range's single words."""
     schema = _LINK_ARROW.append(pa.field("n", pa.int64()))
@@ -241,7 +242,7 @@ def unions(parts: DataFrame, least: int = LEAST) -> DataFrame:
             body = Transducer.build(labels, found, counts).to_bytes() if len(found) else None
             yield _batch(schema, (k, lang, 0, 0, body, n))
 
-    return _dealt(parts).mapInArrow(unite, _LINK + ", n bigint")
+    return _dealt(parts, bounds).mapInArrow(unite, _LINK + ", n bigint")
 
 
 def _parts(rows: np.ndarray, counts: np.ndarray):
@@ -339,9 +340,9 @@ def scored(united: DataFrame, bounds: list[tuple]) -> DataFrame:
 
     table = united.drop("n").filter(F.col("body").isNotNull())
     questions = table.mapInArrow(ask, _LINK)
-    answers = _dealt(table.unionByName(questions)).mapInArrow(answer, _LINK)
+    answers = _dealt(table.unionByName(questions), bounds).mapInArrow(answer, _LINK)
     columns = "lang string, phrase string, a bigint, l bigint, r bigint, score bigint, longest bigint"
-    return _dealt(table.unionByName(answers)).mapInArrow(score, columns)
+    return _dealt(table.unionByName(answers), bounds).mapInArrow(score, columns)
 
 
 def _stored(spark, table: DataFrame, name: str) -> DataFrame:
@@ -354,7 +355,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """All candidates of a corpus with their scores: the columns of ``scored`` and n, the language's words."""
     spark = docs.sparkSession
     bounds = cuts(docs, lang_col, text_col)
-    united = _stored(spark, unions(shards(docs, bounds, lang_col, text_col), least), "phrase-unions")
+    united = _stored(spark, unions(shards(docs, bounds, lang_col, text_col), bounds, least), "phrase-unions")
     return scored(united, bounds).join(united.groupBy("lang").agg(F.sum("n").alias("n")), "lang")
 
 
@@ -362,7 +363,7 @@ def best(found: DataFrame, k: int = TOP, covered: int = COVERED) -> DataFrame:
     """The k best candidates of each language that no longer one covers."""
     free = found.filter((F.col("longest") == 0) | (100 * F.col("longest").cast("decimal(38,0)") < covered * F.col("a").cast("decimal(38,0)")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    ranked = topk_per_group(free.drop("longest"), ["lang"], order, k, ["phrase"], salts=32)
+    ranked = topk_per_group(free.drop("longest"), ["lang"], order, k, ["phrase"], salts=8)  # the last round ranks 8 * k rows a language at most
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -15,16 +15,18 @@ ODD = [None, "", "   ", "just text & more", "<p>one<p>two", "<div", "<!-- open",
 
 
 def test_marginals_against_all_labellings():
-    t = html_tree.parse("<div><p>a</p><nav><ul><li>b</li></ul></nav></div><p>c</p>")
+    t = html_tree.parse("<div><p>a</p><nav><ul><li>b</li></ul></nav></div><p>c</p><article><aside>d</aside></article>")
+    kinds = html_extract.edge_kinds(t)
+    assert sorted(set(kinds)) == [0, 1, 2]
     r = random.Random(1)
     n = len(t.tag)
     u = [r.uniform(-2, 2) for _ in range(n)]
-    tables = [[[math.exp(r.uniform(-1, 1)) for _ in range(2)] for _ in range(2)] for _ in range(2)]
+    tables = [[[math.exp(r.uniform(-1, 1)) for _ in range(2)] for _ in range(2)] for _ in range(3)]
     z, m = 0.0, [0.0] * n
     for y in itertools.product((0, 1), repeat=n):
         p = math.exp(sum(a * b for a, b in zip(u, y)))
         for v in range(1, n):
-            p *= tables[html_extract.edge_kind(t, v)][y[t.parent[v]]][y[v]]
+            p *= tables[kinds[v]][y[t.parent[v]]][y[v]]
         z += p
         for v in range(n):
             m[v] += p * y[v]
@@ -58,6 +60,56 @@ def test_main_text(page, text):
     assert html_extract.default_model().text(page) == text
 
 
+P = (
+    "The harbour plan was agreed by the council on Monday after a long debate, and work on the new quay will begin in spring. "
+    "Residents had asked for more time, but the mayor said the funds would be lost. Ships will use the old basin until then."
+)
+Q = "A second paragraph, shorter than the first, says what comes next for the town."
+BLOG = (
+    "<!doctype html><html><head><title>t</title></head><body><header class=site-header><a href=/>Paper</a><nav><ul><li><a href=/1>A</a>"
+    "</li></ul></nav></header><main><article class=post><header class=entry-header><h1>Harbour</h1><p class=meta>By A. Writer</p></header>"
+    f"<div class=entry-content><p>{P}</p><h2>What next</h2><p>{Q}</p><blockquote>We are pleased with it, said the mayor.</blockquote></div>"
+    "<footer class=entry-footer>Tagged: <a href=/t>harbour</a></footer></article><section class=comments><h3>2 replies</h3><div>Nice, at "
+    "last.</div><div>I disagree with all this.</div></section></main><aside class=sidebar><h3>Popular</h3><ul><li><a href=/5>x</a></li></ul>"
+    "</aside><footer>Copyright Paper</footer></body></html>"
+)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><header><h1>Harbour plan agreed</h1></header><p>{P}</p><p>End.</p></article>", f"Harbour plan agreed {P} End."),
+        (f"<article><h1>Harbour</h1><p>{P}</p><aside><p>Related: ferries</p></aside><p>{Q}</p></article>", f"Harbour {P} {Q}"),
+        (f"<article><header><h1>Plan</h1></header><p>{P}</p><aside>Read more about quays.</aside><p>{Q}</p></article>", f"Plan {P} {Q}"),
+        (f"<article><h1>H</h1><figure><img src=a><figcaption>The old quay.</figcaption></figure><p>{P}</p></article>", f"H The old quay. {P}"),
+        (f"<article><p>{P}</p><form><label>Mail</label><input><button>Go</button></form><p>{Q}</p></article>", f"{P} {Q}"),
+        (f"<html><body>{P}<p>{Q}</p></body></html>", f"{P} {Q}"),
+        (f"<body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav><h1>Harbour</h1><p>{P}</p><p>{Q}</p><footer>&copy; 2020 Town paper</footer>", f"Harbour {P} {Q}"),
+        (f"<div class=inhalt><h1>Hafen</h1><p>{P}</p></div><div class=kommentare><h3>Kommentare</h3><p>Sehr gut, endlich passiert etwas.</p></div>", f"Hafen {P}"),
+        (f"<div class=tb><a href=/>Town</a> <a href=/x>News</a></div><div class=zq17><div class=k3><h1>Harbour</h1><p>{P}</p><p>{Q}</p></div></div><div class=b4><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div>", f"Harbour {P} {Q}"),
+        (BLOG, f"Harbour By A. Writer {P} What next {Q} We are pleased with it, said the mayor."),
+    ],
+)
+def test_pages_that_the_generator_did_not_make(page, text):
+    assert html_extract.default_model().text(page) == text
+
+
+def test_stored_model_is_of_this_code():
+    model = html_extract.default_model()
+    assert len(model.weights) == len(html_extract.NAMES) and len(model.edges) == 4 * html_extract.TABLES
+    start = html_extract.fit([html_extract.LabelledPages(3).page() for _ in range(20)], steps=20)
+    t = html_tree.parse(f"<article><p>{P}</p></article><nav><a href=/>Home</a></nav>")
+    assert start.marginals(t)[1] > start.marginals(t)[-1]
+
+
+def test_op2_query_returns_whole_texts(spark, tmp_path):
+    rows = [(1, "u", f"<article><p>{P}</p></article>"), (1, "u", f"<article><p>{P}</p></article>"), (2, None, None), (None, "v", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = html_extract.op2_html_text(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "u", P, len(P))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=repr)
+
+
 def test_broken_pages():
     model = html_extract.default_model()
     r = random.Random(4)
