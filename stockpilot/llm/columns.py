@@ -15,6 +15,17 @@ BATCH_CHARS = 1 << 20
 KINDS = {pa.float64(): T.DoubleType(), pa.int64(): T.LongType(), pa.string(): T.StringType()}
 
 
+def quoted(name: str) -> str:
+    """A column's name for expressions: names may hold dots and back quotes."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def positional(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ... by position, so that no name clashes with one that an
+    operator adds, and the new names of the ``wanted`` columns.  ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(w)}" for w in wanted]
+
+
 def in_steps(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     """The texts in lists of bounded size; a longer text is a list of its own."""
     some: list[str] = []
@@ -34,10 +45,12 @@ def computed(
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` and the new ``fields``.  ``make()`` gives,
     inside the worker, a function from a list of texts (null: empty) to one
-    sequence per field."""
+    sequence per field.  Columns of ``docs`` that are not in ``keep`` may have
+    any name, those in ``keep`` any but the new ones."""
     prepare_workers(docs.sparkSession)
-    rows = docs.select(*keep, docs[text_col].alias("__text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, KINDS[t]) for n, t in fields.items())])
+    kept = docs.select(*map(quoted, keep))
+    rows = docs.select(*map(quoted, keep), docs[quoted(text_col)].alias("__text"))
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, KINDS[t]) for n, t in fields.items())])
 
     def run(batches):
         of = make()

@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockpilot.llm.columns import positional
 from stockpilot.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 4096
@@ -121,12 +122,12 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, each once, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256").distinct()
-    kept = kept.toDF("__id", "__sha")
-    tagged = docs.withColumn("__tag", F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__sha"))
-    return tagged.join(kept, same).dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """The input rows that stay, each once, with all their columns, whatever their names."""
+    rows, (i, text) = positional(docs, id_col, text_col)
+    kept = exact_dedup(rows, i, text).filter("kept").select("doc_id", "text_sha256").distinct().toDF("id", "sha")
+    tagged = rows.withColumn("tag", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
+    stay = tagged.join(kept, F.col(i).eqNullSafe(F.col("id")) & (F.col("tag") == F.col("sha"))).dropDuplicates(["id", "sha"])
+    return stay.select(*rows.columns).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +35,22 @@ REMEMBERED = 400_000
 #: Letters of the remembered words.
 REMEMBERED_CHARS = 8_000_000
 UNKNOWN = "und"
+#: Letters from which on a text's fit is judged; the floor is FIT_MARGIN (nats a letter) below the lowest
+#: FIT_SHARE of the learnt texts.
+FIT_LETTERS, FIT_SHARE, FIT_MARGIN = 60, 0.01, 0.5
 START = "▁"  # the vocabulary's mark of a word's start
-_LETTERS, _OTHER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
+
+
+def _not_letters() -> str:
+    r"""Ranges of the characters of \w that are neither letters nor decimal digits (fractions, circled numbers)."""
+    odd = [c for c in range(sys.maxunicode + 1) if (s := chr(c)).isalnum() and not s.isalpha() and not s.isdecimal()]
+    first = [c for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1]
+    last = [c for i, c in enumerate(odd) if i + 1 == len(odd) or odd[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+
+
+_ODD = _not_letters()
+_LETTERS, _OTHER = re.compile(rf"[^\W\d_{_ODD}]+"), re.compile(rf"[\W\d_{_ODD}]")
 
 
 def words(text: str, cut: bool = False) -> list[str]:
@@ -139,10 +154,12 @@ class Model:
     langs: list[str]
     log_prob: np.ndarray  # float32 [piece, language]
     path: str | None = None
+    #: By language: texts of the language have at least this log-probability a letter.
+    floor: dict[str, float] = field(default_factory=dict)
     known: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"langs": self.langs, "log_prob": self.log_prob, "path": self.path, "known": {}}
+        return {"langs": self.langs, "log_prob": self.log_prob, "path": self.path, "floor": self.floor, "known": {}}
 
     def _learn(self, words_: set[str]) -> None:
         """Log-probabilities of the words, new ones computed together."""
@@ -186,10 +203,25 @@ class Model:
         self._learn(set().union(*found))
         return [self._sum(some) if some else None for some in found]
 
+    def fits(self, texts: list[str]) -> tuple[list[str], list[float], list[float | None]]:
+        """``predict`` and, for texts of at least FIT_LETTERS letters, the log-probability
+        a letter in the predicted language, less the language's floor: below 0 the text is
+        like none of the texts that the language was learnt from."""
+        found = self.log_likelihoods(texts) if self.langs else [None] * len(texts)
+        langs, scores = self._chosen(found)
+        fits: list[float | None] = []
+        for text, lang, x in zip(texts, langs, found):
+            n = sum(map(len, _LETTERS.findall(text)))
+            fits.append(float(x[self.langs.index(lang)]) / n - self.floor.get(lang, -np.inf) if x is not None and n >= FIT_LETTERS else None)
+        return langs, scores, fits
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its posterior probability under equal priors."""
+        return self._chosen(self.log_likelihoods(texts) if self.langs else [None] * len(texts))
+
+    def _chosen(self, found: list[np.ndarray | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for x in self.log_likelihoods(texts) if self.langs else [None] * len(texts):
+        for x in found:
             if x is None:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
@@ -229,7 +261,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about SAMPLE_PER_LANG documents of each language, of at most
-    SAMPLE_CHARS code points, drawn by a hash of the id from the rows with a
+    SAMPLE_CHARS code points, drawn by a hash of id and text from the rows with a
     language whose crc32(doc_id) mod 4 is not 2.  Only their word counts per
     language reach the driver."""
     prepare_workers(docs.sparkSession)
@@ -238,7 +270,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = {r[0]: min(1.0, SAMPLE_PER_LANG / r[1]) for r in rows.groupBy("lang").count().collect()}
     if not share:
         return fit({})
-    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
+    # by the text too: rows that share an id are drawn each on its own
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
     picked = functools.reduce(lambda a, b: a | b, ((F.col("lang") == g) & (draw < p) for g, p in share.items()))
     rows = rows.filter(picked & (F.length("text") <= SAMPLE_CHARS))
 
@@ -255,18 +288,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     by_lang: dict[str, dict[str, int]] = {g: {} for g in share}
     for lang, word, n in counts.toLocalIterator():
         by_lang[lang][word] = n
-    return fit({g: c for g, c in by_lang.items() if c})
+    model = fit({g: c for g, c in by_lang.items() if c})
+
+    def judge(batches):
+        for batch in batches:
+            langs, found = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                got, _, (x,) = model.fits([text])
+                if x is not None and got == [lang]:
+                    langs.append(lang)
+                    found.append(x if np.isfinite(x) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.float64())], ["lang", "x"])
+
+    model.floor = dict.fromkeys(model.langs, 0.0)
+    low = rows.select("lang", "text").mapInArrow(judge, "lang string, x double").groupBy("lang")
+    model.floor = {r[0]: r[1] - FIT_MARGIN for r in low.agg(F.percentile_approx("x", FIT_SHARE, 10_000)).collect() if r[1] is not None}
+    return model
 
 
-def with_language(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+def with_language(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", fit: bool = False) -> DataFrame:
     """``keep``, ``__lang`` and ``__score`` per input row, repeated rows alike; a
     text that is null or has no letter is UNKNOWN with score 0; an empty table
-    gives no rows."""
+    gives no rows.  With ``fit`` also ``__fit`` (``Model.fits``)."""
 
     def make():
-        return lambda texts: model.predict(texts)
+        return lambda texts: (model.fits if fit else model.predict)(texts)
 
-    return computed(docs, text_col, make, {"__lang": pa.string(), "__score": pa.float64()}, keep)
+    fields = {"__lang": pa.string(), "__score": pa.float64()} | ({"__fit": pa.float64()} if fit else {})
+    return computed(docs, text_col, make, fields, keep)
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockpilot.llm.columns import computed
+from stockpilot.llm.columns import computed, positional
 from stockpilot.llm.deploy import prepare_workers
 from stockpilot.llm.shingles import bands, shingle_set, super_minhash
 from stockpilot.session import ensure_checkpoint_dir
@@ -278,20 +278,21 @@ def _across(large, entries, links, texts, k, percent, task_members) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows of which each group keeps one, with all their columns.
-    Texts with different sets that share a kept doc_id all stay."""
-    kept = near_components(docs, k, percent, id_col, text_col).filter("kept and doc_id is not null")
-    kept = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).checkpoint()
-    named = docs.join(kept, F.col(id_col) == F.col("__id"))
-    if not kept.filter("__n > 1").isEmpty():
+    """The input rows of which each group keeps one, with all their columns,
+    whatever their names.  Texts with different sets that share a kept doc_id all stay."""
+    rows, (i, text) = positional(docs, id_col, text_col)
+    kept = near_components(rows, k, percent, i, text).filter("kept and doc_id is not null")
+    kept = kept.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("texts")).checkpoint()
+    named = rows.join(kept, F.col(i) == F.col("id"))
+    if not kept.filter("texts > 1").isEmpty():
 
         def make():
             return lambda texts: tuple(zip(*(_digest(s) if len(s := shingle_set(t, k)) else (None, None) for t in texts)))
 
-        several = computed(named.filter("__n > 1"), text_col, make, {"__s1": _LONG, "__s2": _LONG}, [*docs.columns, "__id"])
-        several = several.dropDuplicates(["__id", "__s1", "__s2"]).select(*docs.columns)
-        named = named.filter("__n = 1").select(*docs.columns).unionByName(several)
-    return named.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+        several = computed(named.filter("texts > 1"), text, make, {"s1": _LONG, "s2": _LONG}, [*rows.columns, "id"])
+        several = several.dropDuplicates(["id", "s1", "s2"]).select(*rows.columns)
+        named = named.filter("texts = 1").select(*rows.columns).unionByName(several)
+    return named.select(*rows.columns).unionByName(rows.filter(F.col(i).isNull())).toDF(*docs.columns)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

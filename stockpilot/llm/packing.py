@@ -42,9 +42,12 @@ class TextIds:
     The file's vocabulary is read into tiktoken, whose ids are equal (tests
     compare them) at a third of the CPU time.  It needs tokens numbered in the
     order of their merges; other files, and texts longer than BATCH_CHARS, which
-    are taken in steps of bounded size, go through tokenizers itself."""
+    are taken in steps of bounded size, go through tokenizers itself.
 
-    def __init__(self, path: str | None):
+    The text of a special token (``<|endoftext|>``) gives that token's id, as in
+    the library; with ``special`` off it is ordinary text."""
+
+    def __init__(self, path: str | None, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
         import regex
@@ -56,7 +59,11 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            stored = json.load(f)
+        model = stored["model"]
+        names = {t["content"]: t["id"] for t in stored.get("added_tokens") or () if special and t.get("special")}
+        self.special = {name: struct.pack("<I", i) for name, i in names.items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(names, key=len, reverse=True))) + ")") if names else None
         merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         order = [model["vocab"]["".join(m)] for m in merged]
         self.fast = None
@@ -68,6 +75,12 @@ class TextIds:
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
+        if any(name in text for name in self.special):
+            return b"".join([self.special.get(part) or self.ordinary(part) for part in self.split.split(text)])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text in which no special token is looked for."""
         if self.fast is not None and len(text) <= BATCH_CHARS:
             ids = self.fast.encode_ordinary(text)
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -93,8 +106,8 @@ def byte_letters() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=1)
-def text_ids(path: str | None) -> TextIds:
-    return TextIds(path)
+def text_ids(path: str | None, special: bool = True) -> TextIds:
+    return TextIds(path, special)
 
 
 class Rows:
@@ -177,9 +190,11 @@ def pack(
     vocabulary: str | None = None,
     keep_ids: bool = True,
     fan_in: int = FAN_IN,
+    special_tokens: bool = True,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    ids (little-endian uint32; null unless keep_ids).
+    ids (little-endian uint32; null unless keep_ids).  The text of a special
+    token gives its id, unless ``special_tokens`` is off.
 
     Every row of ``docs`` is a document of its own, repeated rows and rows
     without doc_id too; a null or empty text has the end id only.  Each id lies
@@ -190,7 +205,7 @@ def pack(
     end = end_id.to_bytes(4, "little")
 
     def first(batches):
-        encode, windows, out = text_ids(vocabulary), Windows(length, open_windows), Rows(keep_ids)
+        encode, windows, out = text_ids(vocabulary, special_tokens), Windows(length, open_windows), Rows(keep_ids)
         part, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -23,7 +23,7 @@ from stockpilot.llm.shingles import mix
 
 #: Bound of the training sample: documents of each label, and code points of a document.
 SAMPLE_PER_LABEL = 2000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 FEATURES = 11
 NEAR = slice(2, 9)  # the features that neighbours lend

@@ -182,9 +182,7 @@ def test_near_texts_that_share_a_doc_id(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("length,open_windows,fan_in", [(2048, 32, 32), (64, 3, 2), (1, 1, 2)])
@@ -488,6 +486,64 @@ def test_language_rows(docs, empty):
     assert langid.with_language(empty, langid.train(empty), ["doc_id"]).count() == 0
 
 
+def test_special_tokens_as_the_library_reads_them(tokenizer, monkeypatch):
+    texts = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "x <|ENDOFTEXT|>", "no", ""]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    for chars in (packing.BATCH_CHARS, 3):
+        monkeypatch.setattr(packing, "BATCH_CHARS", chars)
+        for special, t in ((True, tokenizer), (False, plain)):
+            encode = packing.TextIds(None, special)
+            for x in texts:
+                want = t.encode(x, add_special_tokens=False).ids
+                assert encode(x) == b"".join(i.to_bytes(4, "little") for i in want), (x, special, chars)
+
+
+def test_ids_at_the_border_of_the_two_libraries(tokenizer):
+    encode = packing.TextIds(None)
+    for text in ("ab " * 349_525 + "xyzzy", "a" * (1 << 20), "word" * 262_144 + "s"):
+        for t in (text[: 1 << 20], text[: (1 << 20) - 1], text + "!"):
+            assert encode(t) == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["①②", "½", "㈠", "Ⅷ", "²", "1234", "٣", "_", "a½"])
+def test_language_needs_a_letter(text):
+    model = langid.fit({"en": {"river": 3, "the": 9}, "de": {"haus": 3, "der": 9}})
+    assert (model.predict([text])[0] == ["und"]) == (not any(map(str.isalpha, text)))
+
+
+def test_language_fit(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, prose(i, 60).translate(str.maketrans("", "", "0123456789")), "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    r = random.Random(1)
+    junk = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(40))
+    known = docs.collect()
+    langs, _, fits = model.fits([known[2].text, junk, "short", ""])
+    assert fits[0] > 0 > fits[1] and fits[2] is None and fits[3] is None and langs[3] == "und"
+    assert np.isfinite(fits[0])
+
+
+CLASH = ["__id", "__tag", "__sha", "__n", "__s1", "__score", "__lang", "__text", "__fit", "a.b", "id", "c0", "tag", "texts", "x`y", "key"]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_with_columns_of_any_name(spark, k):
+    """quality, language, exact and near dedup with clashing and odd column names."""
+    base = prose(1, 120)
+    rows_ = [(i, t, "en", "s", len(t)) for i, t in enumerate([base, base, base + " tail", prose(2, 90), prose(3, 80)])]
+    plain = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars int")
+    wide = plain.select("*", *(F.concat(F.lit(f"{n}="), F.col("doc_id").cast("string")).alias(n) for n in CLASH))
+    stage = corpus_pipeline.STAGES[k][1]
+    d = "/root/testdata/sf0.001"
+    out = stage(spark, wide, d)
+    assert out.columns == wide.columns
+    got = sorted(tuple(r) for r in out.collect())
+    assert [r[0] for r in got] == sorted(r.doc_id for r in stage(spark, plain, d).collect())
+    assert all(r[5:] == tuple(f"{n}={r[0]}" for n in CLASH) for r in got)
+
+
 def test_pipeline(spark, tmp_path):
     """Stages keep the columns; kept rows are those that brute force keeps."""
     d = "/root/testdata/sf0.01"
