@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockpilot.llm import exact_dedup, langid, near_dedup, packing, quality
+from stockpilot.llm.columns import positional
 from stockpilot.session import scratch_path
 
 #: A document stays only if its language's posterior probability is at least this.
@@ -22,15 +23,19 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches the classifier's threshold; null and
     empty texts score 0 and go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_quality(docs, model, docs.columns)
-    return scored.filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    rows, (text,) = positional(docs, "text")
+    scored = quality.with_quality(rows, model, rows.columns, text)
+    return scored.filter(F.col("__score") >= quality.THRESHOLD).select(*rows.columns).toDF(*docs.columns)
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a known language with enough certainty; texts without letters go."""
-    found = langid.with_language(docs, langid.train(docs), docs.columns)
+    """Rows in a known language with enough certainty, and letter by letter as
+    likely in it as the texts it was learnt from; texts without letters go."""
+    rows, (text,) = positional(docs, "text")
+    found = langid.with_language(rows, langid.train(docs), rows.columns, text, fit=True)
     sure = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)
-    return found.filter(sure).drop("__lang", "__score")
+    fits = F.coalesce(F.col("__fit") >= 0, F.lit(True))  # too short to be judged: stays
+    return found.filter(sure & fits).select(*rows.columns).toDF(*docs.columns)
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
