@@ -24,7 +24,7 @@ TIMELINE_PO_STATUS = ("placed", "acknowledged", "in_production", "shipped", "par
 PROJECTION_PO_STATUS = ("placed", "acknowledged", "in_production", "shipped")
 
 
-def _events(inventory_current: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, p: Params) -> DataFrame:
+def events(inventory_current: DataFrame, sales_orders: DataFrame, purchase_orders: DataFrame, p: Params) -> DataFrame:
     T = d(p.as_of)
     on_hand = inventory_current.groupBy("component_id").agg(F.sum("stock_qty").cast("bigint").alias("quantity"))
     on_hand = on_hand.select(
@@ -83,9 +83,13 @@ def timeline(
     4. balance = offset of the slice + running sum inside the slice.
 
     A count of non-NULL quantities keeps SQL's "SUM of only NULLs is NULL"."""
+    return with_balance(events(inventory_current, sales_orders, purchase_orders, p), p, chunks)
+
+
+def with_balance(ev: DataFrame, p: Params, chunks: int | None = None) -> DataFrame:
+    """The running balance of ``events`` rows, as ``timeline`` describes it."""
     from stockpilot.session import ensure_checkpoint_dir
 
-    ev = _events(inventory_current, sales_orders, purchase_orders, p)
     spark = ev.sparkSession
     ensure_checkpoint_dir(spark)
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))

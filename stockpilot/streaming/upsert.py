@@ -22,7 +22,6 @@ rows and the quarantine are filters on one scan.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,15 +30,15 @@ from stockpilot.operators.cleanse import clean_all
 from stockpilot.operators.quality import DROP, Rule, rules_for, typed
 from stockpilot.params import DEFAULT, Params
 from stockpilot.plans.context import Domain
+from stockpilot.sources.buckets import BucketFolders
 from stockpilot.sources.driver import LazyTables
 from stockpilot.sources.schemas import MASTER_KEYS, SCHEMAS
 
 SMALLEST, LATEST, ALL = "smallest", "latest", "all"
 FAILED = "_failed_rules"
-_MANIFEST = "epoch bigint, bucket int, path string"
 
 
-class KeyedTable:
+class KeyedTable(BucketFolders):
     """A stored table below ``root`` (a folder that driver and executors share)."""
 
     def __init__(
@@ -55,28 +54,18 @@ class KeyedTable:
     ):
         if (keep == ALL) != (not key) or (keep == LATEST) != (time_col is not None):
             raise ValueError("ALL takes no key, the other rules one; LATEST also the column of the event time")
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.key, self.keep, self.time_col, self.buckets = list(key or []), keep, time_col, buckets
+        super().__init__(spark, root, buckets)
+        self.schema, self.key, self.keep, self.time_col = schema, list(key or []), keep, time_col
         self.drops = [r for r in rules or [] if r.action == DROP]
 
     # -- state ---------------------------------------------------------------
 
-    def _published(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], _MANIFEST)
-
     def _paths(self, before: int | None = None) -> dict[int, list[str]]:
         """The folders of each bucket (by ALL: of each epoch, under bucket 0)."""
-        m = self._published().filter(F.col("path").isNotNull()).distinct()
-        m = m if before is None else m.filter(F.col("epoch") < before)
         if self.keep == ALL:
-            rows = m.orderBy("epoch").collect()
+            rows = self._published().distinct().orderBy("epoch").collect()
             return {0: [r.path for r in rows]} if rows else {}
-        return {r.bucket: [r.path] for r in m.groupBy("bucket").agg(F.max_by("path", "epoch").alias("path")).collect()}
+        return {b: [path] for b, path in self._newest(before).items()}
 
     def _read(self, paths: list[str]) -> DataFrame:
         stored = StructType([*self.schema.fields]).add(FAILED, "string")
@@ -108,9 +97,6 @@ class KeyedTable:
         picked = rows.groupBy(*self.key).agg(best)
         return picked.select(*self.key, *(F.col("r")[c].alias(c) for c in others)).select(*self.schema.fieldNames())
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-
     def _judged(self, rows: DataFrame) -> DataFrame:
         failed = F.concat_ws(",", *[F.when(~r.passed(), F.lit(r.name)) for r in self.drops]) if self.drops else F.lit("")
         return rows.withColumn(FAILED, F.nullif(failed, F.lit("")))
@@ -118,7 +104,7 @@ class KeyedTable:
     def merge(self, batch: DataFrame, epoch: int) -> None:
         """Take one micro-batch (the body of a ``foreachBatch``)."""
         names = self.schema.fieldNames()
-        if not self._published().filter(F.col("epoch") == epoch).isEmpty():
+        if self._has(epoch):
             return  # a replay of a published batch
         batch = typed(batch, self.schema).select(*names)
         folder = f"{self.root}/data/epoch={epoch}"
@@ -128,21 +114,12 @@ class KeyedTable:
             return
         # the batch's winners first, written, so that its plan runs once
         incoming = f"{self.root}/incoming/epoch={epoch}"
-        self._winners(batch).withColumn("_bucket", self._bucket()).write.mode("overwrite").parquet(incoming)
+        self._winners(batch).withColumn("_bucket", self._bucket(*self.key)).write.mode("overwrite").parquet(incoming)
         fresh = self.spark.read.parquet(incoming)
         touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
-        if not touched:
-            self._publish([(epoch, None, None)])
-            return
         state = self._paths(before=epoch)
         old = self._read([p for b in touched for p in state.get(b, [])]).drop(FAILED)
-        merged = self._judged(self._winners(old.unionByName(fresh.drop("_bucket")))).withColumn("_bucket", self._bucket())
-        merged.repartition(min(len(touched), self.buckets), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
-        self._publish([(epoch, b, f"{folder}/_bucket={b}") for b in touched])
-
-    def _publish(self, rows: list[tuple]) -> None:
-        # one file: it is there as a whole or not at all; a batch without rows is published too
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self._write(self._judged(self._winners(old.unionByName(fresh.drop("_bucket")))), self.key, epoch, touched)
 
     def ingest(self, source: str, fmt: str = "parquet", files_per_batch: int | None = None, glob: str | None = None, options: dict | None = None) -> None:
         """Take the new files of a folder as a stream and stop (``availableNow``);
