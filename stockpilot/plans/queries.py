@@ -435,3 +435,14 @@ def _fn_label(dom):
         label(F.col("source_type"), SOURCE_LABELS).alias("source_label"),
     ).withColumnsRenamed({"demand_id": "Demand", "component_id": "Component", "route_label": "Recommended route",
                           "priority_label": "Priority", "source_label": "Source"})
+
+
+from stockpilot.operators.asof import asof_join  # noqa: E402
+
+
+@query("asof_order_lead_time")
+def _asof_order_lead_time(dom):
+    """The lead time in force when each sales order line is due."""
+    lines = dom["sales_orders"].select("sales_order_id", "component_id", "requested_delivery_date")
+    history = dom["lead_times_base"].select("component_id", "effective_date", "lead_time_weeks", "lead_time_id")
+    return asof_join(lines, history, ["component_id"], "requested_delivery_date", "effective_date", ["lead_time_weeks", "lead_time_id"])
