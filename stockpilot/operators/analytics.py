@@ -264,12 +264,18 @@ def best_route_per_component(options: DataFrame) -> DataFrame:
     return o.groupBy("component_id").agg(F.min_by("v", "k").alias("v")).select("component_id", "v.*")
 
 
+def critical_lines(order_risk: DataFrame, k: int = 10) -> DataFrame:
+    """The k Critical order lines that are due first."""
+    return order_risk.filter(F.col("priority_rank") == "Critical").orderBy(
+        F.coalesce(F.col("days_to_due"), F.lit(0)), "sales_order_id", "component_id"
+    ).limit(k)
+
+
 def commit_bottleneck(order_risk: DataFrame, options: DataFrame, k: int = 10) -> DataFrame:
     """Top-k Critical order lines by days to due, each with the best route of
-    its component and who/what advice; stock versus required quantity."""
-    crit = order_risk.filter(F.col("priority_rank") == "Critical").orderBy(
-        F.coalesce(F.col("days_to_due"), F.lit(0)), "sales_order_id"
-    ).limit(k)
+    its component and who/what advice; stock versus required quantity.
+    ``options`` needs the rows of these lines' components only."""
+    crit = critical_lines(order_risk, k)
     best = best_route_per_component(options)
     j = crit.join(best, "component_id", "left")
     req = F.coalesce(F.col("component_required_qty"), F.lit(0)).cast(L)

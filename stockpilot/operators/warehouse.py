@@ -39,7 +39,8 @@ def warehouse_status(
         "warehouse_id",
         "component_id",
         "stock_qty",
-        (F.col("stock_qty") * F.coalesce(F.col("unit_price_usd"), F.lit(0.0)) * p.fx_rate).alias("value"),
+        # decimals: the sum does not depend on the order of the tasks
+        (F.col("stock_qty").cast("decimal(18,0)") * F.coalesce(F.col("unit_price_usd"), F.lit(0.0)).cast("decimal(13,6)")).alias("value"),
         F.when(has, F.when(t <= 0, 1).otherwise(0)).alias("is_zero"),
         F.when(has, F.when((t > 0) & (t < mn), 1).otherwise(0)).alias("is_under"),
         F.when(has, F.when(t > mx, 1).otherwise(0)).alias("is_over"),
@@ -89,7 +90,7 @@ def warehouse_status(
         z("under_count").cast(L).alias("under_count"),
         z("over_count").cast(L).alias("over_count"),
         z("total_stock_qty").cast(L).alias("total_stock_qty"),
-        F.coalesce(F.col("total_stock_value"), F.lit(0.0)).cast(L).alias("total_stock_value_jpy"),
+        (F.coalesce(F.col("total_stock_value"), F.lit(0)) * p.fx_rate).cast(L).alias("total_stock_value_jpy"),
         z("incoming_shipments").cast(L).alias("incoming_shipments"),
         z("incoming_qty").cast(L).alias("incoming_qty"),
         z("delayed_shipments").cast(L).alias("delayed_shipments"),

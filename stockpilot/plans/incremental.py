@@ -59,7 +59,7 @@ def changed_points(changes: dict[str, DataFrame], bom: DataFrame) -> DataFrame:
     return every.groupBy("item").agg(F.max("whole").alias("whole"), first.alias("day"))
 
 
-class _Only:
+class OnlyComponents:
     """A domain's cleansed tables, without the rows of other components."""
 
     def __init__(self, dom: Domain, items: DataFrame):
@@ -123,13 +123,13 @@ class IncrementalMart(BucketFolders):
             before = mine.filter(F.expr(BEFORE)).select(*columns)
             fresh = before.unionByName(self._tail(dom, points, before)).select(*columns)
         else:
-            fresh = _Only(dom, points).domain().mart(self.name).select(*columns)
+            fresh = OnlyComponents(dom, points).domain().mart(self.name).select(*columns)
         self._write(others.unionByName(fresh), [self.key], epoch, touched)
 
     def _tail(self, dom: Domain, points: DataFrame, before: DataFrame) -> DataFrame:
         """The ledger from the first changed event of each component on."""
         p: Params = dom.p
-        only = _Only(dom, points)
+        only = OnlyComponents(dom, points)
         ev = ledger.events(only.table("inventory_current"), only.table("sales_orders"), only.table("purchase_orders"), p)
         ev = ev.join(points, ev["item_id"].eqNullSafe(points["item"])).filter(~F.expr(BEFORE)).select(*ev.columns)
         start = before.groupBy("item_id").agg(F.sum("quantity").cast("bigint").alias("quantity")).filter(F.col("quantity").isNotNull())

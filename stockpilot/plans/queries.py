@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockpilot.operators import leadtime
+from stockpilot.plans.incremental import OnlyComponents
 from stockpilot.plans.registry import query
 
 
@@ -322,7 +323,10 @@ def _page_commit_list(dom):
 
 @query("page_commit_bottleneck")
 def _page_commit_bottleneck(dom):
-    return analytics.commit_bottleneck(dom.mart("mart_order_risk"), dom.mart("mart_options"))
+    risk = dom.mart("mart_order_risk")
+    # the options of the few components that are shown, not of all
+    items = analytics.critical_lines(risk).select(F.col("component_id").alias("item"))
+    return analytics.commit_bottleneck(risk, OnlyComponents(dom, items).domain().mart("mart_options"))
 
 
 @query("inv_daily_demand")

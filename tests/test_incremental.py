@@ -100,11 +100,11 @@ def test_nothing_changed_and_nothing_left(spark, make_domain, tmp_path):
 
 
 def test_sources_are_read_for_changed_components_only(spark, make_domain):
-    from stockpilot.plans.incremental import _Only
+    from stockpilot.plans.incremental import OnlyComponents
 
     r = random.Random(3)
     dom = make_domain(**world(r))
-    only = _Only(dom, spark.createDataFrame([("c2",)], "item string")).domain()
+    only = OnlyComponents(dom, spark.createDataFrame([("c2",)], "item string")).domain()
     for t in ("sales_orders", "purchase_orders", "inventory_current", "demand_plan_components"):
         assert {x.component_id for x in only[t].collect()} <= {"c2"}
     used = {x.product_id for x in dom["bom"].filter("component_id = 'c2'").collect()}
