@@ -50,12 +50,15 @@ def _not_letters() -> str:
 
 
 _ODD = _not_letters()
+_WORDS = re.compile(r"[^\W\d_]+")  # faster, and the same for nearly all texts
 _LETTERS, _OTHER = re.compile(rf"[^\W\d_{_ODD}]+"), re.compile(rf"[\W\d_{_ODD}]")
 
 
 def words(text: str, cut: bool = False) -> list[str]:
     """Runs of letters, lower-cased; with ``cut`` cut into runs of at most WORD_CHARS."""
-    found = _LETTERS.findall(text.lower())
+    found = _WORDS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = _LETTERS.findall(text.lower())
     if cut and any(len(w) > WORD_CHARS for w in found):
         found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found
@@ -211,7 +214,7 @@ class Model:
         langs, scores = self._chosen(found)
         fits: list[float | None] = []
         for text, lang, x in zip(texts, langs, found):
-            n = sum(map(len, _LETTERS.findall(text)))
+            n = sum(map(len, words(text)))
             fits.append(float(x[self.langs.index(lang)]) / n - self.floor.get(lang, -np.inf) if x is not None and n >= FIT_LETTERS else None)
         return langs, scores, fits
 
