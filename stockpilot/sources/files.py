@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stockpilot.sources.schemas import SCHEMAS
 
@@ -25,6 +26,52 @@ def read_csv(spark: SparkSession, path: str, table: str, ingest_ts: bool = True)
     return df.withColumn("_ingested_at", F.current_timestamp()) if ingest_ts else df
 
 
+REJECTS = "table_name string, source_file string, block_start bigint, reason string, record string"
+_RECORD = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, table: str, ingest_ts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``read_csv`` for files that may hold bad rows: the rows that parse, and
+    the rejects -- rows with too few or too many fields or a value that its
+    column's type does not take -- whole, with their file, the start of the
+    file block that they were read in, and the reason (SHORT, LONG, MISTYPED).
+    Every row of the files is in exactly one of the two."""
+    schema = SCHEMAS[table]
+    df = (
+        spark.read.schema(StructType([*schema.fields]).add(_RECORD, "string"))
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .option("escape", "\"")  # a quote inside quotes is doubled
+        .option("columnPruning", False)  # a row is judged by all its fields, whatever a query reads
+        .option("encoding", "UTF-8")
+        .option("enforceSchema", True)
+        .csv(path)
+    )
+    names = schema.fieldNames()
+    rows = df.select(*names, _RECORD, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # always true: a query of the record alone is not allowed, so the filters name all columns
+    read = F.pmod(F.xxhash64(*names), F.lit(2)) < 2
+    good = rows.filter(F.col(_RECORD).isNull() & read).select(*names)
+    # fields of the record: separators outside quotes, and one
+    plain = F.regexp_replace(_RECORD, '"([^"]|"")*"', "")
+    fields = F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1
+    reason = F.when(fields < len(names), "SHORT").when(fields > len(names), "LONG").otherwise("MISTYPED")
+    rejects = rows.filter(F.col(_RECORD).isNotNull() & read).select(
+        F.lit(table).alias("table_name"), F.col("_file").alias("source_file"), F.col("_start").cast("bigint").alias("block_start"),
+        reason.alias("reason"), F.col(_RECORD).alias("record"),
+    )
+    return (good.withColumn("_ingested_at", F.current_timestamp()) if ingest_ts else good), rejects
+
+
+def csv_rejects(spark: SparkSession, root: str, tables=tuple(SCHEMAS)) -> DataFrame:
+    """The rejects of all tables' CSV files below ``root``."""
+    from functools import reduce
+
+    parts = [read_csv_checked(spark, f"{root.rstrip('/')}/{t}.csv", t)[1] for t in tables]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], REJECTS))
+
+
 def read_raw_csv(spark: SparkSession, root: str, tables=tuple(SCHEMAS), ingest_ts: bool = False) -> dict[str, DataFrame]:
     """All raw tables from ``root/<table>.csv`` (files or folders)."""
     return {t: read_csv(spark, f"{root.rstrip('/')}/{t}.csv", t, ingest_ts) for t in tables}

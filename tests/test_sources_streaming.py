@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from stockpilot.operators import semantic
 from stockpilot.operators.quality import keep, rules_for, typed
 from stockpilot.plans.registry import domain_for, load_all
-from stockpilot.sources.files import column_comments, missing_tables, read_csv, write_table
+from stockpilot.sources.files import (
+    column_comments,
+    csv_rejects,
+    missing_tables,
+    read_csv,
+    read_csv_checked,
+    write_table,
+)
 from stockpilot.sources.schemas import SCHEMAS
 from stockpilot.streaming.ingest import stream_ingest
 
@@ -32,6 +39,25 @@ def test_csv_reader_typed_with_bom(spark):
     assert [(r.component_id) for r in kept.collect()] == ["C1"]
 
 
+def test_bad_csv_rows_land_in_the_rejects(spark):
+    d = tempfile.mkdtemp(prefix="sp-csv-")
+    good = ["P1,C1,2", "P2,C1,", ',C3,1', '"a, ""b""",C4,7']
+    bad = {"P1,C2": "SHORT", "P1,C2,x": "MISTYPED", "P1,C2,3,4": "LONG", '"q,r",C9': "SHORT", '"q,r",C9,1.5': "MISTYPED", "P9,C9,99999999999": "MISTYPED"}
+    os.makedirs(os.path.join(d, "bom.csv"))
+    for i, some in enumerate((good[:2] + list(bad)[:3], good[2:] + list(bad)[3:])):
+        _write(os.path.join(d, "bom.csv", f"part{i}.csv"), "product_id,component_id,quantity_per_unit\n" + "\n".join(some) + "\n")
+    rows, rejects = read_csv_checked(spark, os.path.join(d, "bom.csv"), "bom")
+    assert rows.columns[-1] == "_ingested_at"
+    got = {tuple(r)[:3] for r in rows.collect()}
+    assert got == {("P1", "C1", 2), ("P2", "C1", None), (None, "C3", 1), ('a, "b"', "C4", 7)}
+    found = rejects.collect()
+    assert {r.record: r.reason for r in found} == bad and len(found) == len(bad)
+    assert {r.source_file.rsplit("/", 1)[1] for r in found} == {"part0.csv", "part1.csv"} and all(r.block_start == 0 for r in found)
+    assert rows.count() == 4 and rejects.count() == len(bad)  # whatever columns a query reads
+    every = csv_rejects(spark, d, ["bom"])
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, found))
+
+
 def test_write_table_keeps_comments(spark):
     d = tempfile.mkdtemp(prefix="sp-sink-")
     df = spark.createDataFrame([(1, "a")], "k int, v string")
