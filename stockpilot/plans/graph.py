@@ -175,7 +175,9 @@ class RunDomain(Domain):
         return future.result()
 
     def _stamp_of(self, name: str, reads) -> str:
-        return _stamp(name, self._code, repr(self.p), *(f"{r}={self._nodes[r].result().stamp}" for r in sorted(reads)))
+        # a query that asks for no table reads the data folder itself
+        on = [f"{r}={self._nodes[r].result().stamp}" for r in sorted(reads)] or [f"{t}={s}" for t, s in sorted(self._sources.items())] or [self.run]
+        return _stamp(name, self._code, repr(self.p), *on)
 
     def _raw_stamp(self, name: str, df: DataFrame) -> str:
         """A raw table depends on the files that it reads; one that reads none (rows of a program) on its run."""

@@ -95,6 +95,21 @@ def test_changed_source_computes_its_readers_only(spark, tmp_path):
     assert spark.read.parquet(old["ship_routes"].path).count() > spark.read.parquet(new["ship_routes"].path).count()
 
 
+def test_a_query_that_reads_the_folder_itself_follows_its_files(spark, tmp_path):
+    folder = tables(spark, tmp_path, ("events",))
+    store = MartStore(spark, f"{tmp_path}/store")
+    base = lambda: Domain({}, spark=spark)
+    queries = {"stream_latest_events": load_all()["stream_latest_events"]}
+    for n, computed in ((50, 1), (50, 0), (20, 1)):
+        spark.read.parquet(f"{SF001}/events.parquet").filter(f"event_id < {n}").coalesce(1).write.mode("ignore" if not computed else "overwrite").parquet(f"{folder}/events.parquet")
+        dom = base()
+        dom.sf_dir = folder
+        graph_run = graph.RunDomain(dom, store)
+        graph_run.table("stream_latest_events", queries["stream_latest_events"])
+        store.publish(graph_run.run, graph_run.nodes())
+        assert len(graph_run.computed) == computed, n
+
+
 def test_other_parameters_are_other_tables(spark, refreshed):
     import dataclasses
 
