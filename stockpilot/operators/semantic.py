@@ -51,6 +51,7 @@ METRICS = (
     ("M010", "Risk Score", "100 - 3 x days to due, clamped to 0..100", "points", "mart_order_risk", "commit and balance"),
 )
 
+# Example questions (id, text and what answers them).
 EXAMPLE_QUESTIONS = (
     ("G001", "How many critical orders are there?", "qlib_g001", "procurement, management", "due within 3 days"),
     ("G002", "Which parts have lengthening lead times?", "qlib_g002", "procurement, planning", "N-3 / N-6"),
@@ -89,6 +90,7 @@ MANUFACTURER = "Supplier#000000001"
 # the answer is deterministic; G007 reads the as-of date (the summary has
 # no month column); the "one manufacturer's top 5" query filters on the
 # manufacturer it names.
+# Question ids, output columns and thresholds of the library's answers.
 QLIB: dict[str, str] = {
     "qlib_g001": "SELECT COUNT(*) AS critical_count FROM {mart_order_risk} WHERE priority_rank = 'Critical'",
     "qlib_g002": "SELECT item_code, item_name, latest_lt_weeks, trend_arrow_n3, trend_arrow_n6 FROM {mart_lt_snapshot}"
