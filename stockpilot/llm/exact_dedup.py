@@ -112,6 +112,7 @@ def exact_dedup(
     # narrow rows, read twice: the groups' plan need not hold the levels' plans
     who = identities(docs, id_col, text_col, block_bytes, hash_of).checkpoint()
     groups = who.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = groups.checkpoint()  # stored, so that adaptive execution may split a hot group's rows in the join
     return who.join(groups, ["level", "name"]).select(
         "doc_id",
         "keep_id",
