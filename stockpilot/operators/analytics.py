@@ -470,12 +470,18 @@ def items_with_status(proj: DataFrame, status: str) -> DataFrame:
     return proj.withColumn("_hit", hit).filter(F.col("_hit") == 1).drop("_hit")
 
 
+def busiest_item(rows: DataFrame) -> DataFrame:
+    """The item with the most rows of a ledger or of its events (ties:
+    smallest id), picked by Spark: top-1 of a grouped count."""
+    n = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.col("n").desc(), "item_id").limit(1).select("item_id")
+
+
 def busiest_item_ledger(tl: DataFrame) -> DataFrame:
-    """Ledger of the item with the most events (ties: smallest id), in
-    ledger order -- the per-item drill-down, with the item picked by Spark
-    (top-1 of a grouped count, joined back; nothing goes through the driver)."""
-    top = tl.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "item_id").limit(1)
-    return tl.join(top.select("item_id"), "item_id", "left_semi")
+    """Ledger of the item with the most events, in ledger order -- the
+    per-item drill-down, with the item joined back; nothing goes through the
+    driver."""
+    return tl.join(busiest_item(tl), "item_id", "left_semi")
 
 
 def whatif_verdicts(wf: DataFrame) -> DataFrame:

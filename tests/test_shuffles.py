@@ -4,8 +4,11 @@ import datetime as dt
 import re
 
 
+from conftest import SF001, T, days
+from stockpilot.operators import ledger
 from stockpilot.params import DEFAULT
 from stockpilot.plans.context import Domain
+from stockpilot.plans.registry import load_all
 from stockpilot.sources.driver import DriverAdapter
 
 
@@ -31,3 +34,33 @@ def test_logistics_of_repeated_and_missing_keys(spark):
     }
     got = [(r.shipment_id[0], r.destination_warehouse_id) for r in DriverAdapter(t, DEFAULT).logistics().collect()]
     assert sorted(got, key=str) == [("1", "7"), ("2", "7"), ("2", "8"), ("2", "9"), ("4", None)]
+
+
+def _so(i, item, n):
+    return {"sales_order_id": i, "component_id": item, "requested_delivery_date": days(n), "component_required_qty": 1}
+
+
+def test_balances_of_the_shown_item_only(make_domain, monkeypatch):
+    seen, balance = [], ledger.with_balance
+
+    def watched(ev, *a, **k):
+        seen.append({r.item_id for r in ev.collect()})
+        return balance(ev, *a, **k)
+
+    monkeypatch.setattr(ledger, "with_balance", watched)
+    dom = make_domain(
+        sales_orders=[_so("1", "A", 1), _so("2", "B", 2), _so("3", "B", 3)],
+        inventory_current=[{"component_id": c, "stock_qty": 5} for c in ("A", "B")],
+    )
+    got = sorted((r.event_date, r.cumulative_balance) for r in load_all()["inv_ledger"](dom).collect())
+    assert got == [(T, 5), (days(2), 4), (days(3), 3)]
+    assert seen == [{"B"}]
+
+
+def test_rows_without_an_item_are_no_item(make_domain):
+    """As before: where most rows have no item, the list is empty."""
+    dom = make_domain(
+        sales_orders=[_so("1", "A", 1)],
+        purchase_orders=[{"purchase_order_id": str(i), "status": "placed", "outstanding_qty": 1, "expected_delivery_date": days(i)} for i in range(3)],
+    )
+    assert load_all()["inv_ledger"](dom).count() == 0
