@@ -50,10 +50,12 @@ def forecast_risk(
 ) -> DataFrame:
     """Forecast exploded through the BOM; order-by date = month - 7 * LT;
     ordered = all outstanding PO quantity of the component (not netted
-    between forecast rows); status by days left."""
-    fc = forecasts.select("product_id", "forecast_month", "forecast_qty").join(
-        bom.select("product_id", "component_id", "quantity_per_unit"), "product_id"
-    )
+    between forecast rows); status by days left.
+
+    The masters join the BOM rows, and the forecast months come last: no row
+    of the result, which has many per BOM row, goes through a shuffle.  The
+    BOM rows are dealt over all tasks before, since the few bytes that they
+    have say nothing of the rows that come from them."""
     comp = components.select(
         "component_id", "part_number", "component_name", "component_category", "supplier_name",
         F.coalesce(F.col("base_lead_time_weeks"), F.lit(p.default_forecast_lt_weeks)).alias("base_lead_time_weeks"),
@@ -61,12 +63,17 @@ def forecast_risk(
     prod = products.select("product_id", "product_name", F.col("customer_id").alias("prod_customer_id"))
     cust = customers.select(F.col("customer_id").alias("prod_customer_id"), "customer_name")
     po = purchase_orders.groupBy("component_id").agg(F.sum("outstanding_qty").cast(L).alias("ordered"))
-    j = (
-        fc.join(comp, "component_id", "left")
-        .join(prod, "product_id", "left")
-        .join(cust, "prod_customer_id", "left")
+    # products are few: the customer joins them, not the BOM rows
+    prod = prod.join(cust, "prod_customer_id", "left")
+    tasks = int(forecasts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = (
+        bom.select("product_id", "component_id", "quantity_per_unit")
+        .join(comp, "component_id", "left")
         .join(po, "component_id", "left")
+        .join(prod, "product_id", "left")
+        .repartition(tasks, "product_id", "component_id")
     )
+    j = used.join(forecasts.select("product_id", "forecast_month", "forecast_qty"), "product_id")
     demand = (F.coalesce(F.col("forecast_qty"), F.lit(0)) * F.coalesce(F.col("quantity_per_unit"), F.lit(1))).cast(L)
     ord_date = F.date_sub("forecast_month", F.col("base_lead_time_weeks") * 7)
     days = F.datediff(ord_date, d(p.as_of))

@@ -36,6 +36,27 @@ def test_logistics_of_repeated_and_missing_keys(spark):
     assert sorted(got, key=str) == [("1", "7"), ("2", "7"), ("2", "8"), ("2", "9"), ("4", None)]
 
 
+def test_forecast_months_join_last(make_domain):
+    fc = [{"forecast_id": str(m), "product_id": "P", "forecast_month": dt.date(1998, m, 1), "forecast_qty": 10 * m} for m in (7, 8)]
+    fc += [{"forecast_id": "q", "product_id": "Q", "forecast_month": dt.date(1998, 7, 1), "forecast_qty": 1}]
+    dom = make_domain(
+        forecasts=fc,
+        bom=[{"product_id": p, "component_id": c, "quantity_per_unit": 2} for p, c in (("P", "A"), ("P", "B"), ("R", "A"))],
+        components=[{"component_id": "A", "supplier_id": "s", "base_lead_time_weeks": 1}],
+        products=[{"product_id": "P", "product_name": "pump", "customer_id": "c"}],
+        customers=[{"customer_id": "c", "customer_name": "Cust"}],
+        purchase_orders=[{"purchase_order_id": str(i), "component_id": "A", "outstanding_qty": 50} for i in (1, 2)],
+    )
+    risk = load_all()["risk_forecast"](dom)
+    first = next(line for line in optimized(risk).splitlines() if "Join" in line)
+    assert "Join Inner" in first and "product_id" in first  # the masters are joined below it
+    got = {(r.component_id, r.forecast_month.month): (r.customer_name, r.component_demand_qty, r.ordered_qty, r.unordered_qty, r.base_lead_time_weeks) for r in risk.collect()}
+    assert got == {
+        ("A", 7): ("Cust", 140, 100, 40, 1), ("A", 8): ("Cust", 160, 100, 60, 1),
+        ("B", 7): ("Cust", 140, 0, 140, None), ("B", 8): ("Cust", 160, 0, 160, None),
+    }
+
+
 def _so(i, item, n):
     return {"sales_order_id": i, "component_id": item, "requested_delivery_date": days(n), "component_required_qty": 1}
 
