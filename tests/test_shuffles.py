@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 
 from conftest import SF001, T, days
 from stockpilot.operators import ledger
@@ -12,6 +13,16 @@ from stockpilot.plans.registry import load_all
 from stockpilot.sources.driver import DriverAdapter
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables count as large: each join shuffles."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -36,6 +47,11 @@ def test_logistics_of_repeated_and_missing_keys(spark):
     assert sorted(got, key=str) == [("1", "7"), ("2", "7"), ("2", "8"), ("2", "9"), ("4", None)]
 
 
+def test_lead_times_shuffle_the_lines_once(spark, no_broadcast):
+    plan = Domain.from_driver(spark, SF001).raw["lead_times"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and parts, for their join
+
+
 def test_forecast_months_join_last(make_domain):
     fc = [{"forecast_id": str(m), "product_id": "P", "forecast_month": dt.date(1998, m, 1), "forecast_qty": 10 * m} for m in (7, 8)]
     fc += [{"forecast_id": "q", "product_id": "Q", "forecast_month": dt.date(1998, 7, 1), "forecast_qty": 1}]
